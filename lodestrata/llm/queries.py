@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import mixing, tokens
+from lodestrata.llm import docpairs, mixing, tokens
 from lodestrata.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.function_pairs(table(spark, sf_dir, "code_entities"), table(spark, sf_dir, "files")).select("entity_id")
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.function_pairs(table(spark, sf_dir, "code_entities"), table(spark, sf_dir, "files"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -20,5 +28,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLE: dict[str, str] = {}
