@@ -40,7 +40,7 @@ def _contract(live: DataFrame, with_path: bool) -> tuple[list[DataFrame], DataFr
             .when((F.col("n") == 1) & (_coin("id", round_no) == 1) & (_coin("parent", round_no) == 0), "chain")
             .otherwise("stays")
         )
-        step = cut(live.join(children, "id", "left").withColumn("kind", kind).drop("n"))
+        step = cut(live.join(children, "id", "left").withColumn("kind", kind).drop("n"), "id")
         rounds.append(step.where(F.col("kind").isin("leaf", "chain")).drop("child"))
         loops.append(step.where("kind = 'loop'").select("id"))
         spliced = step.where("kind = 'chain'").select(
@@ -76,7 +76,7 @@ def resolve_hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
     """
     links = nodes.where("id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.min("parent").cast("long").alias("parent"))
     known = links.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    links = cut(links.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent")))
+    links = cut(links.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent")), "id")
     empty_path = F.array().cast("array<long>")
     live = links.where("parent is not null").select("id", "parent", F.lit(1).cast("long").alias("hops"), *([empty_path.alias("via")] if with_path else []))
     zero = F.lit(0).cast("long")
@@ -96,7 +96,7 @@ def resolve_hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
                 *([F.concat("above_path", "via", F.array("id")).alias("path")] if with_path else []),
             )
             done = done.unionByName(found)
-        done = cut(done)
+        done = cut(done, "id")
     return done
 
 

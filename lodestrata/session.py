@@ -30,8 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the reliable checkpoint folder and read from there.
+def cut(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` written to the reliable checkpoint folder and read from there, hashed by `keys` if given.
+
+    Without keys the parts stay as they are; unions that are cut again and again need keys, else
+    their parts add up.
 
     The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests) a
     folder of this machine is used.
@@ -40,4 +43,4 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return (df.repartition(*keys) if keys else df).checkpoint(eager=True)
