@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, mixing, provenance, tokens
+from lodestrata.llm import docpairs, mixing, provenance, secrets, tokens
 from lodestrata.session import table
 
 
@@ -16,6 +16,16 @@ def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.not_by_hand(table(spark, sf_dir, "files"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = secrets.code_texts(table(spark, sf_dir, "files"), table(spark, sf_dir, "code_entities"))
+    return secrets.find_secrets(texts).select("source_table", "record_id", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = secrets.code_texts(table(spark, sf_dir, "files"), table(spark, sf_dir, "code_entities"))
+    return secrets.redact(texts, secrets.find_secrets(texts))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.function_pairs(table(spark, sf_dir, "code_entities"), table(spark, sf_dir, "files")).select("entity_id")
 
@@ -36,5 +46,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLE: dict[str, str] = {}
