@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, mixing, provenance, secrets, tokens
+from lodestrata.llm import docpairs, mixing, personal, provenance, secrets, tokens
 from lodestrata.session import table
 
 
@@ -46,5 +46,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details = personal.find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "contributors"))
+    return details.select("doc_id", "kind", "found").distinct()
+
+
+def p9_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal.replace_personal(docs, personal.find_personal(docs, table(spark, sf_dir, "contributors")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_replaced": p9_replaced}
 ORACLE: dict[str, str] = {}
