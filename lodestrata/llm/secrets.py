@@ -259,7 +259,7 @@ def redact(texts: DataFrame, secrets: DataFrame, placeholder: str = "<secret>")
     def cover(text: pd.Series, spots: pd.Series) -> pd.Series:
         return pd.Series([_covered(t, s, placeholder) for t, s in zip(text, spots)], dtype="object")
 
-    return joined.withColumn("text", F.when(F.col("spots").isNull(), F.col("text")).otherwise(cover("text", "spots"))).drop("spots")
+    return joined.withColumn("text", cover("text", "spots")).drop("spots")
 
 
 def _covered(text: str, spots: list[dict], placeholder: str) -> str:
