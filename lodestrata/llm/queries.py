@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, mixing, personal, provenance, secrets, tokens
+from lodestrata.llm import docpairs, grammar, mixing, personal, provenance, secrets, tokens
 from lodestrata.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.invalid_files(table(spark, sf_dir, "files"))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.invalid_rates(table(spark, sf_dir, "files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.not_by_hand(table(spark, sf_dir, "files")).select("file_id")
 
@@ -56,5 +64,5 @@ def p9_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.replace_personal(docs, personal.find_personal(docs, table(spark, sf_dir, "contributors")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_replaced": p9_replaced}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_replaced": p9_replaced}
 ORACLE: dict[str, str] = {}
