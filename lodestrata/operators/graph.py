@@ -79,7 +79,7 @@ def trails(edges: DataFrame, hops: int) -> DataFrame:
 
 
 def transitive(edges: DataFrame, hops: int = 3) -> DataFrame:
-    """Distinct (project, start, at, depth) with origin != reached: callees of start, or callers of at."""
+    """Distinct (project, origin, reached, depth) with origin != reached: callees of origin, or callers of reached."""
     return trails(edges, hops).where("origin != reached").select("project", "origin", "reached", "depth").distinct()
 
 
