@@ -64,10 +64,9 @@ def distinct_files(files: DataFrame) -> DataFrame:
 
 def _blocks(files: DataFrame) -> DataFrame:
     """(file_id, project_name, place, hash, chars) of each block of lines between blank lines."""
-    parts = F.split("content", r"\n\s*\n")
-    rows = files.select("file_id", "project_name", F.posexplode(parts).alias("place", "block"))
-    rows = rows.withColumn("block", F.regexp_replace("block", r"^\s+|\s+$", ""))
-    return rows.where(F.length("block") >= BLOCK_CHARS).select("file_id", "project_name", "place", F.xxhash64("block").alias("hash"), F.length("block").alias("chars"))
+    parts = F.transform(F.split("content", r"\n\s*\n"), lambda block: F.btrim(block, F.lit(" \t\n")))
+    rows = files.select("file_id", "project_name", F.posexplode(F.filter(parts, lambda block: F.length(block) >= BLOCK_CHARS)).alias("place", "block"))
+    return rows.select("file_id", "project_name", "place", F.xxhash64("block").alias("hash"), F.length("block").alias("chars"))
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -130,7 +129,10 @@ def shared_directories(files: DataFrame) -> DataFrame:
 
 
 def tool_written(files: DataFrame) -> DataFrame:
-    """file_id and why (`generated`, `minified`, `vendored` by header or place, `data`) of the rows of `distinct_files` that a rule finds."""
+    """file_id and why of the rows of `distinct_files`: `generated`, `minified`, `vendored` by header or place, `data`, or null if no rule finds it.
+
+    Null rows stay until they are grouped: a filter here would run every pattern once more.
+    """
     content, rel = F.col("content"), F.col("rel")
     dense = F.length(F.regexp_replace(content, r"[ \t\n]+", ""))
     length = F.length(content)
@@ -153,7 +155,7 @@ def tool_written(files: DataFrame) -> DataFrame:
         .when(rel.rlike(VENDOR_PATH) | content.rlike(VENDOR_HEADER), "vendored")
         .when(data, "data")
     )
-    return files.select("file_id", why.alias("why")).where("why is not null")
+    return files.select("file_id", why.alias("why"))
 
 
 def not_by_hand(files: DataFrame) -> DataFrame:
@@ -169,4 +171,4 @@ def not_by_hand(files: DataFrame) -> DataFrame:
     by_place = texts.select("file_id", "project_name", F.explode(folder).alias("path"))
     copied = by_place.join(folders.select("project_name", "path").distinct(), ["project_name", "path"], "left_semi").select("file_id")
     copies = vendored(texts).unionByName(copied).withColumn("why", F.lit("vendored"))
-    return tool_written(texts).unionByName(copies).groupBy("file_id").agg(F.min("why").alias("why"))
+    return tool_written(texts).unionByName(copies).groupBy("file_id").agg(F.min("why").alias("why")).where("why is not null")
