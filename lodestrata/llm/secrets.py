@@ -252,14 +252,14 @@ def redact(texts: DataFrame, secrets: DataFrame, placeholder: str = "<secret>")
 
     The body of a private key goes with its first line, up to the END line.
     """
-    spots = secrets.groupBy("source_table", "record_id").agg(F.collect_list(F.struct("line_no", "begins", "ends")).alias("spots"))
+    spots = secrets.groupBy("source_table", "record_id").agg(F.collect_list(F.struct("line_no", "begins", "ends")).alias("_spots"))
     joined = texts.dropDuplicates(["source_table", "record_id"]).join(spots, ["source_table", "record_id"], "left")
 
     @F.pandas_udf("string")
     def cover(text: pd.Series, spots: pd.Series) -> pd.Series:
         return pd.Series([_covered(t, s, placeholder) for t, s in zip(text, spots)], dtype="object")
 
-    return joined.withColumn("text", cover("text", "spots")).drop("spots")
+    return joined.withColumn("text", cover("text", "_spots")).drop("_spots")
 
 
 def _covered(text: str, spots: list[dict], placeholder: str) -> str:
