@@ -68,7 +68,7 @@ def _script_pattern(language: str) -> re.Pattern[str]:
         closing = r"</[\w.:-]*+\s*+>"
         after_open, after_close = r"(?:[^<>{}]*+(?=[<{]))?", r"(?:[^<>{}()=;]*+(?=[<{]))?"
         parts += [
-            rf"(?:(?<=\}})[^<>{{}}()=;]*+(?=</)|{_BEFORE}|^\s*+|(?=</))(?:{tag}(?:/>{after_close}|(?<!=)>{after_open})|{closing}{after_close})++",
+            rf"(?:(?<=\}})[^<>{{}}()=;]*+(?=<[/A-Za-z>])|{_BEFORE}|^\s*+|(?=</))(?:{tag}(?:/>{after_close}|(?<!=)>{after_open})|{closing}{after_close})++",
         ]
     parts += [
         rf"(?<=[{{,])\s*+(?:{reserved})(?=\s*+:)",
@@ -234,7 +234,7 @@ def _until(pattern: re.Pattern[str], instead: str, text: str) -> str:
 
 def script_statements(classes: str) -> set[str]:
     """Distinct statements, their parentheses reduced to P, brackets to Y and blocks to G, innermost first."""
-    found: set[str] = {"^" + classes[:4]}
+    found: set[str] = {"{:"} if re.match(r"n?\{[SN]:", classes) else set()
     # what a parenthesis opens with tells annotations
     found.update("(" + m for m in re.findall(r"\((I\??:)", classes))
     text = classes
@@ -446,7 +446,7 @@ def bad_nesting(tokens: DataFrame) -> DataFrame:
 #: Statements that no production of a script language makes; the untyped and typed languages add their own.
 SCRIPT_WRONG = (
     r"qG(?![gl])|q(?![G{])|CI(?![=:o!])|FB?I?(?![PI(])|FB?I?P$|i(?!P|tP|\()|h(?!P|\()|g(?!P|[G{(])|l(?![G{])|K(?!I?(?:E[IPBNSY,.<>|]*+)*+[G{]|I$|$)|(?<![.IP])iP$"
-    r"|^M(?!S|P|\(|\.|y?(?:I(?:,(?:[G{]|BoI))?|[G{]|BoI)|y?\{)|fI|^\^n?\{[SN]:"
+    r"|^M(?!S|P|\(|\.|y?(?:I(?:,(?:G|BoI))?|G|BoI)fS|y?I=)|fI|^\{:$"
 )
 UNTYPED_WRONG = r"CI:|VI:|^\(I\??:|P:I(?:Y|<[^>]*>)*[G{]|FB?I?P(?![G{])|I\?:"
 TYPED_WRONG = r"FB?I?P(?![G{:B])"
