@@ -255,7 +255,7 @@ def python_statements(classes: str) -> set[str]:
 
     > deeper, = level, < less deep, ! at no level that is open; after a try also the word at its level.
     """
-    lines = [(len(x) - len(x.lstrip(" ")), x.strip(" ")) for x in re.sub(r"\n *(?=[^()\[\]{}]*[)\]}])", "", _until(_ANY, "I", classes)).split("\n")]
+    lines = [(len(x) - len(x.lstrip(" ")), x.strip(" ")) for x in _until(_ANY, "I", classes).split("\n")]
     lines = [x for x in lines if x[1]]
     found: set[str] = set()
     levels = [0]
