@@ -147,8 +147,10 @@ def tool_written(files: DataFrame) -> DataFrame:
     rest = content
     for literal, instead in LITERALS:
         rest = F.regexp_replace(rest, literal, instead)
-    rest = F.regexp_replace(F.regexp_replace(rest, LITERAL_LINE, ""), r"\s+", "")
-    data = (F.length(rest) <= CODE_PART * length) & (lines >= 5)
+    rest = F.regexp_replace(rest, LITERAL_LINE, "")
+    code_lines = F.regexp_count(rest, F.lit(r"(?m)^[ \t]*\S"))
+    # most lines must be literals too: one long string doesn't make a data file
+    data = (lines >= 5) & (code_lines <= 0.4 * lines) & (F.length(F.regexp_replace(rest, r"\s+", "")) <= CODE_PART * length)
     why = (
         F.when(content.rlike(GENERATED_HEADER) | rel.rlike(GENERATED_PATH) | layout, "generated")
         .when(rel.rlike(MINIFIED_PATH) | minified, "minified")
