@@ -445,7 +445,7 @@ def bad_nesting(tokens: DataFrame) -> DataFrame:
 
 #: Statements that no production of a script language makes; the untyped and typed languages add their own.
 SCRIPT_WRONG = (
-    r"qG(?![gl])|q(?![G{])|CI(?![=:o!])|FB?I?(?![PI(])|FB?I?P$|i(?!P|tP|\()|h(?!P|\()|g(?!P|[G{(])|l(?![G{])|K(?!I?(?:E[IPBNSY,.<>|]*+)*+[G{]|I$|$)|(?<![.IP])iP$"
+    r"qG(?![gl])|q(?![G{])|CI(?![=:o!])|FB?I?(?![PI(])|FB?I?P$|i(?!P|tP|\()|h(?!P|\()|g(?!P|[G{(])|l(?![G{])|K(?!I?(?:E[IPBNSY,.<>|]*+)*+[G{])|(?<![.IP])iP$|[CV][GY]$|^k[^:]*$|yI(?:E[^G]*)?$"
     r"|^M(?!S|P|\(|\.|y?(?:I(?:,(?:G|BoI))?|G|BoI)fS|y?I=)|fI|^\{:$"
 )
 UNTYPED_WRONG = r"CI:|VI:|^\(I\??:|P:I(?:Y|<[^>]*>)*[G{]|FB?I?P(?![G{])|I\?:"

@@ -95,9 +95,9 @@ GOOD = {
 }
 BAD = {
     "python": ["def f(:\n    pass\n", "x = [1, 2\n", "if x:\n", "a\n<<<<<<< HEAD\nb\n", "try:\n    x\ny = 1\n", "const a = 1;\n", "def f():\n    x = 1\n   y = 2\n", "x = 'abc\n", "x = 1 +\n"],
-    "javascript": ["function f() {\n  return 1;\n", "const x: number = 1;\n", "a b\n", ">>>>>>> x\nf();\n", "const x\n", "const a = (<div className=\"b\">c</div>);\n", "f(]);\n", "import { a } fr", "def f(x):\n    return x\n", "<!DOCTYPE html>\n<html></html>", "const s = `abc", "interface A { b: c }\n"],
+    "javascript": ["function f() {\n  return 1;\n", "const x: number = 1;\n", "a b\n", ">>>>>>> x\nf();\n", "const x\n", "const a = (<div className=\"b\">c</div>);\n", "f(]);\n", "import { a } fr", "def f(x):\n    return x\n", "<!DOCTYPE html>\n<html></html>", "const s = `abc", "interface A { b: c }\n", "f();\nexport class A extends B", "const { a, b }\n", "switch (a) {\n  case 1\n}\n", "if (a)"],
     "jsx": ["const A = () => (<div><b>x</div>);\nfunction B() {", "const a = (b: any) => b;\n"],
-    "typescript": ["const a = (<section className=\"b\">c</section>);\n", "class A { m(): void {\n", "def f(x):\n    pass\n", ".widget {\n  color: #097445;\n}\n"],
+    "typescript": ["const a = (<section className=\"b\">c</section>);\n", "class A { m(): void {\n", "def f(x):\n    pass\n", ".widget {\n  color: #097445;\n}\n", "export interface A extends B\n"],
     "tsx": ["export function A() { return <b>x</b>;\n"],
 }
 
