@@ -92,3 +92,21 @@ def inherited_methods(entities: DataFrame) -> DataFrame:
     methods = nodes(entities).where("label = 'Method'").select("project", F.regexp_extract("qn", r"(?s)^(.*)\.", 1).alias("ancestor"), F.col("name").alias("method")).distinct()
     joined = ancestors(entities).join(methods, ["project", "ancestor"])
     return joined.groupBy("project", "class", "method").agg(F.min(F.struct("depth", "ord", "ancestor")).getField("ancestor").alias("defined_in"))
+
+
+def parameter_types(entities: DataFrame) -> DataFrame:
+    """(project, function, parameter, class, score): the class of the project a parameter's name speaks of.
+
+    100 if the name is the class's, 90 if it is the end of it in whole words; the best by score,
+    then by name. The endings of class names are rows, so the match is a join on equal keys.
+    """
+    known = nodes(entities)
+    words = F.transform(F.regexp_extract_all("name", F.lit("[A-Z][a-z0-9]*|[a-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
+    classes = known.where("label = 'Class' and name is not null").select("project", F.col("qn").alias("class"), words.alias("w")).where("size(w) > 0")
+    ending = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.struct(n.alias("from"), F.array_join(F.slice("w", n, F.size("w") - n + 1), "").alias("key"))))
+    endings = classes.select("project", "class", ending.alias("e")).select("project", "class", "e.key", F.when(F.col("e.from") == 1, 100).otherwise(90).alias("score"))
+    names = F.explode(F.array_distinct(F.regexp_extract_all("signature", F.lit(r"[(,]\s*\*{0,2}([A-Za-z_]\w*)"), F.lit(1))))
+    parameters = known.where("signature is not null").select("project", F.col("qn").alias("function"), names.alias("parameter"))
+    parameters = parameters.withColumn("key", F.lower(F.replace("parameter", F.lit("_"), F.lit(""))))
+    best = parameters.join(endings, ["project", "key"]).groupBy("project", "function", "parameter").agg(F.max_by(F.struct("class", "score"), F.struct("score", "class")).alias("b"))
+    return best.select("project", "function", "parameter", "b.class", "b.score")

@@ -177,8 +177,16 @@ def inheritance_stats(spark: SparkSession, d: str) -> DataFrame:
     return known.groupBy("project").agg(F.count("*").alias("classes"), F.count_if(F.col("n") > 0).alias("with_parents"), F.round(F.avg("n"), 6).alias("avg_parents"))
 
 
+def import_map(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.import_map(table(spark, d, "imports"))
+
+
+def param_type_match(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.parameter_types(table(spark, d, "code_entities"))
+
+
 NAMES = (
-    "scan_statistics content_hash_changed unchanged_semi upsert_nodes delete_file_entities delete_calls_for_file delete_by_prefix metadata_upsert_version generation_log_order generation_status "
+    "import_map param_type_match scan_statistics content_hash_changed unchanged_semi upsert_nodes delete_file_entities delete_calls_for_file delete_by_prefix metadata_upsert_version generation_log_order generation_status "
     "metadata_documents list_projects project_stats_prefix context_file_summaries call_chain_explanations import_extract module_qn registry_simple_name registry_prefix registry_suffix "
     "resolve_calls module_distance mro_bfs subclasses inherited_methods inheritance_stats"
 ).split()
@@ -204,6 +212,12 @@ def _up(hops: int) -> str:
 _COMMON = "len(list_filter(range(1, greatest(len(l), len(r)) + 1), lambda n: l[1:n] = r[1:n] AND n <= least(len(l), len(r))))"
 _B = ", ".join(f"'{x}'" for x in (*resolve.PYTHON_BUILTINS, *resolve.SCRIPT_BUILTINS))
 ORACLE = {
+    "import_map": "SELECT project_name AS project, file_path, coalesce(nullif(alias, ''), name) AS local, struct_extract(max(ROW(line_number, CASE WHEN coalesce(source, '') = '' THEN name ELSE source || '.' || name END)), 2) AS target FROM imports GROUP BY 1, 2, 3",
+    "param_type_match": """WITH n AS (SELECT DISTINCT entity_id, project_name AS project, qualified_name AS qn, name, type, signature FROM code_entities), c AS (
+  SELECT project, qn AS class, list_transform(regexp_extract_all(name, '[A-Z][a-z0-9]*|[a-z0-9]+'), lambda w: lower(w)) AS w FROM n WHERE type = 'class'
+), e AS (SELECT project, class, array_to_string(w[k:], '') AS key, CASE WHEN k = 1 THEN 100 ELSE 90 END AS score FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM c)),
+p AS (SELECT DISTINCT project, function, parameter, lower(replace(parameter, '_', '')) AS key FROM (SELECT project, qn AS function, unnest(regexp_extract_all(signature, '[(,]\\s*\\*{0,2}([A-Za-z_]\\w*)', 1)) AS parameter FROM n WHERE signature IS NOT NULL))
+SELECT project, function, parameter, struct_extract(b, 2) AS class, struct_extract(b, 1) AS score FROM (SELECT p.project, function, parameter, max(ROW(score, class)) AS b FROM p JOIN e ON e.project = p.project AND e.key = p.key GROUP BY 1, 2, 3)""",
     "scan_statistics": _F
     + "SELECT language, count(*) AS file_count, sum(length(content) - length(replace(content, chr(10), '')) + 1)::BIGINT AS total_lines, sum(length(content))::BIGINT AS total_size FROM f WHERE content IS NOT NULL GROUP BY 1",
     "content_hash_changed": _F + "SELECT file_id, coalesce(sha256(content) <> content_hash, true) AS changed FROM f",

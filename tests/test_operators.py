@@ -190,3 +190,13 @@ def test_core_does_not_import_llm():
     for source in root.rglob("*.py"):
         if "llm" not in source.relative_to(root).parts:
             assert "lodestrata.llm" not in source.read_text()
+
+
+def test_parameter_types(spark):
+    import datetime as dt
+
+    rows = [entity(1, "UserStore", "class"), entity(2, "Store", "class"), entity(3, "f")]
+    rows[2] = (*rows[2][:6], "def f(store, user_store, other, *items)", *rows[2][7:])
+    assert isinstance(rows[0][14], dt.datetime)
+    got = {(r.parameter, r["class"], r.score) for r in resolve.parameter_types(spark.createDataFrame(rows, ENTITY)).collect()}
+    assert got == {("store", "p.m.Store", 100), ("user_store", "p.m.UserStore", 100)}
