@@ -134,30 +134,34 @@ def tool_written(files: DataFrame) -> DataFrame:
     Null rows stay until they are grouped: a filter here would run every pattern once more.
     """
     content, rel = F.col("content"), F.col("rel")
-    dense = F.length(F.regexp_replace(content, r"[ \t\n]+", ""))
-    length = F.length(content)
-    script = rel.rlike(r"\.[cm]?[jt]sx?$")
-    widest = F.regexp_extract(content, r"(?m)^[^\n]{80,}$", 0) != ""
-    lines = F.regexp_count(content, F.lit(r"(?m)^[ \t]*\S"))
-    minified = script & widest & (((dense >= 0.93 * length) & (dense >= 40 * lines)) | ((dense >= 0.85 * length) & (dense >= 100 * lines)))
-    numbered = F.regexp_count(content, F.lit(_NUMBERED))
-    in_order = F.regexp_extract_all(content, F.lit(_NUMBERED), F.lit(1))
-    ordered = F.element_at(in_order, 1).isin("0", "1") & (F.element_at(in_order, -1).cast("int") >= numbered - 1)
-    layout = ((numbered >= 2) & ordered & (numbered >= 0.8 * F.regexp_count(content, F.lit(_TOP_LEVEL)))) | content.rlike(_MIGRATION)
     rest = content
     for literal, instead in LITERALS:
         rest = F.regexp_replace(rest, literal, instead)
-    rest = F.regexp_replace(rest, LITERAL_LINE, "")
-    code_lines = F.regexp_count(rest, F.lit(r"(?m)^[ \t]*\S"))
-    # most lines must be literals too: one long string doesn't make a data file
-    data = (lines >= 5) & (code_lines <= 0.4 * lines) & (F.length(F.regexp_replace(rest, r"\s+", "")) <= CODE_PART * length)
+    # what several rules use is a column of its own, so that no pattern runs twice
+    rows = files.withColumns(
+        {
+            "rest": F.regexp_replace(rest, LITERAL_LINE, ""),
+            "lines": F.regexp_count(content, F.lit(r"(?m)^[ \t]*\S")),
+            "dense": F.length(F.regexp_replace(content, r"[ \t\n]+", "")),
+            "places": F.regexp_extract_all(content, F.lit(_NUMBERED), F.lit(1)),
+        }
+    )
+    length, lines, dense, places = F.length(content), F.col("lines"), F.col("dense"), F.col("places")
+    script = rel.rlike(r"\.[cm]?[jt]sx?$")
+    widest = content.rlike(r"[^\n]{80}")
+    minified = script & widest & (((dense >= 0.93 * length) & (dense >= 40 * lines)) | ((dense >= 0.85 * length) & (dense >= 100 * lines)))
+    ordered = F.element_at(places, 1).isin("0", "1") & (F.element_at(places, -1).cast("int") >= F.size(places) - 1)
+    layout = ((F.size(places) >= 2) & ordered & (F.size(places) >= 0.8 * F.regexp_count(content, F.lit(_TOP_LEVEL)))) | content.rlike(_MIGRATION)
+    # most lines must be literals: one long string doesn't make a data file
+    code_lines = F.regexp_count("rest", F.lit(r"(?m)^[ \t]*\S"))
+    data = (lines >= 5) & (code_lines <= 0.4 * lines) & (F.length(F.regexp_replace("rest", r"\s+", "")) <= CODE_PART * length)
     why = (
         F.when(content.rlike(GENERATED_HEADER) | rel.rlike(GENERATED_PATH) | layout, "generated")
         .when(rel.rlike(MINIFIED_PATH) | minified, "minified")
         .when(rel.rlike(VENDOR_PATH) | content.rlike(VENDOR_HEADER), "vendored")
         .when(data, "data")
     )
-    return files.select("file_id", why.alias("why"))
+    return rows.select("file_id", why.alias("why"))
 
 
 def not_by_hand(files: DataFrame) -> DataFrame:
