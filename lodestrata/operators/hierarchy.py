@@ -18,30 +18,31 @@ from lodestrata.session import cut
 MAX_ROUNDS = 200
 
 
-def _coin(column: str, round_no: int) -> Column:
-    """A bit of each node that changes from round to round."""
-    return F.xxhash64(F.col(column), F.lit(round_no)).bitwiseAND(F.lit(1).cast("long"))
+def _coin(column: str) -> Column:
+    """A bit of each node that changes from round to round; the round is a column, so that all rounds run the same code."""
+    return F.xxhash64(F.col(column), F.col("turn")).bitwiseAND(F.lit(1).cast("long"))
 
 
-def _contract(live: DataFrame, with_path: bool) -> tuple[list[DataFrame], DataFrame | None]:
+def _contract(live: DataFrame, with_path: bool) -> tuple[list[DataFrame], list[DataFrame]]:
     """The records of each round, oldest first, and the nodes that stand for a loop.
 
     A round finds each node's number of children. Nodes without any are raked. Of the nodes with
     one child an independent set (own coin 1, parent's coin 0) is spliced out: the child takes
-    over the parent and the length of the link.
+    over the parent and the length of the link, also if it is raked in the same round, so that
+    a record's parent is always a node that lives on.
     """
     rounds: list[DataFrame] = []
     loops: list[DataFrame] = []
-    for round_no in range(MAX_ROUNDS):
+    live = live.withColumn("turn", F.lit(0))
+    for _ in range(MAX_ROUNDS):
         children = live.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.max("id").alias("child"))
         kind = (
             F.when(F.col("parent") == F.col("id"), "loop")
             .when(F.col("n").isNull(), "leaf")
-            .when((F.col("n") == 1) & (_coin("id", round_no) == 1) & (_coin("parent", round_no) == 0), "chain")
+            .when((F.col("n") == 1) & (_coin("id") == 1) & (_coin("parent") == 0), "chain")
             .otherwise("stays")
         )
         step = cut(live.join(children, "id", "left").withColumn("kind", kind).drop("n"), "id")
-        rounds.append(step.where(F.col("kind").isin("leaf", "chain")).drop("child"))
         loops.append(step.where("kind = 'loop'").select("id"))
         spliced = step.where("kind = 'chain'").select(
             F.col("child").alias("id"),
@@ -49,17 +50,20 @@ def _contract(live: DataFrame, with_path: bool) -> tuple[list[DataFrame], DataFr
             F.col("hops").alias("up_hops"),
             *([F.concat("via", F.array("id")).alias("up_via")] if with_path else []),
         )
-        stays = step.where("kind = 'stays'").drop("child", "kind").join(spliced, "id", "left")
         columns = [
-            F.col("id"),
+            "id",
             F.coalesce("up", "parent").alias("parent"),
             (F.col("hops") + F.coalesce("up_hops", F.lit(0).cast("long"))).alias("hops"),
+            "kind",
+            (F.col("turn") + 1).alias("turn"),
         ]
         if with_path:
             columns.append(F.when(F.col("up").isNull(), F.col("via")).otherwise(F.concat("up_via", "via")).alias("via"))
-        live = stays.select(*columns)
+        moved = step.drop("child").join(spliced, "id", "left").select(*columns)
+        rounds.append(moved.where(F.col("kind").isin("leaf", "chain")))
+        live = moved.where("kind = 'stays'").drop("kind")
         if step.where("kind = 'stays'").isEmpty():
-            return rounds, reduce(DataFrame.union, loops)
+            return rounds, loops
     raise RuntimeError(f"contraction did not end within {MAX_ROUNDS} rounds")
 
 
@@ -85,18 +89,17 @@ def resolve_hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
         return done
     rounds, loops = _contract(live, with_path)
     lost = F.lit(-1).cast("long")
-    done = done.unionByName(loops.select("id", lost.alias("root"), lost.alias("depth"), *([F.lit(None).cast("array<long>").alias("path")] if with_path else [])))
-    for step in reversed(rounds):
-        for kind in ("chain", "leaf"):
-            above = done.select(F.col("id").alias("parent"), "root", F.col("depth").alias("above"), *([F.col("path").alias("above_path")] if with_path else []))
-            found = step.where(F.col("kind") == kind).join(above, "parent").select(
-                "id",
-                "root",
-                F.when(F.col("above") < 0, lost).otherwise(F.col("above") + F.col("hops")).alias("depth"),
-                *([F.concat("above_path", "via", F.array("id")).alias("path")] if with_path else []),
-            )
-            done = done.unionByName(found)
-        done = cut(done, "id")
+    looped = reduce(DataFrame.union, loops)
+    done = cut(done.unionByName(looped.select("id", lost.alias("root"), lost.alias("depth"), *([F.lit(None).cast("array<long>").alias("path")] if with_path else []))), "id")
+    for records in reversed(rounds):
+        above = done.select(F.col("id").alias("parent"), "root", F.col("depth").alias("above"), *([F.col("path").alias("above_path")] if with_path else []))
+        found = records.join(above, "parent").select(
+            "id",
+            "root",
+            F.when(F.col("above") < 0, lost).otherwise(F.col("above") + F.col("hops")).alias("depth"),
+            *([F.concat("above_path", "via", F.array("id")).alias("path")] if with_path else []),
+        )
+        done = cut(done.unionByName(found), "id")
     return done
 
 
