@@ -19,13 +19,6 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.tokens import TOKENIZERS, VOCABULARY, load_ranks
 
-#: Which lines are looked at: those with a sensitive word and a literal, or with a long run of letters and digits.
-HINT = (
-    r"(?i)passw|kennw|contrase|motdepasse|mot_de|mdp|senha|clave|geheim|passphrase|passcode|passwd|pwd|pw\b|\bpass\b|\bpin\b|secret|supplied|://[^/\s:@]*:[^/\s@]+@|-----BEGIN [A-Z ]*PRIVATE|\s-u\s+\S+:\S"
-)
-LONG_RUN = r"[A-Za-z0-9+/_=.~-]{14,}"
-SENSITIVE_LINE = r"(?i)token|key|credential|bearer|basic\s|auth|cookie|jwt|salt|\bsig\b|[\"'`]"
-
 #: Prefixes and shapes that services give their credentials.
 PROVIDERS = re.compile(
     r"(?<![A-Za-z0-9])(?:sk-ant-[\w-]{16,}|sk-(?:proj-|live-|test-|svcacct-)?[A-Za-z0-9]{20,}|[sr]k_(?:live|test)_\w{10,}|gh[oprsu]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|npm_[A-Za-z0-9]{20,}"
@@ -55,7 +48,22 @@ OTHER_ENDINGS = frozenset(
     "class url endpoint placeholder store provider service manager rate bucket".split()
 )
 OTHER_WORDS = frozenset("public pub verify cert certificate hash sha sha1 sha256 sha512 md5 digest checksum etag integrity fingerprint revision commit build trace request regex html css icon image".split())
-REFERENCE = re.compile(r"^(?:env|vault|ssm|file|secretsmanager|aws-?sm|gcp|sops|op|keyring|kms|arn|https?|data|urn|path|config)[:/]|^\$|\$\{|\{\{|%\(|^\{\w*\}|^<.*>$|^\[.*\]$|^os\.|^process\.|^%\w+%|\.\.\.|^\*+$|^x+$|…", re.I)
+#: Which lines are looked at: all that `find_values` can find something on. These run in the JVM, where \\s and \\w are ASCII, so they are wider than those of the judge.
+#: A word of a name stands in lower case, capitalized or in capitals, as `name_words` parts them.
+NAMED = "|".join(
+    f"{before}(?=[{''.join(sorted({w[0] for w in words}))}])(?:{'|'.join(sorted(words))})(?![a-z0-9])"
+    for before, words in (("(?<![A-Za-z])", SECRET_WORDS), ("", {w.title() for w in SECRET_WORDS}), ("(?<![A-Z])", {w.upper() for w in SECRET_WORDS}))
+)
+QUOTED = r"(?s)[\"'`].{4,}[\"'`]"
+UNNAMED = r"([\"'`])[A-Za-z0-9+/_=.~-]{20,100}\1"
+SHAPED = (
+    r"(?s)-----BEGIN .*PRIVATE KEY|://[^/\s:@]*:[^/\s@]+@|sk-|[sr]k_(?:live|test)_|gh[oprsu]_|github_pat_|glpat-|npm_|xox[abeoprs]-|xapp-|AKIA|ASIA|hf_|whsec_|AIza|SG\.|pypi-|dckr_pat_|shp(?:at|ss|ca)_|eyJ"
+    r"|(?i:[?&;][^=&;?]*(?:token|key|secret|password|passwd|pwd|auth|sig|signature|credential|code)=[^&\s\"'`]|\W(?:-u|--user)[ =][^\s:]+:\S|(?<!-)--[^\s=]*(?:password|passwd|token|secret|key|pass)[ =]+[^\s\"'`]|\W-p\W?\S{6}"
+    r"|authorization\W|x-[^\s\"':=,]*(?:key|token|secret|auth)|(?:bearer|basic)\W+[A-Za-z0-9+/_.=~-]{8})"
+)
+REMARKED = r"(?i)passw|secret|token|api.?key|credential|\bpw\b|login|\bkey\b"
+REMARK_START = r"(?:^|\W)(?:#|//|/?\*)"
+REFERENCE = re.compile(r"^(?:env|vault|ssm|file|secretsmanager|aws-?sm|gcp|sops|op|keyring|kms|arn|https?|data|urn|path|config)[:/]|^\$|\$\{|\{\{|%\(|^\{[\w.]*\}|^<.*>$|^\[.*\]$|^os\.|^process\.|^%\w+%|\.\.\.|^\*+$|^x+$|…", re.I)
 PLACEHOLDER_WORDS = re.compile(
     r"(?i)(?<![A-Za-z])(?:redacted|placeholder|change.?me|your|example|dummy|insert|replace|sample|fixme|todo|not.?set|missing|masked|hidden|removed|undefined|test.?only)(?![A-Za-z])|^(?:n/?a|none|null|nil)$"
 )
@@ -141,20 +149,20 @@ def odd_case(value: str) -> bool:
 
 def is_secret(value: str, kind: str, words: Words) -> bool:
     """Whether a literal given to a name of `kind` is a credential."""
-    if kind == "other" or is_reference(value) or len(value) < 4 or len(value) > 4096 or " " in value.strip():
+    if kind == "other" or is_reference(value) or len(value) < 4 or " " in value.strip():
+        return False
+    # without a name only a long residual of mixed characters tells, and digests, ids and encoded bytes don't
+    unnamed = kind not in ("password", "secret")
+    if unnamed and not (20 <= len(value) <= 100 and not DIGEST.match(value) and PLAIN_TOKEN.match(value) and any(c.isupper() for c in value) and any(c.islower() for c in value)):
         return False
     left = words.residual(value)
     digits = sum(c.isdigit() for c in left)
     letters = len(left) - digits
+    if unnamed:
+        return len(left) >= 0.6 * len(value) and digits >= 2 and letters >= 6
     if kind == "password":
         return len(value) >= 5 and (digits >= 1 or letters >= 4 or odd_case(value))
-    if kind == "secret":
-        return len(value) >= 8 and (digits >= 2 or digits and letters >= 3 or letters >= 8 or odd_case(value))
-    # without a name only a long residual of mixed characters tells, and digests, ids and encoded bytes don't
-    return (
-        20 <= len(value) <= 100 and len(left) >= 0.6 * len(value) and digits >= 2 and letters >= 6 and not DIGEST.match(value) and bool(PLAIN_TOKEN.match(value))
-        and any(c.isupper() for c in value) and any(c.islower() for c in value)
-    )
+    return len(value) >= 8 and (digits >= 2 or digits and letters >= 3 or letters >= 8 or odd_case(value))
 
 
 def find_values(line: str, words: Words) -> list[tuple[int, int]]:
@@ -176,7 +184,7 @@ def find_values(line: str, words: Words) -> list[tuple[int, int]]:
     for m in LITERAL.finditer(line):
         group = next((i for i in (1, 2, 3) if m[i] is not None), 1)
         value, prefix = m[group], line[: m.start()]
-        if not value or any(a <= m.start(group) < b or m.start(group) <= a < m.end(group) for a, b in found):
+        if len(value) < 4 or " " in value.strip() or any(a <= m.start(group) < b or m.start(group) <= a < m.end(group) for a, b in found):
             continue
         defaulted = DEFAULTED.search(prefix) or FROM_ENV.search(prefix)
         assigned = ASSIGNED.search(prefix)
@@ -210,10 +218,10 @@ def find_values(line: str, words: Words) -> list[tuple[int, int]]:
 
 
 def candidate_lines(texts: DataFrame) -> DataFrame:
-    """(source_table, record_id, line_no, line) of the lines of texts (source_table, record_id, text) that could hold a secret."""
+    """(source_table, record_id, line_no, line) of the lines of texts (source_table, record_id, text) that could hold a secret: none that the judge would take is left out."""
     lines = texts.select("source_table", "record_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     line = F.col("line")
-    wanted = line.rlike(HINT) | (line.rlike(LONG_RUN) & line.rlike(r"\d") & line.rlike(SENSITIVE_LINE))
+    wanted = line.rlike(SHAPED) | line.rlike(UNNAMED) | (line.rlike(QUOTED) & line.rlike(NAMED)) | (line.rlike(REMARK_START) & line.rlike(r"\p{N}") & line.rlike(REMARKED))
     return lines.where(wanted).select("source_table", "record_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
