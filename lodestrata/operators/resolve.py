@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.graph import extends_edges, nodes, trails
+from lodestrata.operators.graph import extends_edges, nodes
+from lodestrata.session import cut
 
 #: Names that a language brings with it, and where they live.
 PYTHON_BUILTINS = (
@@ -77,14 +78,67 @@ def resolve_calls(entities: DataFrame, imports: DataFrame) -> DataFrame:
     return found.groupBy("project", "caller", "call").agg(F.min("c").alias("c")).select("project", "caller", "call", "c.strategy", "c.target")
 
 
-def ancestors(entities: DataFrame, hops: int = 6) -> DataFrame:
-    """(project, class, ancestor, depth, place): the method resolution order, breadth first; place counts from 0, the class itself."""
-    lines = trails(extends_edges(entities).select("project", "src", "dst"), hops).where("origin != reached")
-    order = extends_edges(entities).select("project", F.col("src").alias("origin"), F.col("dst").alias("first"), "ord")
-    ranked = lines.withColumn("first", F.element_at("path", 2)).join(order, ["project", "origin", "first"])
-    least = ranked.groupBy("project", "origin", "reached").agg(F.min(F.struct("depth", "ord")).alias("m"))
+def least_links(extends: DataFrame) -> DataFrame:
+    """(project, origin, reached, depth, ord): all pairs that any number of links joins, with the least depth and the least ord of a first link at it.
+
+    A round doubles the depth: pairs just as far apart as was looked for go on by all pairs found,
+    so a chain of n links takes log n rounds, and loops end as a round finds only new pairs.
+    """
+    keys = ["project", "origin", "reached"]
+    found = cut(extends.where("src != dst").select("project", F.col("src").alias("origin"), F.col("dst").alias("reached"), F.lit(1).alias("depth"), "ord"), "project", "origin")
+    hops, before, count = 1, 0, found.count()
+    while before < count:
+        far = found.where(F.col("depth") == hops).select("project", "origin", F.col("reached").alias("middle"), "ord")
+        near = found.select("project", F.col("origin").alias("middle"), "reached", (F.col("depth") + hops).alias("depth"))
+        new = far.join(near, ["project", "middle"]).where("origin != reached").join(found.select(*keys), keys, "left_anti")
+        new = new.groupBy(*keys).agg(F.min(F.struct("depth", "ord")).alias("m")).select(*keys, "m.depth", "m.ord")
+        found = cut(found.unionByName(new), "project", "origin")
+        hops, before, count = 2 * hops, count, found.count()
+    return found
+
+
+def ancestors(entities: DataFrame) -> DataFrame:
+    """(project, class, ancestor, depth, ord): the method resolution order, breadth first and of any depth; ord is the place of the first link, the class itself has depth 0."""
     own = nodes(entities).where(F.col("label").isin("Class", "Interface")).select("project", F.col("qn").alias("class"), F.col("qn").alias("ancestor"), F.lit(0).alias("depth"), F.lit(0).alias("ord"))
-    return own.unionByName(least.select("project", F.col("origin").alias("class"), F.col("reached").alias("ancestor"), "m.depth", "m.ord"))
+    return own.unionByName(least_links(extends_edges(entities)).select("project", F.col("origin").alias("class"), F.col("reached").alias("ancestor"), "depth", "ord"))
+
+
+def _followed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Ways (project, src, dst, n) of `a` that go on by one of `b`, counted."""
+    joined = a.select("project", "src", F.col("dst").alias("middle"), F.col("n").alias("m")).join(b.select("project", F.col("src").alias("middle"), "dst", "n"), ["project", "middle"])
+    return joined.groupBy("project", "src", "dst").agg(F.sum(F.col("m") * F.col("n")).alias("n"))
+
+
+def _summed(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("project", "src", "dst").agg(F.sum("n").alias("n"))
+
+
+def subclass_paths(entities: DataFrame) -> DataFrame:
+    """(project, class, subclass, paths): descendants with the number of paths of any length, no link twice in a path; a diamond gives two.
+
+    Links of loops are walked one by one, as a path may not repeat them. All others lead from loop
+    to loop without return, so their paths are products of counts, and a round doubles their length.
+    """
+    edges = cut(extends_edges(entities).select("project", "src", "dst", "ord"), "project", "src")
+    back = least_links(edges).select("project", F.col("reached").alias("src"), F.col("origin").alias("dst")).unionByName(edges.where("src = dst").select("project", "src", "dst"))
+    keys = ["project", "src", "dst"]
+    looped = cut(edges.join(back, keys, "left_semi").select(*keys), "project", "src")
+    plain = edges.join(back, keys, "left_anti").select(*keys, F.lit(1).cast("long").alias("n"))
+    step = looped.select("project", F.col("src").alias("at"), F.col("dst").alias("next"))
+    here = cut(looped.select(*keys, F.array(F.struct("src", "dst")).alias("used")), "project", "dst")
+    around = here.groupBy(*keys).agg(F.count("*").alias("n"))
+    while not here.isEmpty():
+        grown = here.withColumnRenamed("dst", "at").join(step, ["project", "at"]).withColumn("link", F.struct(F.col("at").alias("src"), F.col("next").alias("dst")))
+        grown = grown.where(~F.array_contains("used", F.col("link"))).select("project", "src", F.col("next").alias("dst"), F.array_append("used", F.col("link")).alias("used"))
+        here = cut(grown, "project", "dst")
+        around = cut(_summed(around, here.groupBy(*keys).agg(F.count("*").alias("n"))), "project", "src")
+    # single: paths of `power` plain links with what lies around behind each; total: of 1 to `power`
+    single = total = cut(_summed(plain, _followed(plain, around)), "project", "src")
+    while not single.isEmpty():
+        total = cut(_summed(total, _followed(single, total)), "project", "src")
+        single = cut(_followed(single, single), "project", "src")
+    ways = _summed(around, total, _followed(around, total))
+    return ways.select("project", F.col("dst").alias("class"), F.col("src").alias("subclass"), F.col("n").alias("paths"))
 
 
 def inherited_methods(entities: DataFrame) -> DataFrame:

@@ -157,13 +157,12 @@ def module_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mro_bfs(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.ancestors(table(spark, d, "code_entities"), 5).select("project", "class", "ancestor", "depth")
+    return resolve.ancestors(table(spark, d, "code_entities")).select("project", "class", "ancestor", "depth")
 
 
 def subclasses(spark: SparkSession, d: str) -> DataFrame:
-    """Descendants by every path of up to five links: a diamond gives one twice."""
-    lines = graph.trails(graph.extends_edges(table(spark, d, "code_entities")).select("project", "src", "dst"), 5)
-    return lines.groupBy("project", F.col("reached").alias("class"), F.col("origin").alias("subclass")).agg(F.count("*").alias("paths"))
+    """Descendants by every path: a diamond gives one twice."""
+    return resolve.subclass_paths(table(spark, d, "code_entities"))
 
 
 def inherited_methods(spark: SparkSession, d: str) -> DataFrame:

@@ -200,3 +200,37 @@ def test_parameter_types(spark):
     assert isinstance(rows[0][14], dt.datetime)
     got = {(r.parameter, r["class"], r.score) for r in resolve.parameter_types(spark.createDataFrame(rows, ENTITY)).collect()}
     assert got == {("store", "p.m.Store", 100), ("user_store", "p.m.UserStore", 100)}
+
+
+def test_inheritance_of_any_depth(spark):
+    import random
+
+    rng = random.Random(4)
+    bases = {f"C{i}": [f"C{i - 1}"] for i in range(1, 30)} | {"C0": [], "C40": ["C29", "C7"], "C41": ["C40", "C28"]}
+    bases |= {"L0": ["L1"], "L1": ["L2", "C3"], "L2": ["L0", "L1"], "L3": ["L0"], "L4": ["L3", "L1"], "S": ["S"], "T": ["S", "L4"]}
+    bases |= {f"R{i}": [f"R{j}" for j in rng.sample(range(i), min(i, 2))] for i in range(12)}
+    rows = [entity(i, name, "class", bases=above) for i, (name, above) in enumerate(bases.items())] + [entity(999, "C0.run", "method"), entity(998, "C1.stop", "method"), entity(997, "C20.run", "method")]
+    df = spark.createDataFrame(rows + rows[:3], ENTITY)
+    depths, paths = {}, {}
+    for name in bases:
+        seen, line = {name: 0}, [name]
+        for at in line:
+            for above in bases[at]:
+                if above not in seen:
+                    seen[above] = seen[at] + 1
+                    line.append(above)
+        depths |= {(name, above): depth for above, depth in seen.items()}
+        trails = [(name, frozenset())]
+        for at, used in trails:
+            for above in bases[at]:
+                if (at, above) not in used:
+                    trails.append((above, used | {(at, above)}))
+                    paths[above, name] = paths.get((above, name), 0) + 1
+    short = lambda qn: qn.rpartition(".")[2]
+    got = [((short(r["class"]), short(r.ancestor)), r.depth) for r in resolve.ancestors(df).collect()]
+    assert len(got) == len(depths) and dict(got) == depths and max(depths.values()) > 20
+    got = [((short(r["class"]), short(r.subclass)), r.paths) for r in resolve.subclass_paths(df).collect()]
+    assert len(got) == len(paths) and dict(got) == paths
+    inherited = {(short(r["class"]), r.method): short(r.defined_in) for r in resolve.inherited_methods(df).collect()}
+    assert inherited["C19", "run"] == "C0" and inherited["C29", "stop"] == "C1" and inherited["C41", "run"] == "C0" and inherited["C28", "run"] == "C20" and inherited["C40", "stop"] == "C1"
+    assert resolve.ancestors(df.limit(0)).count() == 0 and resolve.subclass_paths(df.limit(0)).count() == 0
