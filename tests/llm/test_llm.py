@@ -254,39 +254,126 @@ def test_personal_details(spark, data):
     assert replaced[10**6 + 1] is None and re.sub(r"<[A-Z_]+>", "*", replaced[10**6]).startswith("Thanks to * for the patch.\nTicket QRY-66669 and order")
 
 
-def test_held_out_accuracy(spark, data):
-    """On documents that weren't fitted, the field agrees with the rules that labelled the sample."""
-    texts = [r.text for r in table(spark, data.replace("0.001", "0.01"), "documents").where("text is not null").orderBy("doc_id").select("text").collect()]
-    lexicon = personal.Lexicon([r.full_name for r in table(spark, data, "contributors").collect()])
-    field = personal.fit(texts[:600], lexicon)
-    found, wanted = set(), set()
-    for start in range(600, len(texts), 64):
-        part = texts[start : start + 64]
-        for i, spans in enumerate(personal.label_batch(part, field, lexicon)):
+def _rule_spans(texts, lexicon):
+    found = set()
+    for i, text in enumerate(texts):
+        pieces = personal.tokenize(text)
+        found |= {(i, *s) for s in personal._spans(text, pieces, personal.rule_labels(text, pieces, lexicon))}
+    return found
+
+
+def _field_spans(texts, field, lexicon):
+    pieces, found = personal.Table(lexicon), set()
+    for start in range(0, len(texts), 64):
+        for i, spans in enumerate(personal.label_batch(texts[start : start + 64], field, pieces)):
             found |= {(start + i, *s) for s in spans}
-            pieces = personal.tokenize(part[i], lexicon.given, lexicon.family)
-            labels = {k: personal.LABELS[label] for k, label in enumerate(personal.rule_labels(part[i], pieces, lexicon)) if label}
-            wanted |= {(start + i, *s) for s in personal._spans(part[i], pieces, labels)}
-    assert len(found & wanted) / len(wanted) > 0.97 and len(found & wanted) / len(found) > 0.97
+    return found
 
 
-def test_messages_reach_the_exact_beliefs_on_a_chain():
+@pytest.fixture(scope="module")
+def texts_and_names(spark, data):
+    folder = data.replace("0.001", "0.01")
+    texts = [r.text for r in table(spark, folder, "documents").where("text is not null").orderBy("doc_id").select("text").collect()]
+    return texts, [r.full_name for r in table(spark, data, "contributors").where("full_name is not null").orderBy("contributor_id").collect()]
+
+
+def test_held_out_accuracy(texts_and_names):
+    """On documents that weren't fitted, the field agrees with listed names and written forms."""
+    texts, names = texts_and_names
+    lexicon = personal.Lexicon(names)
+    field = personal.fit(texts[:700], lexicon)
+    found, wanted = _field_spans(texts[700:], field, lexicon), _rule_spans(texts[700:], lexicon)
+    assert len(found & wanted) / len(wanted) > 0.96 and len(found & wanted) / len(found) > 0.96
+
+
+def test_names_that_nothing_lists(texts_and_names):
+    """Names that neither the lexicon nor a fitted document holds are found by their context, and by their kin where the context is silent."""
+    texts, names = texts_and_names
+    rng = random.Random(3)
+    parts = sorted({p for n in names for p in (personal.name_parts(n) or ())})
+    gone = set(rng.sample(parts, 16))
+    mentions = [bool(re.search("|".join(map(re.escape, gone)), personal.fold(t))) for t in texts]
+    kept = personal.Lexicon([n for n in names if not gone & set(personal.name_parts(n) or ())])
+    field = personal.fit([t for t, m in zip(texts, mentions) if not m], kept)
+    test = [t for t, m in zip(texts, mentions) if m]
+    names_only = lambda spans: {s for s in spans if s[1] == "name"}
+    unlisted = names_only(_rule_spans(test, personal.Lexicon(names))) - _rule_spans(test, kept)
+    found = names_only(_field_spans(test, field, kept))
+    assert len(unlisted) > 30 and len(unlisted & found) / len(unlisted) > 0.7
+    # a second mention that says nothing for itself
+    strange = ["Ottoline Brackmoor", "Wilmot Farthingale", "Ysolde Quennell"]
+    again = [f"Signed-off-by: {name} <x{i}@inbox.test>\n{test[i][:200]}\nlater {name.lower() if i % 2 else name} likewise" for i, name in enumerate(strange * 20)]
+    twice = lambda: sum(sum(1 for s in _field_spans([t], field, kept) if s[1] == "name" and personal.fold(t[s[2] : s[3]]) in map(personal.fold, strange)) > 1 for t in again)
+    with_skips = twice()
+    field.skip[:] = 0
+    assert with_skips > twice() + 10
+
+
+def _enumerated(local, chain, skip_edges, skip):
     import itertools
 
     import numpy as np
 
-    rng = np.random.default_rng(5)
-    field = personal.Field({}, rng.normal(size=(8, 8)), np.zeros((8, 8)))
-    scores = rng.normal(size=(4, 8)).astype(np.float32)
-    chains = np.array([(0, 1), (1, 2), (2, 3)])
-    got = field.beliefs(scores, chains, np.zeros((0, 2), dtype=int))
-    exact = np.full((4, 8), -np.inf)
-    for labels in itertools.product(range(8), repeat=4):
-        weight = sum(scores[i, y] for i, y in enumerate(labels)) + sum(field.chain[a, b] for a, b in zip(labels, labels[1:]))
+    n, k = local.shape
+    exact, whole = np.zeros((n, k)), 0.0
+    for labels in itertools.product(range(k), repeat=n):
+        path = (0, *labels, 0)
+        weight = np.exp(sum(np.log(local[i, y]) for i, y in enumerate(labels)) + sum(chain[a, b] for a, b in zip(path, path[1:])) + sum(skip[labels[a], labels[b]] for a, b in skip_edges))
+        whole += weight
         for i, y in enumerate(labels):
-            exact[i, y] = np.logaddexp(exact[i, y], weight)
-    normal = lambda x: x - np.logaddexp.reduce(x, axis=1, keepdims=True)
-    assert np.abs(normal(got.astype(float)) - normal(exact)).max() < 0.1
+            exact[i, y] += weight
+    return exact / whole, whole
+
+
+def test_messages_and_gradient_are_exact_on_a_chain():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    graph = personal.Graph(["alpha beta gamma"], personal.Table(personal.Lexicon()))
+    buckets = graph.features()
+    field = personal.Field(rng.normal(size=(1 << personal.WEIGHT_BITS, 8)) * 0.3, rng.normal(size=(8, 8)), np.zeros((2, 8, 8)))
+    real = ~graph.pad
+    local = field.local(graph, buckets)
+    exact, _ = _enumerated(local[real], field.chain, [], field.skip[0])
+    assert np.abs(field.beliefs(graph, buckets)[real] - exact).max() < 1e-3
+    truth = np.zeros(len(graph.pad), dtype=np.int64)
+    truth[real] = [1, 2, 0]
+
+    def likelihood():
+        scores = field.weights[buckets].sum(axis=1)[real].astype(float)
+        path = (0, 1, 2, 0, 0)
+        whole = _enumerated(np.exp(scores), field.chain.astype(float), [], field.skip[0])[1]
+        return scores[range(3), [1, 2, 0]].sum() + sum(field.chain[a, b] for a, b in zip(path, path[1:])) - np.log(whole)
+
+    unary, chain, _, _ = field.gradient(graph, buckets, truth)
+    for a, b in ((1, 2), (0, 0), (4, 3)):
+        before = likelihood()
+        field.chain[a, b] += 1e-2
+        assert abs((likelihood() - before) / 1e-2 - chain[a, b]) < 0.05
+        field.chain[a, b] -= 1e-2
+    assert np.abs(unary[real].sum(axis=1)).max() < 1e-4
+
+
+def test_skip_edges_join_equal_and_similar_words():
+    text = "Ottoline Brackmoor asked. the end; OTTOLINE's friend Ottolina, the rest"
+    graph = personal.Graph([text, text], personal.Table(personal.Lexicon()))
+    words = [m[0] for matches in graph.matches for m in matches]
+    place = {int(at): w for at, w in zip((~graph.pad).nonzero()[0], words)}
+    pairs = [(place[a], place[b], bool(e)) for (a, b), e in zip(graph.skips.tolist(), graph.equal)]
+    assert pairs.count(("Ottoline", "OTTOLINE's", False)) == 2 and pairs.count(("OTTOLINE's", "Ottolina", False)) == 2
+    assert not any(a == "the" for a, _, _ in pairs)
+
+
+def test_every_name_is_known(spark):
+    names = spark.range(60_000).selectExpr("concat('Given', id, ' Family', id) AS full_name").unionByName(spark.createDataFrame([(None,), ("",), ("Solo",)], "full_name string"))
+    lexicon = personal.read_lexicon(names)
+    assert all(lexicon.bits_of(f"given{i}") & 1 and lexicon.bits_of(f"family{i}") & 2 for i in range(60_000))
+    assert personal.read_lexicon(names.limit(0)).known.sum() == 0
+
+
+def test_addresses_of_mail_and_remotes():
+    text = "git clone git@forge.internal.example:a/b.git {'mail': 'x.y+dev@inbox.test', pkg@1.0.0-beta 请联系x@y.test。 o'neil@example.org. ssh deploy@host https://u@h.example/x"
+    assert [text[a:b] for a, b, k in personal.tokenize(text) if k == personal.EMAIL_KIND] == ["x.y+dev@inbox.test", "x@y.test", "o'neil@example.org"]
 
 
 def test_no_documents(spark, data):
