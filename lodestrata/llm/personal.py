@@ -395,7 +395,7 @@ def fit(texts: list[str], lexicon: Lexicon, seed: int = 7, epochs: int = EPOCHS)
 
     In every other pass, but not in the last two, a part `WITHHELD` of the known names and of the
     capitalised words that aren't common is withheld: in all places of a document, so that only
-    their context and their kin speak for them.
+    their context and their kin speak for them. Without texts all weights are 0 and every token is O.
     """
     rng = np.random.default_rng(seed)
     n = len(LABELS)
@@ -420,6 +420,8 @@ def fit(texts: list[str], lexicon: Lexicon, seed: int = 7, epochs: int = EPOCHS)
         withheld = (rare | (c["known"] > 0)) & (c["kind"] == WORD_KIND) & (coin < 1000 * WITHHELD)
         versions.append((graph.features(), graph.features(withheld)))
     # the ascent begins where the labels' own counts put the potentials, and with features that say nothing
+    if not cases:
+        return field
     field.chain[:] = _affinity(sum(_joint(truth[:-1], truth[1:], ~(graph.pad[:-1] & graph.pad[1:])) for graph, truth in cases))
     for kind in (0, 1):
         found = sum(_joint(truth[graph.skips[:, 0]], truth[graph.skips[:, 1]], graph.equal == (kind == 0)) for graph, truth in cases)
