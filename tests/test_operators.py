@@ -81,12 +81,23 @@ def test_orphans(spark):
 
 
 def test_key_runs_against_set(spark):
-    names = [f"p.n{i}" for i in range(500)]
-    there = spark.createDataFrame([("p", n, None, None) for i, n in enumerate(names) if i % 3], "project string, target string, arrived timestamp, deleted timestamp")
-    wanted = spark.createDataFrame([("p", n) for n in names[::2]] * 2 + [("q", "p.n1")], "project string, target string")
-    for buckets in (1, 7, 4096):
-        got = {(r.project, r.target): r.beyond for r in references.match_keys(wanted, there, buckets).collect()}
-        assert got == {("p", n): i % 3 == 0 for i, n in enumerate(names) if i % 2 == 0} | {("q", "p.n1"): True}
+    import datetime as dt
+
+    names = [f"p.m.n{i}" for i in range(500)]
+    rows = [(i, "p", f"p.m.n{i}", dt.datetime(2025, 1, 1 + i % 9), None) for i in range(500) if i % 3] * 2 + [(999, "p", None, None, None), (998, None, "p.m.n0", None, None)]
+    there = spark.createDataFrame(rows, "entity_id long, project_name string, qualified_name string, ingested_at timestamp, deleted_at timestamp")
+    asked = [("p", n, i, "calls", None, None) for i, n in enumerate(names[::2])] * 2 + [("q", "p.m.n1", 1, "calls", None, None)]
+    wanted = spark.createDataFrame(asked, "project string, target string, entity_id long, field string, seen timestamp, indexed timestamp")
+    # few keys put many names into one run, many leave each name alone; the answer is the same
+    for bits, most, least in ((5, 32, 300), (9, 500, 2), (62, 500, 1)):
+        runs = references.parent_runs(there, bits).cache()
+        assert runs.count() <= most and runs.agg(F.sum(F.size("members"))).first()[0] == 333
+        assert runs.agg(F.max(F.size("members"))).first()[0] >= (least if bits != 5 else 8)
+        assert runs.where("run_end < run_start or next_start <= run_end + 1").count() == 0
+        matched = references.match_runs(wanted, runs, bits).collect()
+        assert len(matched) == len(asked)
+        assert {(r.project, r.target): r.beyond for r in matched} == {("p", n): i % 3 == 0 for i, n in enumerate(names) if i % 2 == 0} | {("q", "p.m.n1"): True}
+        assert all(r.arrived == dt.datetime(2025, 1, 1 + int(r.target[5:]) % 9) for r in matched if not r.beyond)
 
 
 def test_trails_use_an_edge_once(spark):
