@@ -196,16 +196,16 @@ _GONE = GRAPH + ", gone AS (SELECT n.project, n.qn, n.file_path FROM nodes n WHE
 _MODULE = "rtrim(project_name || '.' || regexp_replace(replace(regexp_replace(regexp_replace(path, '^/srv/repos/[^/]+/', ''), '\\.[^./]*$', ''), '/', '.'), '\\.?__init__$', ''), '.')"
 
 
-def _up(hops: int) -> str:
-    return (
-        GRAPH
-        + f""", lines AS (
+#: Trails of any length; an edge occurs at most once in one, so they end.
+_UP = (
+    GRAPH
+    + """, lines AS (
   SELECT project, src AS origin, dst AS reached, 1 AS depth, ord, [src || chr(1) || dst] AS used FROM extends
   UNION ALL SELECT l.project, l.origin, e.dst, l.depth + 1, l.ord, list_append(l.used, e.src || chr(1) || e.dst) FROM lines l JOIN extends e ON e.project = l.project AND e.src = l.reached
-  WHERE l.depth < {hops} AND NOT list_contains(l.used, e.src || chr(1) || e.dst)
+  WHERE NOT list_contains(l.used, e.src || chr(1) || e.dst)
 )
 """
-    )
+)
 
 
 _COMMON = "len(list_filter(range(1, greatest(len(l), len(r)) + 1), lambda n: l[1:n] = r[1:n] AND n <= least(len(l), len(r))))"
@@ -260,10 +260,10 @@ FROM c LEFT JOIN nodes q ON q.project = c.project AND q.qn = c.call LEFT JOIN m
 LEFT JOIN nodes h ON h.project = c.project AND h.qn = c.module || '.' || c.head LEFT JOIN near ON near.project = c.project AND near.caller = c.caller AND near.call = c.call""",
     "module_distance": GRAPH
     + f"SELECT project, src, dst, (len(l) + len(r) - 2 * {_COMMON} - CASE WHEN starts_with(dst, src || '.') THEN 2 ELSE 0 END)::INT AS distance FROM (SELECT *, string_split(src, '.') AS l, string_split(dst, '.') AS r FROM calls)",
-    "mro_bfs": _up(5)
+    "mro_bfs": _UP
     + "SELECT project, qn AS class, qn AS ancestor, 0 AS depth FROM nodes WHERE label IN ('Class', 'Interface') UNION ALL SELECT project, origin, reached, min(depth) FROM lines WHERE origin <> reached GROUP BY 1, 2, 3",
-    "subclasses": _up(5) + "SELECT project, reached AS class, origin AS subclass, count(*) AS paths FROM lines GROUP BY 1, 2, 3",
-    "inherited_methods": _up(6)
+    "subclasses": _UP + "SELECT project, reached AS class, origin AS subclass, count(*) AS paths FROM lines GROUP BY 1, 2, 3",
+    "inherited_methods": _UP
     + """, mro AS (SELECT project, qn AS class, qn AS ancestor, 0 AS depth, 0 AS ord FROM nodes WHERE label IN ('Class', 'Interface')
   UNION ALL SELECT project, origin, reached, struct_extract(m, 1), struct_extract(m, 2) FROM (SELECT project, origin, reached, min(ROW(depth, ord)) AS m FROM lines WHERE origin <> reached GROUP BY 1, 2, 3))
 SELECT project, class, method, struct_extract(min(ROW(depth, ord, ancestor)), 3) AS defined_in FROM (
