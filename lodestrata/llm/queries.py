@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = secrets.code_texts(table(spark, sf_dir, "files"), table(spark, sf_dir, "code_entities"))
-    return secrets.redact(texts, secrets.find_secrets(texts))
+    return secrets.redact(secrets.first_deliveries(texts)).select("source_table", "record_id", "text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Credentials in source code: found, located by line, and redacted in place.
 
 Lines that could hold one are chosen by column expressions. Their literals are segmented into
-dictionary words by Viterbi; what no word explains decides, together with the name the literal is
-given to. Digests, ids, references and placeholders are excluded by their form.
+dictionary words by Viterbi. A literal is a credential if the part that no word explains is long
+enough for the name it is given to; placeholders are words, and fall out by that. Digests, ids and
+look-ups in an environment or a vault are excluded by their form.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -14,10 +16,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.tokens import TOKENIZERS, VOCABULARY, load_ranks
+from lodestrata.session import ship
 
 #: Prefixes and shapes that services give their credentials.
 PROVIDERS = re.compile(
@@ -33,7 +36,8 @@ IN_TEXT = re.compile(
     r"|(?:Authorization|X-[\w-]*(?:Key|Token|Secret|Auth)[\w-]*)[\"']?\s*[:=,]\s*[\"']?(?:(?:Bearer|Basic|Token|ApiKey)\s+)?([^\s\"'`]{8,})"
     r"|\b(?:Bearer|Basic)\s+([A-Za-z0-9+/_.=~-]{8,})"
 )
-LITERAL = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`([^`]*)`")
+#: A literal may be cut off by the end of the text.
+LITERAL = re.compile(r"\"((?:[^\"\\]|\\.)*)(?:\"|$)|'((?:[^'\\]|\\.)*)(?:'|$)|`([^`]*)(?:`|$)")
 ASSIGNED = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\])]*\s*(?:\??:\s*[\w<>\[\]|. ]+?)?\s*(?:===?|!==?|:=|\+=|[=:]|\|\||\?\?)\s*\(?\s*(?:[rRbBuUfF]{1,2})?$")
 DEFAULTED = re.compile(r"(?:getenv|environ\.get|\benv|\bget|config|setting\w*|default|fallback)\w*\(\s*[\"']([\w.-]+)[\"']\s*,\s*(?:[rbuf])?$", re.I)
 FROM_ENV = re.compile(r"\benv(?:iron)?(?:\.(\w+)|\[[\"'](\w+)[\"']\])\s*(?:\|\||\?\?|\bor\b)\s*(?:[rbuf])?$")
@@ -54,8 +58,8 @@ NAMED = "|".join(
     f"{before}(?=[{''.join(sorted({w[0] for w in words}))}])(?:{'|'.join(sorted(words))})(?![a-z0-9])"
     for before, words in (("(?<![A-Za-z])", SECRET_WORDS), ("", {w.title() for w in SECRET_WORDS}), ("(?<![A-Z])", {w.upper() for w in SECRET_WORDS}))
 )
-QUOTED = r"(?s)[\"'`].{4,}[\"'`]"
-UNNAMED = r"([\"'`])[A-Za-z0-9+/_=.~-]{20,100}\1"
+QUOTED = r"(?s)[\"'`].{4,}"
+UNNAMED = r"([\"'`])[A-Za-z0-9+/_=.~-]{20,}\1"
 SHAPED = (
     r"(?s)-----BEGIN .*PRIVATE KEY|://[^/\s:@]*:[^/\s@]+@|sk-|[sr]k_(?:live|test)_|gh[oprsu]_|github_pat_|glpat-|npm_|xox[abeoprs]-|xapp-|AKIA|ASIA|hf_|whsec_|AIza|SG\.|pypi-|dckr_pat_|shp(?:at|ss|ca)_|eyJ"
     r"|(?i:[?&;][^=&;?]*(?:token|key|secret|password|passwd|pwd|auth|sig|signature|credential|code)=[^&\s\"'`]|\W(?:-u|--user)[ =][^\s:]+:\S|(?<!-)--[^\s=]*(?:password|passwd|token|secret|key|pass)[ =]+[^\s\"'`]|\W-p\W?\S{6}"
@@ -63,52 +67,79 @@ SHAPED = (
 )
 REMARKED = r"(?i)passw|secret|token|api.?key|credential|\bpw\b|login|\bkey\b"
 REMARK_START = r"(?:^|\W)(?:#|//|/?\*)"
-REFERENCE = re.compile(r"^(?:env|vault|ssm|file|secretsmanager|aws-?sm|gcp|sops|op|keyring|kms|arn|https?|data|urn|path|config)[:/]|^\$|\$\{|\{\{|%\(|^\{[\w.]*\}|^<.*>$|^\[.*\]$|^os\.|^process\.|^%\w+%|\.\.\.|^\*+$|^x+$|…", re.I)
-PLACEHOLDER_WORDS = re.compile(
-    r"(?i)(?<![A-Za-z])(?:redacted|placeholder|change.?me|your|example|dummy|insert|replace|sample|fixme|todo|not.?set|missing|masked|hidden|removed|undefined|test.?only)(?![A-Za-z])|^(?:n/?a|none|null|nil)$"
-)
+#: Values that say where the secret is to be found, or are put together at run time.
+REFERENCE = re.compile(r"^(?:env|vault|ssm|file|secretsmanager|aws-?sm|gcp|sops|op|keyring|kms|arn|https?|data|urn|path|config)[:/]|^\$|\$\{|\{\{|%\(|^\{[\w.]*\}|^os\.|^process\.|^%\w+%", re.I)
 DIGEST = re.compile(r"^(?:[0-9a-f]{7,8}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?:sha|md)\d+[-:].*)$", re.I)
 PLAIN_TOKEN = re.compile(r"^[A-Za-z0-9+/_=.~-]+$")
+#: How encoded pictures, archives and documents begin.
+ENCODED = re.compile(r"^(?:iVBOR|/9j/|R0lGOD|UklGR|H4sI|UEsD|JVBER|AAAA|AGFz|d09G)")
+#: A public vocabulary whose tokens tell whole words, beside the one of `tokens`.
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 class Words:
-    """Cheapest segmentation into words of a public vocabulary; a word costs the more the rarer it is."""
+    """Cheapest segmentation into dictionary words; a word costs the more the rarer it is.
+
+    `ranks` gives each word its place by frequency. A word is one only in lower case, capitalized
+    or in capitals; a run of one character is explained like a word.
+    """
 
     UNKNOWN = 7.0
     LONGEST = 16
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.cost: dict[str, float] = {}
-        for token, rank in ranks.items():
-            word = token.decode("utf-8", "ignore").strip().lower()
-            if word.isascii() and word.isalpha() and (len(word) >= 4 or len(word) == 3 and rank < 9000):
-                cost = 2.0 + math.log(rank + 100)
-                self.cost[word] = min(cost, self.cost.get(word, cost))
+    def __init__(self, ranks: dict[str, int]):
+        self.cost = {word: 2.0 + math.log(rank + 100) for word, rank in ranks.items()}
 
     def residual(self, text: str) -> str:
         """The letters and digits of `text` that no word explains, in order."""
-        text = text.lower()
+        low = text.lower()
+        if len(low) != len(text):
+            text = low
         n = len(text)
         best, back = [0.0] * (n + 1), [1] * (n + 1)
+        run = 0
         for end in range(1, n + 1):
-            char = text[end - 1]
+            char = low[end - 1]
+            run = run + 1 if end > 1 and low[end - 2] == char else 1
             best[end], back[end] = best[end - 1] + (self.UNKNOWN if char.isalnum() else 0.5), 1
+            if run >= 4 and best[end - run] + 8.0 < best[end]:
+                best[end], back[end] = best[end - run] + 8.0, run
             if char.isalpha():
                 for size in range(3, min(self.LONGEST, end) + 1):
-                    cost = self.cost.get(text[end - size : end])
+                    cost = self.cost.get(low[end - size : end])
                     if cost is not None and best[end - size] + cost < best[end]:
-                        best[end], back[end] = best[end - size] + cost, size
+                        piece = text[end - size : end]
+                        if piece.islower() or piece.isupper() or piece[1:].islower():
+                            best[end], back[end] = best[end - size] + cost, size
         left, end = [], n
         while end > 0:
-            if back[end] == 1 and text[end - 1].isalnum():
-                left.append(text[end - 1])
+            if back[end] == 1 and low[end - 1].isalnum():
+                left.append(low[end - 1])
             end -= back[end]
         return "".join(reversed(left))
 
 
+def dictionary(folder: str) -> dict[str, int]:
+    """Words by their place: the tokens of two public vocabularies that stand for whole words."""
+    ranks: dict[str, int] = {}
+
+    def put(word: str, rank: int) -> None:
+        if word.isascii() and word.isalpha() and (len(word) >= 4 or len(word) == 3 and rank < 9000):
+            ranks[word] = min(rank, ranks.get(word, rank))
+
+    for token, rank in load_ranks(os.path.join(folder, VOCABULARY)).items():
+        if token[:1] == b" ":
+            put(token[1:].decode("utf-8", "ignore").lower(), rank)
+    with open(os.path.join(folder, WORD_VOCABULARY), encoding="utf-8") as source:
+        for token, rank in json.load(source)["model"]["vocab"].items():
+            if token.endswith("</w>"):
+                put(token[:-4].lower(), rank)
+    return ranks
+
+
 @lru_cache(maxsize=4)
-def _words(path: str) -> Words:
-    return Words(load_ranks(path))
+def _words(folder: str) -> Words:
+    return Words(dictionary(folder))
 
 
 def name_words(name: str) -> list[str]:
@@ -132,37 +163,22 @@ def name_kind(name: str) -> str:
     return "secret" if SECRET_WORDS.intersection(words) else "neutral"
 
 
-def is_reference(value: str) -> bool:
-    """Whether a value is a placeholder or says where the secret is to be found."""
-    return not value.strip() or bool(REFERENCE.search(value)) or bool(PLACEHOLDER_WORDS.search(value)) or len(set(value.lower())) <= 3
-
-
-def odd_case(value: str) -> bool:
-    """Whether capitals stand where no way of writing words puts them."""
-    for chunk in re.findall(r"[A-Za-z]+", value):
-        if not (chunk.islower() or chunk.isupper() or chunk.istitle()):
-            parts = re.findall(r"[A-Z]*[a-z]+|[A-Z]+", chunk)
-            if any(len(p) < 3 for p in parts):
-                return True
-    return False
-
-
 def is_secret(value: str, kind: str, words: Words) -> bool:
-    """Whether a literal given to a name of `kind` is a credential."""
-    if kind == "other" or is_reference(value) or len(value) < 4 or " " in value.strip():
+    """Whether a literal given to a name of `kind` is a credential: by what no word of it explains."""
+    if kind == "other" or len(value) < 4 or " " in value.strip() or REFERENCE.search(value):
         return False
-    # without a name only a long residual of mixed characters tells, and digests, ids and encoded bytes don't
     unnamed = kind not in ("password", "secret")
-    if unnamed and not (20 <= len(value) <= 100 and not DIGEST.match(value) and PLAIN_TOKEN.match(value) and any(c.isupper() for c in value) and any(c.islower() for c in value)):
+    if unnamed and not (len(value) >= 20 and not DIGEST.match(value) and not ENCODED.match(value) and PLAIN_TOKEN.match(value)):
         return False
     left = words.residual(value)
     digits = sum(c.isdigit() for c in left)
     letters = len(left) - digits
     if unnamed:
-        return len(left) >= 0.6 * len(value) and digits >= 2 and letters >= 6
+        # without a name only a long residual of mixed characters tells
+        return len(left) >= 0.6 * len(value) and digits >= 2 and letters >= 6 and any(c.isupper() for c in value) and any(c.islower() for c in value)
     if kind == "password":
-        return len(value) >= 5 and (digits >= 1 or letters >= 4 or odd_case(value))
-    return len(value) >= 8 and (digits >= 2 or digits and letters >= 3 or letters >= 8 or odd_case(value))
+        return len(value) >= 5 and (digits >= 1 or letters >= 4)
+    return len(value) >= 8 and (digits >= 2 or digits and letters >= 3 or letters >= 6)
 
 
 def find_values(line: str, words: Words) -> list[tuple[int, int]]:
@@ -171,7 +187,7 @@ def find_values(line: str, words: Words) -> list[tuple[int, int]]:
     for m in PRIVATE_KEY.finditer(line):
         found.append((m.start(), len(line.rstrip("\"'`;, \r"))))
     for m in PROVIDERS.finditer(line):
-        if not re.search(r"(.)\1{7}", m[0]) and not PLACEHOLDER_WORDS.search(m[0]):
+        if len(words.residual(m[0])) >= max(8, 0.4 * len(m[0])):
             found.append(m.span())
     for m in URL_LOGIN.finditer(line):
         if not re.search(r"[{}<>$*]", m[1]) and is_secret(m[1], "password", words):
@@ -208,7 +224,7 @@ def find_values(line: str, words: Words) -> list[tuple[int, int]]:
             at = remark.start(1) + m.start()
             value_at = value.rpartition("=")[2] if "=" in value.rstrip("=") else value
             at += len(value) - len(value_at)
-            named = re.search(r"(?i)(?:key|token|secret|passw\w*|credential\w*)\b[^:=]{0,30}[:=]\s*$", line[:at])
+            named = re.search(r"(?i)(?:key|token|secret|passw\w*|credential\w*)\b[^:=]{0,30}[:=]\s*$|\blogin\b[^/]{0,40}/\s*$", line[:at])
             if any(a <= at < b for a, b in found) or DIGEST.match(value_at) and not named:
                 continue
             mixed = any(c.isdigit() for c in value_at) and any(c.isalpha() for c in value_at)
@@ -217,18 +233,21 @@ def find_values(line: str, words: Words) -> list[tuple[int, int]]:
     return sorted(set(found))
 
 
+def wanted_line(line: Column) -> Column:
+    """Whether a line could hold a secret: no line that the judge would take is left out."""
+    return line.rlike(SHAPED) | line.rlike(UNNAMED) | (line.rlike(QUOTED) & line.rlike(NAMED)) | (line.rlike(REMARK_START) & line.rlike(r"\p{N}") & line.rlike(REMARKED))
+
+
 def candidate_lines(texts: DataFrame) -> DataFrame:
-    """(source_table, record_id, line_no, line) of the lines of texts (source_table, record_id, text) that could hold a secret: none that the judge would take is left out."""
+    """(source_table, record_id, line_no, line) of the lines of texts (source_table, record_id, text) that could hold a secret."""
     lines = texts.select("source_table", "record_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    line = F.col("line")
-    wanted = line.rlike(SHAPED) | line.rlike(UNNAMED) | (line.rlike(QUOTED) & line.rlike(NAMED)) | (line.rlike(REMARK_START) & line.rlike(r"\p{N}") & line.rlike(REMARKED))
-    return lines.where(wanted).select("source_table", "record_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+    return lines.where(wanted_line(F.col("line"))).select("source_table", "record_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
 def code_texts(files: DataFrame, entities: DataFrame) -> DataFrame:
-    """(source_table, record_id, text) of all texts of both tables; null and empty ones are no case."""
-    a = files.select(F.lit("files").alias("source_table"), F.col("file_id").alias("record_id"), F.col("content").alias("text"))
-    b = entities.select(F.lit("code_entities").alias("source_table"), F.col("entity_id").alias("record_id"), F.col("code").alias("text"))
+    """(source_table, record_id, text, ingested_at) of all texts of both tables; null and empty ones are no case."""
+    a = files.select(F.lit("files").alias("source_table"), F.col("file_id").alias("record_id"), F.col("content").alias("text"), "ingested_at")
+    b = entities.select(F.lit("code_entities").alias("source_table"), F.col("entity_id").alias("record_id"), F.col("code").alias("text"), "ingested_at")
     return a.unionByName(b).where("record_id is not null and text is not null and text != ''")
 
 
@@ -240,10 +259,11 @@ def find_secrets(texts: DataFrame, path: str | None = None) -> DataFrame:
     give their secrets once; null ids and texts give none; lines are judged one by one, so a text of any
     length is no group of its own.
     """
-    vocabulary = path or os.path.join(TOKENIZERS, VOCABULARY)
+    vocabularies = path or TOKENIZERS
+    ship(texts.sparkSession)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _words(vocabulary)
+        words = _words(vocabularies)
         for batch in batches:
             spans = [find_values(line, words) for line in batch["line"]]
             counts = [len(s) for s in spans]
@@ -255,24 +275,44 @@ def find_secrets(texts: DataFrame, path: str | None = None) -> DataFrame:
     return candidate_lines(texts).mapInPandas(judge, schema).distinct()
 
 
-def redact(texts: DataFrame, secrets: DataFrame, placeholder: str = "<secret>") -> DataFrame:
-    """`texts` with each found secret replaced by the placeholder; every other character stays.
+def first_deliveries(texts: DataFrame) -> DataFrame:
+    """Rows of texts (source_table, record_id, ingested_at, ...) without those that were delivered again later.
+
+    Only ids and arrivals are shuffled; the later ones are few and are taken out by an anti-join.
+    Rows that arrived together are kept.
+    """
+    keys = ["source_table", "record_id"]
+    earliest = texts.groupBy(*keys).agg(F.min("ingested_at").alias("first"), F.max("ingested_at").alias("last"), F.collect_set("ingested_at").alias("all")).where("last > first")
+    later = earliest.select(*keys, F.explode(F.array_except("all", F.array("first"))).alias("ingested_at"))
+    return texts.join(later, [*keys, "ingested_at"], "left_anti")
+
+
+def redact(texts: DataFrame, path: str | None = None, placeholder: str = "<secret>") -> DataFrame:
+    """`texts` (text, ...) with each secret replaced by the placeholder; every other character stays.
 
-    The body of a private key goes with its first line, up to the END line.
+    The body of a private key goes with its first line, up to the END line. Each text is covered
+    where it lies; nothing is shuffled. Null stays null, repeated rows are covered each.
     """
-    spots = secrets.groupBy("source_table", "record_id").agg(F.collect_list(F.struct("line_no", "begins", "ends")).alias("_spots"))
-    joined = texts.dropDuplicates(["source_table", "record_id"]).join(spots, ["source_table", "record_id"], "left")
+    vocabularies = path or TOKENIZERS
+    ship(texts.sparkSession)
 
     @F.pandas_udf("string")
-    def cover(text: pd.Series, spots: pd.Series) -> pd.Series:
-        return pd.Series([_covered(t, s, placeholder) for t, s in zip(text, spots)], dtype="object")
+    def cover(text: pd.Series, lines: pd.Series) -> pd.Series:
+        words = _words(vocabularies)
+        done = []
+        for whole, wanted in zip(text, lines):
+            if wanted is not None and len(wanted):
+                parts = whole.split("\n")
+                spots = [{"line_no": at + 1, "begins": a, "ends": b} for at in wanted for a, b in find_values(parts[at], words)]
+                whole = _covered(whole, spots, placeholder) if spots else whole
+            done.append(whole)
+        return pd.Series(done, dtype="object")
 
-    return joined.withColumn("text", cover("text", "_spots")).drop("_spots")
+    numbered = F.transform(F.split("text", "\n"), lambda line, at: F.when(wanted_line(line), at))
+    return texts.withColumn("text", cover("text", F.filter(numbered, lambda at: at.isNotNull())))
 
 
 def _covered(text: str, spots: list[dict], placeholder: str) -> str:
-    if spots is None:
-        return text
     lines = text.split("\n")
     for spot in sorted(spots, key=lambda s: (-s["line_no"], -s["begins"])):
         at = spot["line_no"] - 1
