@@ -1,8 +1,9 @@
 """Which source files were not written by hand.
 
 Vendored copies are found by hashes computed bottom-up, from blocks of lines over files to
-directories (a Merkle tree): a node whose hash occurs in several repositories is third-party code.
-Header and layout rules find what tools wrote, minified scripts and data saved as code.
+directories (a Merkle tree): a node whose hash occurs in several repositories is third-party code,
+and so is a file most blocks of which, or a directory most entries of which, do. Header and layout
+rules find what tools wrote, minified scripts and data saved as code.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from lodestrata.session import cut
 BLOCK_CHARS = 40
 #: A file is a copy if so large a part of its blocks, and so many characters, occur elsewhere.
 SHARED_PART, SHARED_CHARS = 0.5, 400
-MAX_LEVELS = 64
+#: A directory is a changed copy if it has so many entries that occur elsewhere, and they are so large a part of all.
+SHARED_ENTRIES, ENTRIES_PART = 3, 0.8
 
 #: How headers of generated files begin, and where such files lie.
 _OPENS = r"(?:#|//|/\*+!?|\*|<!--|--|;)\s*"
@@ -29,8 +31,8 @@ GENERATED_HEADER = (
 )
 GENERATED_PATH = r"(?:^|/)(?:__generated__|generated|gen|autogen)/|\.(?:gen|generated|g)\.[cm]?[jt]sx?$|_(?:pb2(?:_grpc)?|generated|gen)\.pyi?$|(?:^|/)migrations/\d{4}_auto_"
 MINIFIED_PATH = r"[.-]min\.[cm]?js$"
-VENDOR_PATH = r"(?:^|/)(?:node_modules|_?vendor|third_party|bower_components|site-packages|deps|external|src/lib/contrib)/[^/]+/"
-VENDOR_HEADER = r"\A\s*(?:/\*!?\s*\*?\s*[\w.@/-]+ v\d+\.\d+[\w.]*\s|#\s*[\w.-]+ v?\d+\.\d+[\w.]* - released under\b)"
+#: The banner that a bundler puts above the one script it makes of a library.
+BANNER = r"\A\s*/\*!?\s*\*?\s*[\w.@/-]+ v\d+\.\d+[\w.]*\s"
 _NUMBERED = r"(?m)^(?:export\s+)?(?:declare\s+)?(?:async\s+)?(?:function|type|interface|const|class|enum)\s+\w*[A-Za-z](\d{1,4})\b"
 _TOP_LEVEL = r"(?m)^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?(?:function|type|interface|const|let|class|enum|def)\s"
 _MIGRATION = r"(?m)^class Migration\(\s*[\w.]*[mM]igrations?\.Migration\s*\):\s*\n\s+dependencies\s*="
@@ -62,10 +64,14 @@ def distinct_files(files: DataFrame) -> DataFrame:
     return files.where("file_id is not null and content is not null and content != ''").select("file_id", "project_name", rel.alias("rel"), text.alias("content"))
 
 
+def _parts(content: Column) -> Column:
+    """Blocks of lines between blank lines."""
+    return F.transform(F.split(content, r"\n\s*\n"), lambda block: F.btrim(block, F.lit(" \t\n")))
+
+
 def _blocks(files: DataFrame) -> DataFrame:
-    """(file_id, project_name, place, hash, chars) of each block of lines between blank lines."""
-    parts = F.transform(F.split("content", r"\n\s*\n"), lambda block: F.btrim(block, F.lit(" \t\n")))
-    rows = files.select("file_id", "project_name", F.posexplode(F.filter(parts, lambda block: F.length(block) >= BLOCK_CHARS)).alias("place", "block"))
+    """(file_id, project_name, place, hash, chars) of each block that is long enough to tell something."""
+    rows = files.select("file_id", "project_name", F.posexplode(F.filter(_parts(F.col("content")), lambda block: F.length(block) >= BLOCK_CHARS)).alias("place", "block"))
     return rows.select("file_id", "project_name", "place", F.xxhash64("block").alias("hash"), F.length("block").alias("chars"))
 
 
@@ -74,30 +80,35 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("hash").agg(F.min("project_name").alias("a"), F.max("project_name").alias("b")).where("a != b").select("hash")
 
 
-def merkle_directories(leaves: DataFrame, levels: int) -> DataFrame:
-    """(project_name, path, depth, hash, files, chars) of each directory over leaves (project_name, path, hash, chars).
+def merkle_nodes(leaves: DataFrame) -> DataFrame:
+    """(project_name, path, depth, hash, files, chars) of each file and directory over leaves (project_name, path, hash, chars).
 
     A directory's hash combines names and hashes of what lies in it by exclusive or, so a
-    directory with any number of entries is a partial aggregation. One pass a level, deepest first.
+    directory with any number of entries is a partial aggregation. One pass a level, deepest first,
+    to the top, however deep a tree is.
     """
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
     depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
     columns = ["project_name", "path", "depth", "hash", "files", "chars"]
-    nodes = leaves.withColumns({"depth": depth, "files": F.lit(1).cast("long")}).select(*columns)
-    found = []
+    nodes = cut(leaves.withColumns({"depth": depth, "files": F.lit(1).cast("long")}).select(*columns))
+    deepest = nodes.agg(F.max("depth").alias("d")).first().d or 0
+    found = [nodes]
     above = None
-    for level in range(levels, 0, -1):
+    for level in range(deepest, 0, -1):
         here = nodes.where(F.col("depth") == level)
-        here = here if above is None else here.unionByName(above.where(F.col("depth") == level))
+        here = here if above is None else here.unionByName(above)
         folders = here.groupBy("project_name", parent.alias("path")).agg(
-            F.bit_xor(F.xxhash64(name, F.col("hash"))).alias("hash"), F.sum("files").alias("files"), F.sum("chars").alias("chars")
+            F.bit_xor(F.xxhash64(_name("path"), F.col("hash"))).alias("hash"), F.sum("files").alias("files"), F.sum("chars").alias("chars")
         )
         above = cut(folders.withColumn("depth", F.lit(level - 1)).select(*columns), "hash")
         found.append(above)
     return reduce(DataFrame.unionByName, found).where("path != ''")
 
 
+def _name(path: str) -> Column:
+    return F.regexp_extract(path, r"([^/]*)$", 1)
+
+
 def vendored(files: DataFrame) -> DataFrame:
     """file_ids of the rows of `distinct_files` that are copies of code of other repositories.
 
@@ -114,22 +125,29 @@ def vendored(files: DataFrame) -> DataFrame:
 
 
 def shared_directories(files: DataFrame) -> DataFrame:
-    """(project_name, path, files, chars) of each directory that lies, equal in names and contents, in another project too.
+    """(project_name, path, files, chars) of each directory that is a copy of one of another project.
 
-    Of a directory and its subdirectories all are listed. A file counts once per project and path.
+    Either it lies there too, equal in names and contents, or at least `SHARED_ENTRIES` of its
+    entries, and `ENTRIES_PART` of all, do; of an equal one all subdirectories are listed as well.
+    A file's hash is made of the hashes of its blocks; it counts once per project and path.
     """
-    whole = files.select("project_name", F.col("rel").alias("path"), F.xxhash64("content").alias("hash"), F.length("content").cast("long").alias("chars"))
-    leaves = cut(whole.groupBy("project_name", "path").agg(F.min("hash").alias("hash"), F.max("chars").alias("chars")))
-    depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
-    deepest = leaves.agg(F.max(depth).alias("d")).first().d
-    if deepest is None or deepest < 1:
-        return leaves.limit(0).select("project_name", "path", F.lit(0).cast("long").alias("files"), "chars")
-    nodes = merkle_directories(leaves, min(deepest, MAX_LEVELS))
-    return nodes.join(_shared(nodes.where(F.col("chars") >= SHARED_CHARS)), "hash", "left_semi").select("project_name", "path", "files", "chars")
+    blocks = F.transform(_parts(F.col("content")), lambda block: F.xxhash64(block))
+    whole = files.select("project_name", F.col("rel").alias("path"), F.xxhash64(blocks).alias("hash"), F.length("content").cast("long").alias("chars"))
+    nodes = merkle_nodes(whole.groupBy("project_name", "path").agg(F.min("hash").alias("hash"), F.max("chars").alias("chars")))
+    names = nodes.withColumn("parent", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn("entry", F.xxhash64(_name("path"), F.col("hash")))
+    elsewhere = names.groupBy("entry").agg(F.min("project_name").alias("a"), F.max("project_name").alias("b")).where("a != b").select("entry", F.lit(1).alias("common"))
+    known = names.join(elsewhere, "entry", "left")
+    entries = known.groupBy("project_name", F.col("parent").alias("path")).agg(
+        F.count("*").alias("entries"), F.count("common").alias("common_entries"), F.sum("files").alias("files"), F.sum("chars").alias("chars")
+    )
+    changed = entries.where((F.col("common_entries") >= SHARED_ENTRIES) & (F.col("common_entries") >= ENTRIES_PART * F.col("entries")))
+    folders = entries.select("project_name", "path")
+    equal = nodes.join(_shared(nodes), "hash", "left_semi").select("project_name", "path", "files", "chars").join(folders, ["project_name", "path"], "left_semi")
+    return equal.unionByName(changed.select("project_name", "path", "files", "chars")).where((F.col("path") != "") & (F.col("chars") >= SHARED_CHARS)).distinct()
 
 
 def tool_written(files: DataFrame) -> DataFrame:
-    """file_id and why of the rows of `distinct_files`: `generated`, `minified`, `vendored` by header or place, `data`, or null if no rule finds it.
+    """file_id and why of the rows of `distinct_files`: `generated`, `minified`, `data`, or null if no rule finds it.
 
     Null rows stay until they are grouped: a filter here would run every pattern once more.
     """
@@ -157,8 +175,7 @@ def tool_written(files: DataFrame) -> DataFrame:
     data = (lines >= 5) & (code_lines <= 0.4 * lines) & (F.length(F.regexp_replace("rest", r"\s+", "")) <= CODE_PART * length)
     why = (
         F.when(content.rlike(GENERATED_HEADER) | rel.rlike(GENERATED_PATH) | layout, "generated")
-        .when(rel.rlike(MINIFIED_PATH) | minified, "minified")
-        .when(rel.rlike(VENDOR_PATH) | content.rlike(VENDOR_HEADER), "vendored")
+        .when(rel.rlike(MINIFIED_PATH) | minified | (script & content.rlike(BANNER)), "minified")
         .when(data, "data")
     )
     return rows.select("file_id", why.alias("why"))

@@ -161,6 +161,27 @@ def test_shared_directories(spark):
     assert ("a", "x/pkg") in got and ("b", "y/z/pkg") in got and not any(p == "c" for p, _ in got)
 
 
+def test_vendored_trees_that_nothing_else_finds(spark):
+    """Blocks too short to tell anything: only the directory's hash, or most of its entries, tell; at any depth."""
+    small = lambda seed: "\n\n".join(f"v{seed}_{i} = {i * seed}" for i in range(12))
+    deep = "/".join(f"d{i}" for i in range(70))
+    rows, n = [], 0
+    for project, top in (("a", deep), ("b", "lib/" + deep)):
+        for k in range(6):
+            rows.append(file_row(n := n + 1, small(k + 2), project=project, path=f"{top}/pack/part{k}.py"))
+    for project in ("a", "b"):
+        for k in range(6):
+            # one of the six was rewritten in b
+            text = small(k + 50) if (project, k) != ("b", 5) else "own = open\n\nwords = 3"
+            rows.append(file_row(n := n + 1, text, project=project, path=f"src/tool/t{k}.py"))
+    rows += [file_row(100 + k, small(90 + k), project="c", path=f"src/own/o{k}.py") for k in range(6)] + [file_row(110, small(52), project="c", path="src/own/t2.py")]
+    files = spark.createDataFrame(rows, FILE)
+    texts = provenance.distinct_files(files)
+    assert provenance.vendored(texts).count() == 0 and provenance.tool_written(texts).where("why is not null").count() == 0
+    got = {r.file_id: r.why for r in provenance.not_by_hand(files).collect()}
+    assert got == {i: "vendored" for i in range(1, 25)}
+
+
 # ---- p3
 
 
