@@ -63,23 +63,41 @@ def test_schedule_deviates_by_less_than_a_block():
     for _ in range(30):
         weights = {f"s{i}": rng.random() + 0.01 for i in range(rng.randrange(1, 12))}
         slots = mixing.apportion(weights, 400)
-        assert sum(slots.values()) == 400
+        frame = sum(slots.values())
+        assert frame <= 400
         order, done = mixing.pfair_schedule(slots), dict.fromkeys(weights, 0)
         for t, (source, block) in enumerate(order, 1):
             assert block == done[source]
             done[source] += 1
-            assert all(abs(done[s] - n * t / 400) < 1 for s, n in slots.items())
+            assert all(abs(done[s] - n * t / frame) < 1 for s, n in slots.items())
+    assert mixing.apportion({"a": 0.18, "b": 0.8, "gone": 0.0}) == {"a": 9, "b": 40}
+    assert sum(mixing.apportion({f"s{i}": 1 / 3 + i for i in range(50)}, 20).values()) == 50
 
 
-def test_mix_shares_and_repeats(spark):
-    docs = [(i, "word " * (20 + i % 30), "big") for i in range(600)] + [(1000 + i, "other text " * 30, "small") for i in range(12)] + [(2000, None, "big"), (2001, "", "small"), (2002, "x", None), (1000, "other text " * 30, "small"), (3000, "no", "unlisted")]
+def test_mix_shares_and_repeats(spark, encoding):
+    docs = [(i, "word " * (20 + i % 30), "big") for i in range(600)] + [(1000 + i, "other text " * 30, "small") for i in range(12)] + [(900, "long tale " * 900, "big"), (2000, None, "big"), (2001, "", "small"), (2002, "x", None), (1000, "other text " * 30, "small"), (3000, "no", "unlisted")]
+    sizes = {i: len(encoding.encode_ordinary(t or "")) for i, t, _ in docs}
     docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
     targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.2, 3), ("absent", 0.1, 2), ("zero", 0.0, 2), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
     mixed = mixing.mix(docs, targets, block_tokens=64).cache()
-    assert mixed.groupBy("doc_id", "pass").count().where("count > 1").count() == 0
+    rows = mixed.collect()
+    block = max(sum(r.n_tokens for r in rows if r.slot == t) for t in {r.slot for r in rows})
+    used, spoken = dict.fromkeys(("big", "small"), 0), 0
+    for slot in range(max(r.slot for r in rows) + 1):
+        here = [r for r in rows if r.slot == slot]
+        assert len({r.source for r in here}) == 1 and sum(r.n_tokens for r in here) == block <= 64
+        used[here[0].source] += block
+        spoken += block
+        # in tokens, of the whole mix so far, documents cut through
+        assert all(abs(used[s] - spoken * w / 9) < block for s, w in (("big", 7), ("small", 2)))
+    pieces = {}
+    for r in sorted(rows, key=lambda r: r.begins):
+        assert r.begins == pieces.get((r.doc_id, r["pass"]), 0)
+        pieces[r.doc_id, r["pass"]] = r.begins + r.n_tokens
+    assert all(n <= sizes[i] for (i, _), n in pieces.items()) and sum(n < sizes[i] for (i, _), n in pieces.items()) <= 2
     shares = {r.source: r for r in mixing.shares(mixed, targets).collect()}
     assert shares["small"].most_repeats <= 3 and shares["big"].most_repeats == 1 and shares["absent"].n_tokens == 0
-    assert abs(shares["big"].actual_share - 7 / 9) < 0.03 and abs(shares["small"].actual_share - 2 / 9) < 0.03
+    assert abs(shares["big"].actual_share - 7 / 9) < 1e-9 and abs(shares["small"].actual_share - 2 / 9) < 1e-9
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
 
