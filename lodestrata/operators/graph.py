@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.substrings import containing
+
 
 def nodes(entities: DataFrame) -> DataFrame:
     """One row per entity; redelivered rows count once."""
@@ -176,26 +178,40 @@ def usage_patterns(entities: DataFrame, most: int = 5) -> DataFrame:
 
 
 def module_dependencies(entities: DataFrame, imports: DataFrame) -> DataFrame:
-    """Imports of a file matched with entities of the project of the same name, or whose qualified name has it as a part.
+    """(project, file_path, import_name, entities): how many entities of the project an import of a file may mean.
 
-    The parts of each name are rows, so both ways of matching are one join on equal keys.
+    An entity is meant if its name is the import's, or its qualified name contains it. Each name is
+    matched once a project, whatever the number of files that import it.
     """
-    known = nodes(entities).select("project", "qn", "name")
-    parts = known.select("project", "qn", F.explode(F.array_distinct(F.concat(F.split("qn", r"\."), F.array("name")))).alias("part"))
-    wanted = imports.select(F.col("project_name").alias("project"), "file_path", F.col("name").alias("part")).distinct()
-    return wanted.join(parts, ["project", "part"], "left").groupBy("project", "file_path", "part").agg(F.count("qn").alias("entities")).withColumnRenamed("part", "import_name")
+    known = nodes(entities).select("project", F.col("qn").alias("text"), "name")
+    wanted = imports.select(F.col("project_name").alias("project"), "file_path", F.col("name").alias("word")).distinct()
+    words = wanted.select("project", "word").distinct()
+    within = containing(known, words, ["project"]).groupBy("project", "word").agg(F.count("*").alias("within"))
+    # a name that isn't part of its own qualified name
+    apart = known.where(~F.contains("text", "name")).groupBy("project", F.col("name").alias("word")).agg(F.count("*").alias("apart"))
+    joined = wanted.join(within, ["project", "word"], "left").join(apart, ["project", "word"], "left")
+    total = F.coalesce("within", F.lit(0).cast("long")) + F.coalesce("apart", F.lit(0).cast("long"))
+    return joined.select("project", "file_path", F.col("word").alias("import_name"), total.alias("entities"))
 
 
 def name_search(entities: DataFrame, words: DataFrame) -> DataFrame:
-    """Entities whose name contains a searched word, ranked 0 to 6: exact, same letters, prefix, suffix, part of name, of qualified name.
+    """(word, project, qn, name, label, match_score) of entities whose name or qualified name contains a searched word, in any case.
 
-    `words` (word) are the searched words; each entity name is matched with the words that
-    are among its own parts, as name parts are what is searched for.
+    0 the name itself, 1 the qualified name itself, 2 the name in other letters, 3 the beginning,
+    4 the end, 5 a part of the name as written, 6 any other part. `words` (word) are looked up once each.
     """
-    known = nodes(entities).select("project", "qn", "name", "label")
-    pieces = F.split(F.lower(F.regexp_replace(F.regexp_replace("name", r"([a-z0-9])([A-Z])", "$1_$2"), r"[^A-Za-z0-9]+", "_")), "_")
-    spread = known.withColumn("word", F.explode(F.array_distinct(F.concat(pieces, F.array(F.lower("name")))))).where("word != ''")
-    found = spread.join(words.select(F.lower("word").alias("word")).distinct(), "word")
-    name = F.lower("name")
-    score = F.when(F.col("name") == F.col("word"), 0).when(name == F.col("word"), 1).when(F.startswith(name, F.col("word")), 2).when(F.endswith(name, F.col("word")), 3).otherwise(4)
-    return found.select("word", "project", "qn", "name", score.alias("match_score"))
+    known = nodes(entities).select("project", "qn", "name", "label").withColumn("text", F.concat_ws("\n", F.lower("qn"), F.lower("name")))
+    asked = words.where("word is not null and word != ''").select("word", F.lower("word").alias("low")).distinct()
+    found = containing(known, asked.select(F.col("low").alias("word"))).withColumnRenamed("word", "low").join(asked, "low")
+    name, word = F.col("name"), F.col("word")
+    score = (
+        F.when(name == word, 0).when(F.col("qn") == word, 1).when(F.lower(name) == F.col("low"), 2).when(F.startswith(name, word), 3)
+        .when(F.endswith(name, word), 4).when(F.contains(name, word), 5).otherwise(6)
+    )
+    return found.select("word", "project", "qn", "name", "label", score.alias("match_score"))
+
+
+def search_by_name(entities: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, project, qn, name, label) of entities whose name or qualified name contains a searched word as it is written."""
+    known = nodes(entities).select("project", "qn", "name", "label").withColumn("text", F.concat_ws("\n", "qn", "name"))
+    return containing(known, words).drop("text")

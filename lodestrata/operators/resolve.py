@@ -148,19 +148,52 @@ def inherited_methods(entities: DataFrame) -> DataFrame:
     return joined.groupBy("project", "class", "method").agg(F.min(F.struct("depth", "ord", "ancestor")).getField("ancestor").alias("defined_in"))
 
 
-def parameter_types(entities: DataFrame) -> DataFrame:
-    """(project, function, parameter, class, score): the class of the project a parameter's name speaks of.
+#: Scores of a parameter's name that is a class's, that ends with one or is the end of one, and of one that contains a class's, by its part; and what must be exceeded.
+SAME_NAME, SAME_END, CONTAINED, LEAST_SCORE = 100, 90, 80, 50
 
-    100 if the name is the class's, 90 if it is the end of it in whole words; the best by score,
-    then by name. The endings of class names are rows, so the match is a join on equal keys.
+
+def parameters(entities: DataFrame) -> DataFrame:
+    """(project, function, module, file_path, parameter) of the parameters in the signatures of functions and methods."""
+    known = nodes(entities).where("signature is not null and label in ('Function', 'Method')")
+    inside = F.regexp_extract("signature", r"(?s)\((.*)\)", 1)
+    flat = inside
+    for _ in range(3):
+        flat = F.regexp_replace(flat, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>", "")
+    names = F.array_distinct(F.regexp_extract_all(flat, F.lit(r"(?:^|,)\s*\*{0,2}(?:\.\.\.)?([A-Za-z_]\w*)"), F.lit(1)))
+    return known.select("project", F.col("qn").alias("function"), module_qn(F.col("project"), F.col("file_path")).alias("module"), "file_path", F.explode(names).alias("parameter"))
+
+
+def parameter_types(entities: DataFrame, imports: DataFrame) -> DataFrame:
+    """(project, function, parameter, class, score): the class of the module, or imported by its file, whose name a parameter's name speaks of.
+
+    Letters count in any case: 100 for the same name, 90 where one is the end of the other, 80 by
+    the part of the parameter's name that is the class's; the best counts if it is over 50, ties
+    by the class's name, else class is null and the score 0.
+
+    Of the classes of a module one remains for each ending of their names, and a parameter's name
+    brings its own endings and long parts, so the match is a join on equal keys.
     """
     known = nodes(entities)
-    words = F.transform(F.regexp_extract_all("name", F.lit("[A-Z][a-z0-9]*|[a-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
-    classes = known.where("label = 'Class' and name is not null").select("project", F.col("qn").alias("class"), words.alias("w")).where("size(w) > 0")
-    ending = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.struct(n.alias("from"), F.array_join(F.slice("w", n, F.size("w") - n + 1), "").alias("key"))))
-    endings = classes.select("project", "class", ending.alias("e")).select("project", "class", "e.key", F.when(F.col("e.from") == 1, 100).otherwise(90).alias("score"))
-    names = F.explode(F.array_distinct(F.regexp_extract_all("signature", F.lit(r"[(,]\s*\*{0,2}([A-Za-z_]\w*)"), F.lit(1))))
-    parameters = known.where("signature is not null").select("project", F.col("qn").alias("function"), names.alias("parameter"))
-    parameters = parameters.withColumn("key", F.lower(F.replace("parameter", F.lit("_"), F.lit(""))))
-    best = parameters.join(endings, ["project", "key"]).groupBy("project", "function", "parameter").agg(F.max_by(F.struct("class", "score"), F.struct("score", "class")).alias("b"))
-    return best.select("project", "function", "parameter", "b.class", "b.score")
+    classes = known.where("label = 'Class' and name is not null and name != ''")
+    own = classes.where(F.col("qn") == F.concat_ws(".", module_qn(F.col("project"), F.col("file_path")), "name")).select("project", "file_path", "name")
+    targets = classes.select("project", F.col("qn").alias("target"))
+    brought = import_map(imports).join(targets, ["project", "target"], "left_semi").select("project", "file_path", F.col("local").alias("name"))
+    available = own.unionByName(brought).distinct().withColumn("low", F.lower("name"))
+    ending = lambda low: F.transform(F.sequence(F.lit(1), F.length(low)), lambda at: F.substr(low, at))
+    keys = available.withColumn("key", F.explode(ending(F.col("low")))).groupBy("project", "file_path", "key").agg(
+        F.max(F.when(F.col("key") == F.col("low"), 1).otherwise(0)).alias("whole"),
+        F.min(F.when(F.col("key") == F.col("low"), F.col("name"))).alias("whole_name"), F.min("name").alias("end_name"),
+    )
+    asked = parameters(entities).withColumns({"low": F.lower("parameter"), "size": F.length("parameter")})
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.col("size")), lambda at: F.transform(F.sequence(F.lit(1), F.col("size") - at + 1), lambda n: F.substr(F.col("low"), at, n))))
+    least = F.floor(F.lit(LEAST_SCORE) * F.col("size") / CONTAINED)
+    wanted = asked.withColumn("key", F.explode(F.array_distinct(F.concat(ending(F.col("low")), F.filter(parts, lambda part: F.length(part) > least)))))
+    joined = wanted.join(keys, ["project", "file_path", "key"])
+    same = F.col("key") == F.col("low")
+    inner = (F.lit(CONTAINED) * F.length("key") / F.col("size")).cast("int")
+    score = F.when(same & (F.col("whole") == 1), SAME_NAME).when(same, SAME_END).when((F.col("whole") == 1) & F.endswith("low", "key"), SAME_END).when(F.col("whole") == 1, inner).otherwise(0)
+    named = F.when(same & (F.col("whole") == 0), F.col("end_name")).otherwise(F.coalesce("whole_name", "end_name"))
+    scored = joined.select("project", "function", "parameter", score.alias("score"), named.alias("class")).where(F.col("score") > LEAST_SCORE)
+    best = scored.groupBy("project", "function", "parameter").agg(F.min(F.struct((-F.col("score")).alias("s"), "class")).alias("b"))
+    every = asked.select("project", "function", "parameter").distinct()
+    return every.join(best, ["project", "function", "parameter"], "left").select("project", "function", "parameter", F.col("b.class").alias("class"), F.coalesce(-F.col("b.s"), F.lit(0)).alias("score"))

@@ -102,16 +102,26 @@ def entity_exact(spark: SparkSession, d: str) -> DataFrame:
     return wanted.join(keys, ["project", "word"]).select("project", "word", "qn", "label").distinct()
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Names that files import, and the words of the fields of metadata."""
+    fields = table(spark, d, "metadata_generation_log").select(F.explode(F.split("field_name", "_")).alias("word"))
+    return table(spark, d, "imports").select(F.col("name").alias("word")).unionByName(fields).distinct()
+
+
 def entity_fuzzy_rank(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best entities for each event type and each word of a part's name, whichever occurs in names of code."""
-    words = table(spark, d, "imports").select(F.lower(F.regexp_replace("name", r"[^A-Za-z]", "")).alias("word")).unionByName(
-        table(spark, d, "metadata_generation_log").select(F.explode(F.split("field_name", "_")).alias("word"))
-    )
-    ranked = graph.name_search(_entities(spark, d), words)
+    """The ten best entities for each imported name and each word of a metadata field."""
+    ranked = graph.name_search(_entities(spark, d), _words(spark, d))
     place = F.row_number().over(Window.partitionBy("word").orderBy("match_score", "name", "qn"))
     return ranked.withColumn("place", place).where("place <= 10").select("word", "qn", "match_score", "place")
 
 
+def search_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty entities by qualified name for each of the words."""
+    found = graph.search_by_name(_entities(spark, d), _words(spark, d))
+    place = F.row_number().over(Window.partitionBy("word").orderBy("qn", "project"))
+    return found.withColumn("place", place).where("place <= 20").select("word", "project", "qn", "label", "place")
+
+
 def entity_centrality(spark: SparkSession, d: str) -> DataFrame:
     return graph.centrality(_edges(spark, d))
 
@@ -133,7 +143,7 @@ def edge_type_counts(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = (
     "find_callers find_callees transitive_callers_k3 transitive_callees_k3 all_paths_k3 shortest_path full_hierarchy class_hierarchy_chain related_entities_d2 file_entities file_dependencies "
-    "file_context implementation_context class_with_methods usage_patterns module_dependencies_theta entity_exact entity_fuzzy_rank entity_centrality graph_stats label_counts edge_type_counts"
+    "file_context implementation_context class_with_methods usage_patterns module_dependencies_theta entity_exact entity_fuzzy_rank search_by_name entity_centrality graph_stats label_counts edge_type_counts"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -178,14 +188,7 @@ _BOTH = """, linked AS (
   SELECT project, src, dst FROM calls UNION SELECT project, src, dst FROM extends UNION SELECT project, dst, src FROM calls UNION SELECT project, dst, src FROM extends
 )
 """
-_WORDS = """, words AS (
-  SELECT DISTINCT word FROM (SELECT lower(regexp_replace(name, '[^A-Za-z]', '', 'g')) AS word FROM imports UNION SELECT lower(unnest(string_split(field_name, '_'))) FROM metadata_generation_log)
-), pieces AS (
-  SELECT DISTINCT project, qn, name, word FROM (
-    SELECT project, qn, name, unnest(list_append(string_split(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_'), lower(name))) AS word FROM nodes
-  ) WHERE word <> ''
-)
-"""
+_WORDS = ", words AS (SELECT DISTINCT word FROM (SELECT name AS word FROM imports UNION SELECT unnest(string_split(field_name, '_')) FROM metadata_generation_log) WHERE word <> '')\n"
 ORACLE = {
     "find_callers": GRAPH + "SELECT c.project, c.dst AS function, c.src AS caller, n.name, n.file_path, n.start_line FROM calls c JOIN nodes n ON n.project = c.project AND n.qn = c.src",
     "find_callees": GRAPH + "SELECT c.project, c.src AS function, c.dst AS callee, n.name, n.file_path, n.start_line FROM calls c JOIN nodes n ON n.project = c.project AND n.qn = c.dst",
@@ -222,11 +225,16 @@ LEFT JOIN (SELECT project, src, list_sort(list(dst)) AS names FROM calls GROUP B
     "usage_patterns": GRAPH
     + ", near AS (SELECT project, src, list_sort(list(dst)) AS names FROM calls GROUP BY 1, 2) SELECT c.project, c.dst, c.src, array_to_string(list_filter(n.names, lambda x: x <> c.dst)[1:5], '|') AS also_calls FROM calls c JOIN near n ON n.project = c.project AND n.src = c.src",
     "module_dependencies_theta": GRAPH
-    + ", wanted AS (SELECT DISTINCT project_name AS project, file_path, name FROM imports), parts AS (SELECT DISTINCT project, qn, unnest(list_append(string_split(qn, '.'), name)) AS part FROM nodes) SELECT w.project, w.file_path, w.name AS import_name, count(p.qn) AS entities FROM wanted w LEFT JOIN parts p ON p.project = w.project AND p.part = w.name GROUP BY 1, 2, 3",
+    + ", wanted AS (SELECT DISTINCT project_name AS project, file_path, name FROM imports) SELECT w.project, w.file_path, w.name AS import_name, count(n.qn) AS entities FROM wanted w LEFT JOIN nodes n ON n.project = w.project AND (n.name = w.name OR contains(n.qn, w.name)) GROUP BY 1, 2, 3",
     "entity_exact": GRAPH + "SELECT DISTINCT n.project, i.name AS word, n.qn, n.label FROM nodes n JOIN imports i ON i.project_name = n.project AND (n.name = i.name OR n.qn = i.name)",
     "entity_fuzzy_rank": GRAPH
     + _WORDS
-    + "SELECT word, qn, match_score, place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY match_score, name, qn) AS place FROM (SELECT p.word, p.qn, p.name, CASE WHEN p.name = p.word THEN 0 WHEN lower(p.name) = p.word THEN 1 WHEN starts_with(lower(p.name), p.word) THEN 2 WHEN ends_with(lower(p.name), p.word) THEN 3 ELSE 4 END AS match_score FROM pieces p JOIN words w ON w.word = p.word)) WHERE place <= 10",
+    + """SELECT word, qn, match_score, place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY match_score, name, qn) AS place FROM (
+  SELECT w.word, n.qn, n.name, CASE WHEN n.name = w.word THEN 0 WHEN n.qn = w.word THEN 1 WHEN lower(n.name) = lower(w.word) THEN 2 WHEN starts_with(n.name, w.word) THEN 3 WHEN ends_with(n.name, w.word) THEN 4 WHEN contains(n.name, w.word) THEN 5 ELSE 6 END AS match_score
+  FROM words w JOIN nodes n ON contains(lower(n.qn), lower(w.word)) OR contains(lower(n.name), lower(w.word)))) WHERE place <= 10""",
+    "search_by_name": GRAPH
+    + _WORDS
+    + "SELECT word, project, qn, label, place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY qn, project) AS place FROM (SELECT w.word, n.project, n.qn, n.label FROM words w JOIN nodes n ON contains(n.qn, w.word) OR contains(n.name, w.word))) WHERE place <= 20",
     "entity_centrality": GRAPH
     + """SELECT project, qn, count(*) FILTER (kind = 'CALLS' AND into_ = 1) AS in_degree, count(*) FILTER (kind = 'CALLS' AND into_ = 0) AS out_degree, count(*) FILTER (kind = 'CALLS') AS total_degree,
 count(*) FILTER (NOT (into_ = 1 AND src = dst)) AS relationship_count FROM (SELECT project, src AS qn, kind, 0 AS into_, src, dst FROM edges UNION ALL SELECT project, dst, kind, 1, src, dst FROM edges) GROUP BY 1, 2""",

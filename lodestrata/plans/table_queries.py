@@ -181,7 +181,7 @@ def import_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def param_type_match(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.parameter_types(table(spark, d, "code_entities"))
+    return resolve.parameter_types(table(spark, d, "code_entities"), table(spark, d, "imports"))
 
 
 NAMES = (
@@ -212,11 +212,16 @@ _COMMON = "len(list_filter(range(1, greatest(len(l), len(r)) + 1), lambda n: l[1
 _B = ", ".join(f"'{x}'" for x in (*resolve.PYTHON_BUILTINS, *resolve.SCRIPT_BUILTINS))
 ORACLE = {
     "import_map": "SELECT project_name AS project, file_path, coalesce(nullif(alias, ''), name) AS local, struct_extract(max(ROW(line_number, CASE WHEN coalesce(source, '') = '' THEN name ELSE source || '.' || name END)), 2) AS target FROM imports GROUP BY 1, 2, 3",
-    "param_type_match": """WITH n AS (SELECT DISTINCT entity_id, project_name AS project, qualified_name AS qn, name, type, signature FROM code_entities), c AS (
-  SELECT project, qn AS class, list_transform(regexp_extract_all(name, '[A-Z][a-z0-9]*|[a-z0-9]+'), lambda w: lower(w)) AS w FROM n WHERE type = 'class'
-), e AS (SELECT project, class, array_to_string(w[k:], '') AS key, CASE WHEN k = 1 THEN 100 ELSE 90 END AS score FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM c)),
-p AS (SELECT DISTINCT project, function, parameter, lower(replace(parameter, '_', '')) AS key FROM (SELECT project, qn AS function, unnest(regexp_extract_all(signature, '[(,]\\s*\\*{0,2}([A-Za-z_]\\w*)', 1)) AS parameter FROM n WHERE signature IS NOT NULL))
-SELECT project, function, parameter, struct_extract(b, 2) AS class, struct_extract(b, 1) AS score FROM (SELECT p.project, function, parameter, max(ROW(score, class)) AS b FROM p JOIN e ON e.project = p.project AND e.key = p.key GROUP BY 1, 2, 3)""",
+    "param_type_match": """WITH n AS (SELECT DISTINCT entity_id, project_name AS project, file_path, qualified_name AS qn, name, type, signature FROM code_entities), flat AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(signature, '(?s)\\((.*)\\)', 1), '%s', '', 'g'), '%s', '', 'g'), '%s', '', 'g') AS inside FROM n WHERE type IN ('function', 'method') AND signature IS NOT NULL
+), p AS (SELECT DISTINCT project, qn AS function, file_path, unnest(regexp_extract_all(inside, '(?:^|,)\\s*\\*{0,2}(?:\\.\\.\\.)?([A-Za-z_]\\w*)', 1)) AS parameter FROM flat),
+m AS (SELECT project_name AS project, file_path, coalesce(nullif(alias, ''), name) AS local, struct_extract(max(ROW(line_number, CASE WHEN coalesce(source, '') = '' THEN name ELSE source || '.' || name END)), 2) AS target FROM imports GROUP BY 1, 2, 3),
+c AS (SELECT project, file_path, name FROM n WHERE type = 'class' AND name <> '' AND qn = %s || '.' || name UNION SELECT m.project, m.file_path, m.local FROM m JOIN n ON n.project = m.project AND n.qn = m.target AND n.type = 'class'),
+s AS (SELECT p.project, p.function, p.parameter, c.name AS class, CASE WHEN lower(parameter) = lower(name) THEN 100 WHEN ends_with(lower(name), lower(parameter)) OR ends_with(lower(parameter), lower(name)) THEN 90
+  WHEN contains(lower(parameter), lower(name)) THEN floor(80 * (length(name)::DOUBLE / length(parameter)))::INT ELSE 0 END AS score FROM p JOIN c ON c.project = p.project AND c.file_path = p.file_path)
+SELECT p.project, p.function, p.parameter, struct_extract(b, 2) AS class, coalesce(-struct_extract(b, 1), 0)::INT AS score FROM (SELECT DISTINCT project, function, parameter FROM p) p
+LEFT JOIN (SELECT project, function, parameter, min(ROW(-score, class)) AS b FROM s WHERE score > 50 GROUP BY 1, 2, 3) b ON b.project = p.project AND b.function = p.function AND b.parameter = p.parameter"""
+    % (*[r"\\([^()]*\\)|\\[[^\\[\\]]*\\]|\\{[^{}]*\\}|<[^<>]*>".replace("\\\\", "\\")] * 3, _MODULE.replace("project_name", "project").replace("path,", "file_path,")),
     "scan_statistics": _F
     + "SELECT language, count(*) AS file_count, sum(length(content) - length(replace(content, chr(10), '')) + 1)::BIGINT AS total_lines, sum(length(content))::BIGINT AS total_size FROM f WHERE content IS NOT NULL GROUP BY 1",
     "content_hash_changed": _F + "SELECT file_id, coalesce(sha256(content) <> content_hash, true) AS changed FROM f",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.models import hash_embedding
 from lodestrata.operators import chunks, graph, hierarchy, references, resolve, retrieval, tables
+from lodestrata.operators.substrings import containing
 from lodestrata.session import cut
 from lodestrata.sources import extract, tree
 from lodestrata.streaming import changes
@@ -204,13 +205,37 @@ def test_core_does_not_import_llm():
 
 
 def test_parameter_types(spark):
-    import datetime as dt
+    rows = [entity(1, "UserStore", "class"), entity(2, "Store", "class"), entity(3, "f"), entity(4, "Remote", "class", module="n"), entity(5, "Cart", "class", module="n"), entity(6, "rd", "class"), entity(7, "Ord", "class")]
+    rows[2] = (*rows[2][:6], "def f(store, user_store: dict[str, Store] = (1, other), *items, remoteApi=None, userstorex, card, none, e)", *rows[2][7:])
+    imports = spark.createDataFrame([("p", "/srv/repos/p/m.py", "Remote", "remoteApi", "p.n", 1), ("p", "/srv/repos/p/m.py", "gone", None, "q", 1)], "project_name string, file_path string, name string, alias string, source string, line_number int")
+    df = spark.createDataFrame(rows, ENTITY)
+    got = {r.parameter: (r["class"], r.score) for r in resolve.parameter_types(df, imports).collect()}
+    assert got == {"store": ("Store", 100), "user_store": ("Store", 90), "items": (None, 0), "remoteApi": ("remoteApi", 100), "userstorex": ("UserStore", 72), "card": ("rd", 90), "none": (None, 0), "e": ("Store", 90)}
+    assert resolve.parameter_types(df.limit(0), imports).count() == 0
+
+
+def test_containing_against_brute_force(spark):
+    import random
 
-    rows = [entity(1, "UserStore", "class"), entity(2, "Store", "class"), entity(3, "f")]
-    rows[2] = (*rows[2][:6], "def f(store, user_store, other, *items)", *rows[2][7:])
-    assert isinstance(rows[0][14], dt.datetime)
-    got = {(r.parameter, r["class"], r.score) for r in resolve.parameter_types(spark.createDataFrame(rows, ENTITY)).collect()}
-    assert got == {("store", "p.m.Store", 100), ("user_store", "p.m.UserStore", 100)}
+    rng = random.Random(6)
+    piece = lambda n: "".join(rng.choice("abA.é_") for _ in range(n))
+    texts = [(i, rng.choice("pq"), piece(rng.randrange(0, 14))) for i in range(200)] + [(300, "p", None), (301, None, "ab"), (302, "p", "aaaaaaa"), (303, "p", "aaaaaaa")]
+    words = [(rng.choice("pq"), piece(rng.randrange(0, 6))) for _ in range(80)] + [("p", None), ("p", ""), (None, "a"), ("p", "aaa"), ("p", "aaa")]
+    left = spark.createDataFrame(texts, "id long, scope string, text string")
+    right = spark.createDataFrame(words, "scope string, word string")
+    got = sorted((r.word, r.id) for r in containing(left, right.drop("scope")).collect())
+    assert got == sorted((w, i) for w in {w for _, w in words if w} for i, _, t in texts if t is not None and w in t)
+    got = sorted((r.word, r.id) for r in containing(left, right, ["scope"]).collect())
+    assert got == sorted((w, i) for s, w in {(s, w) for s, w in words if w and s} for i, scope, t in texts if t is not None and scope == s and w in t)
+    assert containing(left, right.limit(0)).count() == 0 and containing(left.limit(0), right).count() == 0
+
+
+def test_ranks_of_a_name_search(spark):
+    rows = [entity(i, name) for i, name in enumerate(["load", "LOAD", "loadAll", "reload", "reloading", "x.Loader"])] + [entity(9, "other", module="loaders")]
+    words = spark.createDataFrame([("load",), ("p.m.load",), (None,), ("",)], "word string")
+    got = {(r.word, r.qn): r.match_score for r in graph.name_search(spark.createDataFrame(rows, ENTITY), words).collect()}
+    assert {q: s for (w, q), s in got.items() if w == "load"} == {"p.m.load": 0, "p.m.LOAD": 2, "p.m.loadAll": 3, "p.m.reload": 4, "p.m.reloading": 5, "p.m.x.Loader": 6, "p.loaders.other": 6}
+    assert got["p.m.load", "p.m.load"] == 1 and got["p.m.load", "p.m.loadAll"] == 6
 
 
 def test_inheritance_of_any_depth(spark):
