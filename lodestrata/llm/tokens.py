@@ -11,6 +11,7 @@ import base64
 import os
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestrata.session import ship
+
 TOKENIZERS = os.environ.get("LODESTRATA_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits a text into words before any merge.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PATTERN = regex.compile(WORDS)
 #: A worker forgets the words it has encoded once they hold this many characters.
 REMEMBERED_CHARS = 30_000_000
 
@@ -94,33 +98,37 @@ class PairMerger:
         return [[i for i in ids[a:b] if i >= 0] for a, b in zip(begins, ends)]
 
 
-_MERGERS: dict[str, tuple[PairMerger, dict[str, list[int]]]] = {}
+class Known(dict):
+    """The words met so far with their ids, and how many characters they hold."""
+
+    chars = 0
+
 
+_MERGERS: dict[str, tuple[PairMerger, Known]] = {}
 
-def _merger(path: str) -> tuple[PairMerger, dict[str, list[int]]]:
+
+def _merger(path: str) -> tuple[PairMerger, Known]:
     """The vocabulary and the words met so far, once per Python worker."""
     if path not in _MERGERS:
-        _MERGERS[path] = (PairMerger(load_ranks(path)), {})
+        _MERGERS[path] = (PairMerger(load_ranks(path)), Known())
     return _MERGERS[path]
 
 
 def encode_batch(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, offsets) of a batch."""
     merger, known = _merger(path)
-    pattern = regex.compile(WORDS)
-    split = [pattern.findall(text) if text else [] for text in texts]
-    new = list({word for words in split for word in words if word not in known})
-    if sum(map(len, known)) + sum(map(len, new)) > REMEMBERED_CHARS:
+    split = [_PATTERN.findall(text) if text else [] for text in texts]
+    met = set().union(*split)
+    new = list(met.difference(known))
+    if known.chars + sum(map(len, new)) > REMEMBERED_CHARS:
         known.clear()
-        new = list({word for words in split for word in words})
+        known.chars, new = 0, list(met)
+    known.chars += sum(map(len, new))
     known.update(zip(new, merger.encode([word.encode("utf-8", "replace") for word in new])))
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
-    ids: list[int] = []
-    for place, words in enumerate(split):
-        for word in words:
-            ids.extend(known[word])
-        offsets[place + 1] = len(ids)
-    return np.asarray(ids, dtype=np.int32), offsets
+    parts = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+    np.cumsum([len(part) for part in parts], out=offsets[1:])
+    return np.fromiter(chain.from_iterable(parts), dtype=np.int32, count=int(offsets[-1])), offsets
 
 
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -131,6 +139,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     where they are: nothing is shuffled.
     """
     vocabulary = path or os.path.join(TOKENIZERS, VOCABULARY)
+    ship(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +157,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None) -
     All other columns are kept as they are.
     """
     vocabulary = path or os.path.join(TOKENIZERS, VOCABULARY)
+    ship(docs.sparkSession)
     others = [c for c in docs.columns if c != text]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
