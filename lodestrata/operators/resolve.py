@@ -20,11 +20,17 @@ PYTHON_BUILTINS = (
     "super classmethod staticmethod property callable iter next repr hash id dir vars globals locals compile eval exec format Exception ValueError TypeError KeyError IndexError AttributeError "
     "RuntimeError StopIteration NotImplementedError AssertionError ImportError OSError IOError FileNotFoundError"
 ).split()
-SCRIPT_BUILTINS = (
-    "Array Object String Number Date RegExp Function Map Set WeakMap WeakSet Promise Error Boolean Symbol BigInt Proxy Reflect parseInt parseFloat isNaN isFinite setTimeout setInterval "
-    "clearTimeout clearInterval fetch require Object.keys Object.values Object.entries Object.assign Object.freeze Array.from Array.isArray Array.of console.log console.error console.warn "
-    "console.info console.debug JSON.parse JSON.stringify Math.random Math.floor Math.ceil Math.round Math.abs Math.max Math.min Date.now Promise.resolve Promise.reject Promise.all"
+SCRIPT_TYPES = (
+    "Array Object String Number Date RegExp Function Map Set WeakMap WeakSet Promise Error Boolean Symbol BigInt ArrayBuffer DataView Int8Array Uint8Array Float32Array Float64Array Proxy Reflect Intl"
 ).split()
+SCRIPT_FUNCTIONS = (
+    "Object.create Object.keys Object.values Object.entries Object.assign Object.freeze Object.seal Object.defineProperty Object.getOwnPropertyNames Object.getPrototypeOf Array.from Array.isArray Array.of "
+    "parseInt parseFloat isNaN isFinite encodeURI decodeURI encodeURIComponent decodeURIComponent console.log console.error console.warn console.info console.debug console.trace JSON.parse JSON.stringify "
+    "Math.random Math.floor Math.ceil Math.round Math.abs Math.max Math.min Math.pow Math.sqrt Date.now Date.parse Promise.resolve Promise.reject Promise.all Promise.race Promise.allSettled "
+    "Reflect.get Reflect.set Reflect.has Reflect.apply setTimeout setInterval clearTimeout clearInterval fetch require"
+).split()
+SCRIPT_SUFFIXES = ("call", "apply", "bind")
+SCRIPT_FILES = r"\.(?:[cm]?js|jsx|[cm]?ts|tsx)$"
 
 
 def module_qn(project: Column, path: Column) -> Column:
@@ -42,40 +48,174 @@ def module_distance(a: Column, b: Column) -> Column:
     return F.size(left) + F.size(right) - 2 * common - F.when(F.startswith(b, F.concat(a, F.lit("."))), 2).otherwise(0)
 
 
+def script_module(module: Column, source: Column) -> Column:
+    """Qualified name of the module that a script's module names as `source`: relative to its own folder, or with dots for slashes."""
+    parts = F.filter(F.split(source, "/"), lambda part: ~part.isin("", "."))
+    folder = F.slice(F.split(module, r"\."), F.lit(1), F.greatest(F.size(F.split(module, r"\.")) - 1, F.lit(0)))
+    walked = F.aggregate(parts, folder, lambda at, part: F.when(part == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.array_append(at, part)))
+    return F.when(F.startswith(source, F.lit(".")), F.array_join(walked, ".")).otherwise(F.replace(source, F.lit("/"), F.lit(".")))
+
+
+def python_module(project: Column, module: Column, source: Column) -> Column:
+    """Qualified name of the module that a Python module names as `source`; leading dots climb from its own name."""
+    dots = F.length(F.regexp_extract(source, r"^(\.*)", 1))
+    below = F.slice(F.split(module, r"\."), F.lit(2), F.greatest(F.size(F.split(module, r"\.")) - 1 - dots, F.lit(0)))
+    rest = F.filter(F.split(F.substr(source, dots + 1), r"\."), lambda part: part != "")
+    return F.when(dots > 0, F.array_join(F.concat(F.array(project), below, rest), ".")).otherwise(source)
+
+
 def import_map(imports: DataFrame) -> DataFrame:
-    """(project, file_path, local, target): what a name of a file stands for by its imports."""
-    target = F.when(F.col("source").isNull() | (F.col("source") == ""), F.col("name")).otherwise(F.concat_ws(".", "source", "name"))
-    rows = imports.select(F.col("project_name").alias("project"), "file_path", F.coalesce(F.expr("nullif(alias, '')"), F.col("name")).alias("local"), target.alias("target"), "line_number")
-    return rows.groupBy("project", "file_path", "local").agg(F.max(F.struct("line_number", "target")).getField("target").alias("target"))
+    """(project, file_path, local, target): what a name of a file stands for by its imports; of several the one on the last line.
+
+    A Python import without alias brings the first part of its name, a star brings all of a module,
+    under `*` and the module's name. A script's star brings the module under its alias.
+    """
+    project, name, source = F.col("project_name"), F.col("name"), F.expr("nullif(source, '')")
+    alias = F.expr("nullif(alias, '')")
+    module = module_qn(project, F.col("file_path"))
+    script = F.col("file_path").rlike(SCRIPT_FILES)
+    base = F.when(script, script_module(module, source)).otherwise(python_module(project, module, source))
+    local = (
+        F.when(source.isNull() & ~script, F.coalesce(alias, F.substring_index(name, ".", 1)))
+        .when((name == "*") & ~script, F.concat(F.lit("*"), base)).otherwise(F.coalesce(alias, name))
+    )
+    target = F.when(source.isNull(), name).when(name == "*", base).otherwise(F.concat_ws(".", base, name))
+    rows = imports.select(project.alias("project"), "file_path", local.alias("local"), target.alias("target"), "line_number")
+    return rows.where("local is not null").groupBy("project", "file_path", "local").agg(F.max(F.struct("line_number", "target")).getField("target").alias("target"))
+
+
+def resolve_name(names: DataFrame, imports: DataFrame, entities: DataFrame) -> DataFrame:
+    """(project, file_path, name, target) of the names (project, file_path, name) of files: as imported, else an entity that a star brings; else null."""
+    mapped = import_map(imports)
+    direct = names.join(mapped.withColumnRenamed("local", "name"), ["project", "file_path", "name"]).select("project", "file_path", "name", F.struct(F.lit(1).alias("place"), "target").alias("t"))
+    stars = mapped.where(F.startswith("local", F.lit("*"))).select("project", "file_path", F.col("target").alias("base"))
+    known = nodes(entities).select("project", F.col("qn").alias("target")).distinct()
+    brought = names.join(stars, ["project", "file_path"]).withColumn("target", F.concat_ws(".", "base", "name")).join(known, ["project", "target"], "left_semi")
+    found = direct.unionByName(brought.select("project", "file_path", "name", F.struct(F.lit(2).alias("place"), "target").alias("t")))
+    best = found.groupBy("project", "file_path", "name").agg(F.min("t").alias("t"))
+    return names.distinct().join(best, ["project", "file_path", "name"], "left").select("project", "file_path", "name", "t.target")
+
 
+def nearest_named(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(project, module, tail, far, target) of the entity named `tail` that is nearest to a module; ties by name.
 
-def resolve_calls(entities: DataFrame, imports: DataFrame) -> DataFrame:
+    Of all entities of a name that lie below a prefix only the one with the shortest name counts,
+    so a name that everything has is one row a prefix, and a module asks its own prefixes.
+    """
+    parts = F.split("qn", r"\.")
+    upto = lambda whole, n: F.array_join(F.slice(whole, F.lit(1), n), ".")
+    spread = known.where("tail is not null").select("project", "tail", "qn", F.size(parts).alias("size"), parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"))
+    best = spread.groupBy("project", "tail", upto(F.col("parts"), F.col("n")).alias("prefix"), (F.col("n") < F.col("size")).alias("inside")).agg(F.min(F.struct("size", "qn")).alias("s"))
+    own = F.split("module", r"\.")
+    asks = asked.select("project", "module", "tail").distinct().withColumns({"own": own, "n": F.explode(F.sequence(F.lit(1), F.size(own)))})
+    asks = asks.withColumn("prefix", upto(F.col("own"), F.col("n")))
+    bonus = F.when(F.col("inside") & (F.col("n") == F.size("own")), 2).otherwise(0)
+    joined = asks.join(best, ["project", "tail", "prefix"]).withColumn("far", F.size("own") + F.col("s.size") - 2 * F.col("n") - bonus)
+    return joined.groupBy("project", "module", "tail").agg(F.min(F.struct("far", F.col("s.qn").alias("target"))).alias("b")).select("project", "module", "tail", "b.far", "b.target")
+
+
+def annotated_parameters(entities: DataFrame) -> DataFrame:
+    """(project, caller, variable, type) of parameters whose annotation is the name of one type."""
+    pairs = F.regexp_extract_all("signature", F.lit(r"([A-Za-z_]\w*\??\s*:\s*[A-Z]\w*)\s*[,)=]"), F.lit(1))
+    rows = nodes(entities).where("signature is not null").select("project", F.col("qn").alias("caller"), F.explode(pairs).alias("pair"))
+    return rows.select("project", "caller", F.regexp_extract("pair", r"^(\w+)", 1).alias("variable"), F.regexp_extract("pair", r"(\w+)$", 1).alias("type")).distinct()
+
+
+def _types_to_classes(types: DataFrame, mapped: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds `class` to rows (project, file_path, module, type): itself if dotted, as imported, of the module, else the first class of the name."""
+    classes = known.where("label = 'Class'")
+    first = classes.groupBy("project", F.col("name").alias("type")).agg(F.min("qn").alias("by_name"))
+    own = classes.select("project", F.col("qn").alias("own")).distinct()
+    rows = types.join(mapped.select("project", "file_path", F.col("local").alias("type"), F.col("target").alias("imported")), ["project", "file_path", "type"], "left")
+    rows = rows.withColumn("own", F.concat_ws(".", "module", "type")).join(own.withColumn("there", F.lit(True)), ["project", "own"], "left").join(first, ["project", "type"], "left")
+    found = F.when(F.contains("type", F.lit(".")), F.col("type")).otherwise(F.coalesce("imported", F.when(F.col("there"), F.col("own")), "by_name"))
+    return rows.withColumn("class", found).drop("imported", "own", "there", "by_name").where("class is not null")
+
+
+def inherited_targets(entities: DataFrame) -> DataFrame:
+    """(project, class, method, inherited): the nearest ancestor's method of each name, the class's own left out."""
+    methods = nodes(entities).where("label = 'Method'").select("project", F.regexp_extract("qn", r"(?s)^(.*)\.", 1).alias("ancestor"), F.substring_index("qn", ".", -1).alias("method"), "qn").distinct()
+    joined = ancestors(entities).where("depth > 0").join(methods, ["project", "ancestor"])
+    return joined.groupBy("project", "class", "method").agg(F.min(F.struct("depth", "ord", "ancestor", "qn")).getField("qn").alias("inherited"))
+
+
+def resolve_calls(entities: DataFrame, imports: DataFrame, local_types: DataFrame | None = None) -> DataFrame:
     """(project, caller, call, strategy, target) of each distinct call text of an entity.
 
-    In this order: `qualified`, the text is a qualified name of the project; `import`, its first
-    part is imported; `module`, the caller's module has an entity of its first part; `builtin`;
-    `simple`, an entity of the project has its last part as name, the one of the nearest module, ties by name; else `none`.
+    In this order: `qualified`, the text is a qualified name of the project; `iife`, a function
+    called where it stands; `super`, the nearest ancestor's method, and nothing else if there is
+    none; `chain`, the method of what a call in the text makes, and nothing else; `import`, what the
+    text or its first part is imported as, the method of the type of its first part, an entity that a
+    star brings, whichever of these is an entity; `module`, an entity of the caller's module with the
+    text's first part as name; `builtin`, what the language brings; `simple`, the nearest entity of the
+    project with the last part as name; else `none`. `local_types` (project, caller, variable, type)
+    says what type the names in a caller have.
     """
-    known = nodes(entities).select("project", "qn", "name", "file_path")
+    known = nodes(entities).select("project", "qn", "name", "label", "file_path")
+    exists = known.select("project", F.col("qn").alias("target")).distinct()
+    owner = F.when(F.col("type") == "method", F.regexp_extract("qualified_name", r"(?s)^(.*)\.", 1))
     calls = entities.select(
-        F.col("project_name").alias("project"), F.col("qualified_name").alias("caller"), "file_path", F.explode("calls").alias("call")
+        F.col("project_name").alias("project"), F.col("qualified_name").alias("caller"), "file_path", owner.alias("class"), F.explode("calls").alias("call")
     ).where("call is not null and call != ''").distinct()
+    call = F.col("call")
+    on_super = (call == "super") | F.startswith(call, F.lit("super.")) | F.startswith(call, F.lit("super()"))
+    chained = F.contains(call, F.lit(").")) & call.contains("(")
     calls = calls.withColumns(
-        {"head": F.substring_index("call", ".", 1), "tail": F.substring_index("call", ".", -1), "module": module_qn(F.col("project"), F.col("file_path"))}
-    )
-    candidate = lambda rows, place, strategy, target: rows.select("project", "caller", "call", F.struct(F.lit(place).alias("place"), F.lit(strategy).alias("strategy"), target.alias("target")).alias("c"))
-    qualified = candidate(calls.join(known.select("project", F.col("qn").alias("call")), ["project", "call"]), 1, "qualified", F.col("call"))
-    mapped = import_map(imports).select("project", "file_path", F.col("local").alias("head"), "target")
-    imported = candidate(calls.join(mapped, ["project", "file_path", "head"]), 2, "import", F.col("target"))
-    here = calls.withColumn("qn", F.concat_ws(".", "module", "head")).join(known.select("project", "qn"), ["project", "qn"])
-    same = candidate(here, 3, "module", F.col("qn"))
-    builtin = candidate(calls.where(F.col("call").isin(*PYTHON_BUILTINS, *SCRIPT_BUILTINS)), 4, "builtin", F.concat(F.lit("builtins."), F.col("call")))
-    names = known.select("project", F.col("name").alias("tail"), "qn").where("tail is not null")
-    near = calls.join(names, ["project", "tail"]).withColumn("far", module_distance(F.col("module"), F.col("qn")))
-    near = near.groupBy("project", "caller", "call").agg(F.min(F.struct("far", "qn")).alias("n")).select("project", "caller", "call", F.struct(F.lit(5).alias("place"), F.lit("simple").alias("strategy"), F.col("n.qn").alias("target")).alias("c"))
-    nothing = candidate(calls, 9, "none", F.lit(None).cast("string"))
-    found = reduce(DataFrame.unionByName, [qualified, imported, same, builtin, near, nothing])
-    return found.groupBy("project", "caller", "call").agg(F.min("c").alias("c")).select("project", "caller", "call", "c.strategy", "c.target")
+        {
+            "module": module_qn(F.col("project"), F.col("file_path")), "script": F.col("file_path").rlike(SCRIPT_FILES),
+            "form": F.when(on_super, "super").when(chained, "chain").otherwise("plain"),
+            "head": F.substring_index("call", ".", 1), "rest": F.substring_index(F.when(call.contains("."), F.substr(call, F.instr(call, ".") + 1)), "(", 1),
+            "tail": F.substring_index(F.substring_index("call", ".", -1), "(", 1),
+        }
+    )
+    calls = cut(calls)
+    keys = ["project", "caller", "call"]
+    plain = calls.where("form = 'plain'")
+    mapped = cut(import_map(imports))
+    above = cut(inherited_targets(entities))
+
+    def candidate(rows: DataFrame, place: int, strategy: str) -> DataFrame:
+        return rows.select(*keys, F.struct(F.lit(place).alias("place"), F.lit(strategy).alias("strategy"), "target").alias("c"))
+
+    def methods_of(rows: DataFrame, method: Column) -> DataFrame:
+        """Rows with a class, with the method of the class or else its nearest ancestor as target."""
+        rows = rows.withColumns({"method": method, "own": F.concat_ws(".", "class", method)})
+        both = rows.join(exists.select("project", F.col("target").alias("own"), F.lit(True).alias("there")), ["project", "own"], "left").join(above, ["project", "class", "method"], "left")
+        return both.withColumn("target", F.when(F.col("there"), F.col("own")).otherwise(F.col("inherited"))).where("target is not null")
+
+    existing = lambda rows, target: rows.withColumn("target", target).join(exists, ["project", "target"], "left_semi")
+    found = [candidate(existing(calls, call), 1, "qualified")]
+    found.append(candidate(existing(calls.where(F.col("script") & call.rlike("^iife_(?:func|arrow)_")), F.concat_ws(".", "module", "call")), 2, "iife"))
+    above_name = F.when(call.isin("super", "super()"), "__init__").otherwise(F.col("rest"))
+    supers = calls.where("form = 'super' and class is not null").withColumn("method", above_name).join(above, ["project", "class", "method"]).withColumnRenamed("inherited", "target")
+    found.append(candidate(supers, 3, "super"))
+    local = mapped.select("project", "file_path", "local", F.col("target").alias("imported"))
+    typed = None if local_types is None else local_types.select("project", "caller", F.col("variable").alias("head"), "type")
+    # what a call makes: an object of the class that is called, or of the type a name has
+    made = calls.where("form = 'chain'").withColumns({"method": F.regexp_extract("call", r"\.([^.()]+)$", 1), "type": F.regexp_extract("call", r"^([\w.]+)\([^()]*\)\.[^.()]+$", 1)}).where("method != '' and type != ''")
+    found.append(candidate(methods_of(_types_to_classes(made.drop("class"), mapped, known), F.col("method")), 4, "chain"))
+    found.append(candidate(existing(plain.join(local.withColumnRenamed("local", "call"), ["project", "file_path", "call"]), F.col("imported")), 5, "import"))
+    if typed is not None:
+        receivers = plain.where("rest is not null").drop("class").join(typed, ["project", "caller", "head"])
+        found.append(candidate(methods_of(_types_to_classes(receivers, mapped, known), F.col("rest")), 6, "import"))
+    parts = plain.where("rest is not null").join(local.withColumnRenamed("local", "head"), ["project", "file_path", "head"])
+    found.append(candidate(existing(parts, F.concat_ws(".", "imported", "rest")), 7, "import"))
+    stars = local.where(F.startswith("local", F.lit("*"))).drop("local")
+    found.append(candidate(existing(plain.join(stars, ["project", "file_path"]), F.concat_ws(".", "imported", "call")), 8, "import"))
+    found.append(candidate(existing(plain, F.concat_ws(".", "module", F.substring_index("head", "(", 1))), 9, "module"))
+    bare = F.substring_index("call", "(", 1)
+    suffix = F.regexp_extract("call", rf"\.({'|'.join(SCRIPT_SUFFIXES)})$", 1)
+    built = (
+        F.when(~F.col("script"), F.when(bare.isin(*PYTHON_BUILTINS), F.concat(F.lit("builtins."), bare)))
+        .when(call.isin(*SCRIPT_FUNCTIONS), F.concat(F.lit("builtin."), call)).when(bare.isin(*SCRIPT_TYPES), F.concat(F.lit("builtin."), bare))
+        .when(suffix != "", F.concat(F.lit("builtin.Function.prototype."), suffix))
+    )
+    found.append(candidate(plain.withColumn("target", built).where("target is not null"), 10, "builtin"))
+    near = nearest_named(plain, known.select("project", F.substring_index("qn", ".", -1).alias("tail"), "qn"))
+    found.append(candidate(plain.join(near, ["project", "module", "tail"]), 11, "simple"))
+    found.append(candidate(calls.withColumn("target", F.lit(None).cast("string")), 12, "none"))
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy(*keys).agg(F.min("c").alias("c")).select(*keys, "c.strategy", "c.target")
 
 
 def least_links(extends: DataFrame) -> DataFrame:

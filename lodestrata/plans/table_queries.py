@@ -148,7 +148,15 @@ def registry_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_calls(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve_calls(table(spark, d, "code_entities"), table(spark, d, "imports"))
+    entities = table(spark, d, "code_entities")
+    return resolve.resolve_calls(entities, table(spark, d, "imports"), resolve.annotated_parameters(entities))
+
+
+def resolve_names(spark: SparkSession, d: str) -> DataFrame:
+    """What the imported names and the bare base classes of each file stand for by its imports."""
+    bases = table(spark, d, "code_entities").select(F.col("project_name").alias("project"), "file_path", F.explode("base_classes").alias("name"))
+    names = table(spark, d, "imports").select(F.col("project_name").alias("project"), "file_path", "name").unionByName(bases).where("name is not null").distinct()
+    return resolve.resolve_name(names, table(spark, d, "imports"), table(spark, d, "code_entities"))
 
 
 def module_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +195,7 @@ def param_type_match(spark: SparkSession, d: str) -> DataFrame:
 NAMES = (
     "import_map param_type_match scan_statistics content_hash_changed unchanged_semi upsert_nodes delete_file_entities delete_calls_for_file delete_by_prefix metadata_upsert_version generation_log_order generation_status "
     "metadata_documents list_projects project_stats_prefix context_file_summaries call_chain_explanations import_extract module_qn registry_simple_name registry_prefix registry_suffix "
-    "resolve_calls module_distance mro_bfs subclasses inherited_methods inheritance_stats"
+    "resolve_calls resolve_names module_distance mro_bfs subclasses inherited_methods inheritance_stats"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -209,14 +217,69 @@ _UP = (
 
 
 _COMMON = "len(list_filter(range(1, greatest(len(l), len(r)) + 1), lambda n: l[1:n] = r[1:n] AND n <= least(len(l), len(r))))"
-_B = ", ".join(f"'{x}'" for x in (*resolve.PYTHON_BUILTINS, *resolve.SCRIPT_BUILTINS))
+_quoted = lambda words: ", ".join(f"'{x}'" for x in words)
+_FILE_MODULE = _MODULE.replace("path,", "file_path,")
+#: The import map, with `..` of a script's source only at its beginning.
+_IMPORTS = f""", parted AS (
+  SELECT *, string_split(module, '.') AS mp, list_filter(string_split(src, '/'), lambda x: x NOT IN ('', '.', '..')) AS downs, len(list_filter(string_split(src, '/'), lambda x: x = '..')) AS ups, length(regexp_extract(src, '^(\\.*)', 1)) AS dots
+  FROM (SELECT project_name AS project, file_path, name, nullif(alias, '') AS alias, nullif(source, '') AS src, line_number, regexp_matches(file_path, '{resolve.SCRIPT_FILES}') AS script, {_FILE_MODULE} AS module FROM imports)
+), based AS (
+  SELECT *, CASE WHEN script THEN CASE WHEN starts_with(src, '.') THEN array_to_string(list_concat(mp[1:greatest(len(mp) - 1 - ups, 0)], downs), '.') ELSE replace(src, '/', '.') END
+    WHEN dots > 0 THEN array_to_string(list_concat(list_concat([project], mp[2:len(mp) - dots]), list_filter(string_split(substr(src, dots + 1), '.'), lambda x: x <> '')), '.') ELSE src END AS base FROM parted
+), mapped AS (
+  SELECT project, file_path, local, struct_extract(max(ROW(line_number, target)), 2) AS target FROM (SELECT project, file_path, line_number,
+    CASE WHEN src IS NULL AND NOT script THEN coalesce(alias, string_split(name, '.')[1]) WHEN name = '*' AND NOT script THEN '*' || base ELSE coalesce(alias, name) END AS local,
+    CASE WHEN src IS NULL THEN name WHEN name = '*' THEN base ELSE base || '.' || name END AS target FROM based) WHERE local IS NOT NULL GROUP BY 1, 2, 3
+)
+"""
+_CALLS = f""", c AS (
+  SELECT *, string_split(call, '.')[1] AS head, CASE WHEN contains(call, '.') THEN string_split(substr(call, strpos(call, '.') + 1), '(')[1] END AS rest, string_split(string_split(call, '.')[-1], '(')[1] AS tail, string_split(call, '(')[1] AS bare,
+    CASE WHEN call = 'super' OR starts_with(call, 'super.') OR starts_with(call, 'super()') THEN 'super' WHEN contains(call, ').') AND contains(call, '(') THEN 'chain' ELSE 'plain' END AS form,
+    regexp_extract(call, '\\.(call|apply|bind)$', 1) AS suffix, regexp_matches(file_path, '{resolve.SCRIPT_FILES}') AS script, {_FILE_MODULE.replace('project_name', 'project')} AS module FROM (
+    SELECT DISTINCT project_name AS project, qualified_name AS caller, file_path, CASE WHEN type = 'method' THEN regexp_replace(qualified_name, '\\.[^.]*$', '') END AS class, unnest(calls) AS call FROM code_entities) WHERE call <> ''
+), above AS (
+  SELECT m.project, m.origin AS class, string_split(n.qn, '.')[-1] AS method, struct_extract(min(ROW(struct_extract(m.m, 1), struct_extract(m.m, 2), m.reached, n.qn)), 4) AS target FROM (SELECT project, origin, reached, min(ROW(depth, ord)) AS m FROM lines WHERE origin <> reached GROUP BY 1, 2, 3) m
+  JOIN nodes n ON n.project = m.project AND n.label = 'Method' AND regexp_replace(n.qn, '\\.[^.]*$', '') = m.reached GROUP BY 1, 2, 3
+), types AS (
+  SELECT DISTINCT project, caller, regexp_extract(pair, '^(\\w+)', 1) AS variable, regexp_extract(pair, '(\\w+)$', 1) AS type FROM (SELECT project_name AS project, qualified_name AS caller, unnest(regexp_extract_all(signature, '([A-Za-z_]\\w*\\??\\s*:\\s*[A-Z]\\w*)\\s*[,)=]', 1)) AS pair FROM code_entities WHERE signature IS NOT NULL)
+), objects AS (
+  SELECT project, caller, call, file_path, module, regexp_extract(call, '^([\\w.]+)\\([^()]*\\)\\.[^.()]+$', 1) AS type, regexp_extract(call, '\\.([^.()]+)$', 1) AS method, 4 AS place, 'chain' AS strategy FROM c WHERE form = 'chain'
+  UNION ALL SELECT c.project, c.caller, c.call, c.file_path, c.module, t.type, c.rest, 6, 'import' FROM c JOIN types t ON t.project = c.project AND t.caller = c.caller AND t.variable = c.head WHERE c.form = 'plain' AND c.rest IS NOT NULL
+), classed AS (
+  SELECT o.*, CASE WHEN contains(o.type, '.') THEN o.type ELSE coalesce(m.target, k.qn, f.qn) END AS class FROM objects o LEFT JOIN mapped m ON m.project = o.project AND m.file_path = o.file_path AND m.local = o.type
+  LEFT JOIN nodes k ON k.project = o.project AND k.label = 'Class' AND k.qn = o.module || '.' || o.type LEFT JOIN (SELECT project, name, min(qn) AS qn FROM nodes WHERE label = 'Class' GROUP BY 1, 2) f ON f.project = o.project AND f.name = o.type WHERE o.type <> '' AND o.method <> ''
+), near AS (
+  SELECT project, caller, call, min(ROW(len(l) + len(r) - 2 * {_COMMON} - CASE WHEN starts_with(qn, module || '.') THEN 2 ELSE 0 END, qn)) AS t FROM (
+    SELECT c.*, n.qn, string_split(c.module, '.') AS l, string_split(n.qn, '.') AS r FROM c JOIN nodes n ON n.project = c.project AND string_split(n.qn, '.')[-1] = c.tail WHERE c.form = 'plain') GROUP BY 1, 2, 3
+), found AS (
+  SELECT c.project, c.caller, c.call, 1 AS place, 'qualified' AS strategy, c.call AS target FROM c
+  UNION ALL SELECT project, caller, call, 2, 'iife', module || '.' || call FROM c WHERE script AND regexp_matches(call, '^iife_(?:func|arrow)_')
+  UNION ALL SELECT c.project, c.caller, c.call, 3, 'super', a.target FROM c JOIN above a ON a.project = c.project AND a.class = c.class AND a.method = CASE WHEN c.call IN ('super', 'super()') THEN '__init__' ELSE c.rest END WHERE c.form = 'super'
+  UNION ALL SELECT o.project, o.caller, o.call, o.place, o.strategy, coalesce(n.qn, a.target) FROM classed o LEFT JOIN nodes n ON n.project = o.project AND n.qn = o.class || '.' || o.method LEFT JOIN above a ON a.project = o.project AND a.class = o.class AND a.method = o.method
+  UNION ALL SELECT c.project, c.caller, c.call, 5, 'import', m.target FROM c JOIN mapped m ON m.project = c.project AND m.file_path = c.file_path AND m.local = c.call WHERE c.form = 'plain'
+  UNION ALL SELECT c.project, c.caller, c.call, 7, 'import', m.target || '.' || c.rest FROM c JOIN mapped m ON m.project = c.project AND m.file_path = c.file_path AND m.local = c.head WHERE c.form = 'plain'
+  UNION ALL SELECT c.project, c.caller, c.call, 8, 'import', m.target || '.' || c.call FROM c JOIN mapped m ON m.project = c.project AND m.file_path = c.file_path AND starts_with(m.local, '*') WHERE c.form = 'plain'
+  UNION ALL SELECT project, caller, call, 9, 'module', module || '.' || string_split(head, '(')[1] FROM c WHERE form = 'plain'
+), every AS (
+  SELECT f.* FROM found f JOIN nodes n ON n.project = f.project AND n.qn = f.target
+  UNION ALL SELECT * FROM (SELECT project, caller, call, 10, 'builtin', CASE WHEN NOT script THEN CASE WHEN bare IN ({_quoted(resolve.PYTHON_BUILTINS)}) THEN 'builtins.' || bare END WHEN call IN ({_quoted(resolve.SCRIPT_FUNCTIONS)}) THEN 'builtin.' || call
+    WHEN bare IN ({_quoted(resolve.SCRIPT_TYPES)}) THEN 'builtin.' || bare WHEN suffix <> '' THEN 'builtin.Function.prototype.' || suffix END AS target FROM c WHERE form = 'plain') WHERE target IS NOT NULL
+  UNION ALL SELECT project, caller, call, 11, 'simple', struct_extract(t, 2) FROM near UNION ALL SELECT project, caller, call, 12, 'none', NULL FROM c
+)
+SELECT project, caller, call, arg_min(strategy, place) AS strategy, struct_extract(min(ROW(place, target)), 2) AS target FROM every GROUP BY 1, 2, 3"""
 ORACLE = {
-    "import_map": "SELECT project_name AS project, file_path, coalesce(nullif(alias, ''), name) AS local, struct_extract(max(ROW(line_number, CASE WHEN coalesce(source, '') = '' THEN name ELSE source || '.' || name END)), 2) AS target FROM imports GROUP BY 1, 2, 3",
-    "param_type_match": """WITH n AS (SELECT DISTINCT entity_id, project_name AS project, file_path, qualified_name AS qn, name, type, signature FROM code_entities), flat AS (
+    "import_map": GRAPH + _IMPORTS + "SELECT project, file_path, local, target FROM mapped",
+    "resolve_names": GRAPH
+    + _IMPORTS
+    + """, asked AS (SELECT DISTINCT * FROM (SELECT project_name AS project, file_path, name FROM imports UNION SELECT project_name, file_path, unnest(base_classes) FROM code_entities) WHERE name IS NOT NULL)
+SELECT a.project, a.file_path, a.name, coalesce(min(m.target), min(n.qn)) AS target FROM asked a LEFT JOIN mapped m ON m.project = a.project AND m.file_path = a.file_path AND m.local = a.name
+LEFT JOIN mapped s ON s.project = a.project AND s.file_path = a.file_path AND starts_with(s.local, '*') LEFT JOIN nodes n ON n.project = a.project AND n.qn = s.target || '.' || a.name GROUP BY 1, 2, 3""",
+    "param_type_match": GRAPH
+    + _IMPORTS
+    + """, n AS (SELECT DISTINCT entity_id, project_name AS project, file_path, qualified_name AS qn, name, type, signature FROM code_entities), flat AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(signature, '(?s)\\((.*)\\)', 1), '%s', '', 'g'), '%s', '', 'g'), '%s', '', 'g') AS inside FROM n WHERE type IN ('function', 'method') AND signature IS NOT NULL
 ), p AS (SELECT DISTINCT project, qn AS function, file_path, unnest(regexp_extract_all(inside, '(?:^|,)\\s*\\*{0,2}(?:\\.\\.\\.)?([A-Za-z_]\\w*)', 1)) AS parameter FROM flat),
-m AS (SELECT project_name AS project, file_path, coalesce(nullif(alias, ''), name) AS local, struct_extract(max(ROW(line_number, CASE WHEN coalesce(source, '') = '' THEN name ELSE source || '.' || name END)), 2) AS target FROM imports GROUP BY 1, 2, 3),
-c AS (SELECT project, file_path, name FROM n WHERE type = 'class' AND name <> '' AND qn = %s || '.' || name UNION SELECT m.project, m.file_path, m.local FROM m JOIN n ON n.project = m.project AND n.qn = m.target AND n.type = 'class'),
+c AS (SELECT project, file_path, name FROM n WHERE type = 'class' AND name <> '' AND qn = %s || '.' || name UNION SELECT m.project, m.file_path, m.local FROM mapped m JOIN n ON n.project = m.project AND n.qn = m.target AND n.type = 'class'),
 s AS (SELECT p.project, p.function, p.parameter, c.name AS class, CASE WHEN lower(parameter) = lower(name) THEN 100 WHEN ends_with(lower(name), lower(parameter)) OR ends_with(lower(parameter), lower(name)) THEN 90
   WHEN contains(lower(parameter), lower(name)) THEN floor(80 * (length(name)::DOUBLE / length(parameter)))::INT ELSE 0 END AS score FROM p JOIN c ON c.project = p.project AND c.file_path = p.file_path)
 SELECT p.project, p.function, p.parameter, struct_extract(b, 2) AS class, coalesce(-struct_extract(b, 1), 0)::INT AS score FROM (SELECT DISTINCT project, function, parameter FROM p) p
@@ -247,22 +310,7 @@ LEFT JOIN (SELECT project, function, parameter, min(ROW(-score, class)) AS b FRO
     "registry_simple_name": GRAPH + "SELECT project, string_split(qn, '.')[-1] AS simple_name, count(*) AS n, min(qn) AS first FROM nodes GROUP BY 1, 2",
     "registry_prefix": GRAPH + "SELECT project, array_to_string(parts[1:n], '.') AS prefix, count(*) AS n FROM (SELECT project, string_split(qn, '.') AS parts, unnest(range(1, len(string_split(qn, '.')) + 1)) AS n FROM nodes) GROUP BY 1, 2",
     "registry_suffix": GRAPH + "SELECT project, array_to_string(string_split(qn, '.')[-2:], '.') AS suffix, count(*) AS n FROM nodes GROUP BY 1, 2",
-    "resolve_calls": GRAPH
-    + f""", c AS (
-  SELECT *, string_split(call, '.')[1] AS head, string_split(call, '.')[-1] AS tail, {_MODULE.replace('project_name', 'project').replace('path,', 'file_path,')} AS module FROM (
-    SELECT DISTINCT project_name AS project, qualified_name AS caller, file_path, unnest(calls) AS call FROM code_entities) WHERE call <> ''
-), m AS (
-  SELECT project_name AS project, file_path, coalesce(nullif(alias, ''), name) AS local,
-    max(ROW(line_number, CASE WHEN coalesce(source, '') = '' THEN name ELSE source || '.' || name END)) AS t FROM imports GROUP BY 1, 2, 3
-), near AS (
-  SELECT project, caller, call, min(ROW(len(l) + len(r) - 2 * {_COMMON} - CASE WHEN starts_with(qn, module || '.') THEN 2 ELSE 0 END, qn)) AS t FROM (
-    SELECT c.*, n.qn, string_split(c.module, '.') AS l, string_split(n.qn, '.') AS r FROM c JOIN nodes n ON n.project = c.project AND n.name = c.tail) GROUP BY 1, 2, 3
-)
-SELECT c.project, c.caller, c.call,
-  CASE WHEN q.qn IS NOT NULL THEN 'qualified' WHEN m.t IS NOT NULL THEN 'import' WHEN h.qn IS NOT NULL THEN 'module' WHEN c.call IN ({_B}) THEN 'builtin' WHEN near.t IS NOT NULL THEN 'simple' ELSE 'none' END AS strategy,
-  CASE WHEN q.qn IS NOT NULL THEN q.qn WHEN m.t IS NOT NULL THEN struct_extract(m.t, 2) WHEN h.qn IS NOT NULL THEN h.qn WHEN c.call IN ({_B}) THEN 'builtins.' || c.call ELSE struct_extract(near.t, 2) END AS target
-FROM c LEFT JOIN nodes q ON q.project = c.project AND q.qn = c.call LEFT JOIN m ON m.project = c.project AND m.file_path = c.file_path AND m.local = c.head
-LEFT JOIN nodes h ON h.project = c.project AND h.qn = c.module || '.' || c.head LEFT JOIN near ON near.project = c.project AND near.caller = c.caller AND near.call = c.call""",
+    "resolve_calls": _UP + _IMPORTS + _CALLS,
     "module_distance": GRAPH
     + f"SELECT project, src, dst, (len(l) + len(r) - 2 * {_COMMON} - CASE WHEN starts_with(dst, src || '.') THEN 2 ELSE 0 END)::INT AS distance FROM (SELECT *, string_split(src, '.') AS l, string_split(dst, '.') AS r FROM calls)",
     "mro_bfs": _UP

@@ -109,11 +109,87 @@ def test_trails_use_an_edge_once(spark):
         graph.trails(edges, 0)
 
 
+IMPORT = "project_name string, file_path string, name string, alias string, source string, line_number int"
+
+
 def test_resolution_order(spark):
-    rows = [entity(1, "helper", calls=["helper", "print", "imp", "p.m.Base", "nothing_here"]), entity(2, "Base", "class"), entity(3, "imp", module="other")]
-    imports = spark.createDataFrame([("p", "/srv/repos/p/m.py", "imp", None, "pkg.mod", 1)], "project_name string, file_path string, name string, alias string, source string, line_number int")
+    rows = [entity(1, "helper", calls=["helper", "print", "imp", "p.m.Base", "nothing_here", "JSON.parse"]), entity(2, "Base", "class"), entity(3, "imp", module="other")]
+    imports = spark.createDataFrame([("p", "/srv/repos/p/m.py", "imp", None, "p.other", 1), ("p", "/srv/repos/p/m.py", "gone", "print", "q", 1)], IMPORT)
     got = {r.call: (r.strategy, r.target) for r in resolve.resolve_calls(spark.createDataFrame(rows, ENTITY), imports).collect()}
-    assert got == {"helper": ("module", "p.m.helper"), "print": ("builtin", "builtins.print"), "imp": ("import", "pkg.mod.imp"), "p.m.Base": ("qualified", "p.m.Base"), "nothing_here": ("none", None)}
+    assert got == {"helper": ("module", "p.m.helper"), "print": ("builtin", "builtins.print"), "imp": ("import", "p.other.imp"), "p.m.Base": ("qualified", "p.m.Base"), "nothing_here": ("none", None), "JSON.parse": ("none", None)}
+
+
+def test_golden_cases_of_call_resolution(spark):
+    method = lambda i, name, module, calls=None: entity(i, name, "method", calls=calls, module=module)
+    view_calls = [
+        "helper", "print", "user.get_name", "user.delete", "user.save", "UserService.get_user", "process_data", "nonexistent_function", "super()", "User().save", "User().delete", "Unknown().x", "Star", "unit.go",
+    ]
+    rows = [
+        entity(1, "User", "class", module="models", bases=["p.base.BaseModel"]), entity(2, "Post", "class", module="models", bases=["p.base.BaseModel"]), entity(3, "BaseModel", "class", module="base"),
+        entity(4, "UserService", "class", module="services"), entity(5, "helper", module="utils"), entity(6, "process_data", module="utils"),
+        method(7, "User.__init__", "models", ["super()", "super().save", "super().missing"]), method(8, "User.get_name", "models"), method(9, "User.save", "models"), method(10, "Post.__init__", "models"),
+        method(11, "BaseModel.__init__", "base"), method(12, "BaseModel.save", "base"), method(13, "BaseModel.delete", "base"), method(14, "UserService.get_user", "services"),
+        entity(15, "view", module="views", calls=view_calls), entity(16, "Star", "class", module="stars"), entity(17, "helper", module="far"),
+    ]
+    file = "/srv/repos/p/views.py"
+    imports = [("p", file, "User", None, "p.models", 1), ("p", file, "helper", None, ".utils", 2), ("p", file, "UserService", None, "p.services", 3), ("p", file, "*", None, "p.stars", 4)]
+    types = spark.createDataFrame([("p", "p.views.view", "user", "User")], "project string, caller string, variable string, type string")
+    df = spark.createDataFrame(rows, ENTITY)
+    every = {(r.caller, r.call): (r.strategy, r.target) for r in resolve.resolve_calls(df, spark.createDataFrame(imports, IMPORT), types).collect()}
+    got = {call: every["p.views.view", call] for call in view_calls}
+    assert got == {
+        "helper": ("import", "p.utils.helper"), "print": ("builtin", "builtins.print"), "user.get_name": ("import", "p.models.User.get_name"), "user.delete": ("import", "p.base.BaseModel.delete"), "user.save": ("import", "p.models.User.save"),
+        "UserService.get_user": ("import", "p.services.UserService.get_user"), "process_data": ("simple", "p.utils.process_data"), "nonexistent_function": ("none", None), "super()": ("none", None), "User().save": ("chain", "p.models.User.save"),
+        "User().delete": ("chain", "p.base.BaseModel.delete"), "Unknown().x": ("none", None), "Star": ("import", "p.stars.Star"), "unit.go": ("none", None),
+    }
+    inside = {call: target for (caller, call), (_, target) in every.items() if caller == "p.models.User.__init__"}
+    assert inside == {"super()": "p.base.BaseModel.__init__", "super().save": "p.base.BaseModel.save", "super().missing": None}
+
+
+def test_script_builtins_and_calls_in_place(spark):
+    calls = ["console.log", "JSON.parse", "Array", "go.bind", "Math.pow", "iife_func_3_4", "print"]
+    rows = [(*entity(1, "run", calls=calls)[:2], "/srv/repos/p/m.ts", *entity(1, "run", calls=calls)[3:]), entity(2, "iife_func_3_4")]
+    got = {r.call: (r.strategy, r.target) for r in resolve.resolve_calls(spark.createDataFrame(rows, ENTITY), spark.createDataFrame([], IMPORT)).collect()}
+    assert got == {
+        "console.log": ("builtin", "builtin.console.log"), "JSON.parse": ("builtin", "builtin.JSON.parse"), "Array": ("builtin", "builtin.Array"), "go.bind": ("builtin", "builtin.Function.prototype.bind"),
+        "Math.pow": ("builtin", "builtin.Math.pow"), "iife_func_3_4": ("iife", "p.m.iife_func_3_4"), "print": ("none", None),
+    }
+
+
+def test_import_maps(spark):
+    py, js = "/srv/repos/p/views/index.py", "/srv/repos/p/views/index.ts"
+    rows = [
+        ("p", py, "os.path", None, None, 1), ("p", py, "numpy.linalg", "la", "", 2), ("p", py, "x", None, "..pkg", 3), ("p", py, "*", None, "p.models", 4), ("p", py, "y", "z", ".", 5),
+        ("p", js, "a", None, "./utils", 1), ("p", js, "b", "c", "../models", 2), ("p", js, "debounce", None, "lodash/debounce", 3), ("p", js, "*", "all", "react", 4), ("p", js, "a", None, "./late", 9), ("p", js, None, None, "side", 5),
+    ]
+    imports = spark.createDataFrame(rows, IMPORT)
+    got = {(r.file_path[-2:], r.local): r.target for r in resolve.import_map(imports).collect()}
+    assert got == {
+        ("py", "os"): "os.path", ("py", "la"): "numpy.linalg", ("py", "x"): "p.pkg.x", ("py", "*p.models"): "p.models", ("py", "z"): "p.views.y",
+        ("ts", "a"): "p.views.late.a", ("ts", "c"): "p.models.b", ("ts", "debounce"): "lodash.debounce.debounce", ("ts", "all"): "react",
+    }
+    names = spark.createDataFrame([("p", py, "User"), ("p", py, "Nobody"), ("p", py, "la")], "project string, file_path string, name string")
+    known = spark.createDataFrame([entity(1, "User", "class", module="models")], ENTITY)
+    assert {r.name: r.target for r in resolve.resolve_name(names, imports, known).collect()} == {"User": "p.models.User", "Nobody": None, "la": "numpy.linalg"}
+
+
+def test_nearest_name_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    name = lambda: "p." + ".".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))
+    known = sorted({f"{name()}.{rng.choice(['run', 'get'])}" for _ in range(60)} | {"p.a.run", "p.a.run.run"})
+    modules = sorted({name() for _ in range(30)} | {"p.a.run"})
+
+    def far(a, b):
+        a, b = a.split("."), b.split(".")
+        common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return len(a) + len(b) - 2 * common - (2 if len(b) > len(a) == common else 0)
+
+    left = spark.createDataFrame([("p", m, t) for m in modules for t in ("run", "get", "none")], "project string, module string, tail string")
+    right = spark.createDataFrame([("p", q.rpartition(".")[2], q) for q in known], "project string, tail string, qn string")
+    got = {(r.module, r.tail): (r.far, r.target) for r in resolve.nearest_named(left, right).collect()}
+    assert got == {(m, t): min((far(m, q), q) for q in known if q.endswith("." + t)) for m in modules for t in ("run", "get")}
 
 
 def test_diamond_order(spark):
