@@ -1,16 +1,14 @@
 """Source files that don't parse.
 
-Every text is lexed into token classes, from which rows are made: its adjacent pairs, anti-joined
-with the pairs that the grammar permits; its brackets, whose nesting is validated by windows; its
-statements with inner blocks reduced, matched with the productions. Python candidates are then
-checked exactly by the interpreter's own parser.
+Every text is lexed into token classes. Its adjacent pairs are rows, anti-joined with the pairs that
+the grammar permits; its brackets are rows with the tokens that follow each, whose nesting is
+validated by windows, and from which windows reduce every inner pair of brackets to one token, so
+that the statements of each block can be judged by the productions.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,17 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import cut
+from lodestrata.session import cut, ship
 
 PYTHON, JS, JSX, TS, TSX = "python", "javascript", "jsx", "typescript", "tsx"
 #: Languages of extensions, where a row has none.
 EXTENSIONS = {"py": PYTHON, "pyi": PYTHON, "js": JS, "mjs": JS, "cjs": JS, "jsx": JSX, "ts": TS, "mts": TS, "cts": TS, "tsx": TSX}
 
 # strings of token classes are one character a token:
-# I name, N number, S string, T template, R pattern, J L Q element opened, closed, empty; C const, V let and var, F function, K class, E extends,
+# I name, N number, S string, T template (its ends, with what it is made of in parentheses between), R pattern, J L Q element opened, closed, empty, A attributes in parentheses before J or Q; C const, V let and var, F function, K class, E extends,
 # r return, t prefix word, o infix word, h while, i other header, g catch, l finally, q try, e else, z do, b break, M import, X export, D default, k case,
-# a modifier, y type declaration, f from; w arrow, p ++ and --, u sign, B other operator, d spread; n end of line; § anything else; brackets and marks as they are
-_BRACES = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
+# a modifier, y type declaration, f from; w arrow, p ++ and --, u sign, B other operator, d spread, m assignment with an operator; n end of line, « and » more and less indented lines; § anything else; brackets and marks as they are
 _STRING = r"\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+'"
 _BEFORE = r"(?:(?<=[=(,:;!&|?+{}\[>])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase))\s*+"
 
@@ -40,7 +37,7 @@ JS_WORDS = {
 JS_MODIFIERS, TS_MODIFIERS = "async static get set", "async static get set readonly private public protected declare abstract override accessor"
 #: Reserved words of Python by class.
 PY_WORDS = {
-    "D": "def", "K": "class", "i": "if elif while for with", "e": "else finally", "q": "try", "g": "except", "L": "lambda", "r": "return yield raise", "t": "del assert global nonlocal await",
+    "D": "def", "K": "class", "i": "if elif while for with", "e": "else finally", "q": "try", "g": "except", "l": "lambda", "r": "return yield raise", "t": "del assert global nonlocal await",
     "!": "not", "o": "and or in is as", "M": "import", "f": "from", "b": "pass break continue", "a": "async",
 }
 _CONFLICT = r"^(?:<{7}|>{7}|\|{7}|={7})(?:[ \t][^\n]*)?$"
@@ -50,26 +47,37 @@ def _alternatives(words: str) -> str:
     return "|".join(words.split())
 
 
+# a template or an element is lexed up to what is made of expressions; those are lexed like all others
+_TEMPLATE = r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+"
+_ATTRIBUTES = rf"(?:\s++[\w:-]++(?:=(?:{_STRING}))?+(?![\w:=-]))*+"
+_NAME_OF_TAG = r"<(?:[A-Za-z][\w.:-]*+)?"
+_AFTER_OPEN, _AFTER_CLOSE = r"(?:[^<>{}]*+(?=[<{]))?", r"(?:[^<>{}()=;]*+(?=[<{]))?"
+_TAGS = rf"(?:{_NAME_OF_TAG}{_ATTRIBUTES}\s*+(?:/>{_AFTER_CLOSE}|(?<!=)>{_AFTER_OPEN})|</[\w.:-]*+\s*+>{_AFTER_CLOSE})"
+_TAG_HEAD = rf"{_NAME_OF_TAG}{_ATTRIBUTES}\s++(?:[\w:-]++=)?\{{"
+_TEMPLATE_REST = re.compile(rf"{_TEMPLATE}(`|\$\{{)")
+_TAG_REST = re.compile(rf"{_ATTRIBUTES}\s*+(?:((?:[\w:-]++=)?\{{)|(?:(/)>{_AFTER_CLOSE}|>{_AFTER_OPEN})({_TAGS}*+)({_TAG_HEAD})?+)")
+_ELEMENT = re.compile(rf"</[^>]*+>|{_NAME_OF_TAG}{_ATTRIBUTES}\s*+/?>")
+
+
+def _elements(text: str) -> str:
+    return "".join("L" if m[0][1] == "/" else "Q" if m[0][-2] == "/" else "J" for m in _ELEMENT.finditer(text))
+
+
 def _script_pattern(language: str) -> re.Pattern[str]:
     typed, elements = language in (TS, TSX), language in (JSX, TSX)
     reserved = _alternatives(" ".join(JS_WORDS.values()))
     name = r"#?[^\W\d][\w$]*+|#?\$[\w$]*+"
     chain = rf"(?:\s*+\??\.\s*+(?:{name}))*+"
-    tag = rf"<(?:[A-Za-z][\w.:-]*+)?(?:\s++(?:[\w:-]++(?:=(?:{_STRING}|{_BRACES}))?+|\{{\.\.\.[^{{}}]*+\}}))*+\s*+"
     parts = [
         _CONFLICT,
         r"\A#![^\n]*+",
         r"//[^\n]*+|/\*[\s\S]*?\*/",
         _STRING,
-        rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\${_BRACES})*+`",
+        rf"`{_TEMPLATE}(?:`|\$\{{)",
         rf"{_BEFORE}/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/\w*+{chain}",
     ]
     if elements:
-        closing = r"</[\w.:-]*+\s*+>"
-        after_open, after_close = r"(?:[^<>{}]*+(?=[<{]))?", r"(?:[^<>{}()=;]*+(?=[<{]))?"
-        parts += [
-            rf"(?:(?<=\}})[^<>{{}}()=;]*+(?=<[/A-Za-z>])|{_BEFORE}|^\s*+|(?=</))(?:{tag}(?:/>{after_close}|(?<!=)>{after_open})|{closing}{after_close})++",
-        ]
+        parts += [rf"(?:(?<=\}})[^<>{{}}()=;]*+(?=<[/A-Za-z>])|{_BEFORE}|^\s*+|(?=</))(?:{_TAGS}++(?:{_TAG_HEAD})?+|{_TAG_HEAD})"]
     parts += [
         rf"(?<=[{{,])\s*+(?:{reserved})(?=\s*+:)",
         r"void\s+0\b",
@@ -99,6 +107,7 @@ PYTHON_PATTERN = re.compile(
             _CONFLICT,
             rf"{_PY_BREAK}[ \t]*+(?:match|case)(?=[ \t]+[^=\s:.,)\]]|[ \t]*[(\[{{])(?=[^\n]*:[ \t]*(?:#[^\n]*)?\n)",
             rf"{_PY_BREAK}[ \t]*+case(?=[ \t]*\n?\Z)",
+            rf"{_PY_BREAK}[ \t]*+type(?=[ \t]+\w+[ \t]*(?:\[[^\n]*\])?[ \t]*=[^=])",
             rf"{_PY_BREAK}[ \t]*+",
             r"#[^\n]*+|\\\n",
             _PY_STRING,
@@ -111,9 +120,6 @@ PYTHON_PATTERN = re.compile(
 )
 
 
-_ELEMENT = re.compile(rf"</[^>]*+>|<(?:[A-Za-z][\w.:-]*+)?(?:\s++(?:[\w:-]++(?:=(?:{_STRING}|{_BRACES}))?+|\{{\.\.\.[^{{}}]*+\}}))*+\s*+/?>")
-
-
 class Classes(dict):
     """Token classes of one language by the token's text; short texts are remembered."""
 
@@ -138,22 +144,22 @@ class Classes(dict):
         if "\n" in bare and bare[0] in "\n#":
             tail = token[token.rindex("\n") + 1 :].replace("\t", "        ")
             indent = len(tail) - len(tail.lstrip(" "))
-            return "\n" + " " * indent + ("i" if tail.strip() else "")
+            return "\n" + " " * indent + {"": "", "type": "t"}.get(tail.strip(), "i")
         if token[0] == "#" or token == "\\\n":
             return ""
         if len(token) > 1 and token[-1] in "\"'":
             return "S"
         first = token[0]
         if first == "." and len(token) > 1 and token != "...":
-            return "" if token[1] not in "0123456789" else "N"
+            return ".I" if token[1] not in "0123456789" else "N"
         if first.isalpha() or first == "_":
             return self.words.get(token, "I")
         if first.isdigit():
             return "N" if re.fullmatch(PYTHON_PATTERN, token) else "§"
         if re.match(_CONFLICT, token):
             return "§"
-        if token in ("=", ":=") or token.endswith("=") and token not in ("==", "!=", "<=", ">="):
-            return "="
+        if token.endswith("=") and token not in ("==", "!=", "<=", ">="):
+            return "=" if token == "=" else "B" if token == ":=" else "m"
         return {"...": "I", "->": "B", "-": "u", "+": "u", "~": "u", "*": "*", "@": "@", "**": "B"}.get(token, token if token in "()[]{},:;." else "B" if token in ("==", "!=", "<=", ">=", "//", ">>", "<<", "/", "%", "&", "|", "^", "<", ">") else "§")
 
     def script_class(self, token: str) -> str:
@@ -169,13 +175,15 @@ class Classes(dict):
             if first in "\"'" and bare[-1] == first:
                 return "S"
             if first == "`":
-                return "T"
+                return "T(" if bare[-1] == "{" else "T"
             if first == "/" and bare != "/=":
                 return "R"
             if ">" in bare and (first == "<" or self.language in (JSX, TSX) and "</" in bare and first not in "\"'`/"):
-                return "".join("L" if m[0][1] == "/" else "Q" if m[0][-2] == "/" else "J" for m in _ELEMENT.finditer(bare))
+                return _elements(bare)
+            if bare[-1] == "{" and self.language in (JSX, TSX):
+                return _elements(bare) + "A("
         if first.isdigit() or first == "." and len(bare) > 1 and bare[1].isdigit():
-            return "N"
+            return "§" if re.match(r"0\d", bare) else "N"
         if first.isalpha() or first in "_$#" and len(bare) > 1 or first == "$":
             if token != bare and token[-1] in " \t\n\r":
                 if bare in ("of", "as", "satisfies", "is"):
@@ -205,23 +213,6 @@ def _lexer(language: str) -> tuple[re.Pattern[str], Classes]:
 
 _DROPS = re.compile(r"(?<=[^INSTR)\]LQ}prb!>])\n+|\n+(?=[=wB?:,;)\]}o.gle]|\Z)|\A\n+")
 _ARGUMENTS = re.compile(r"(?<=I)<[^<>;{}]*+>(?=[(){}\[\],;=B&>:?\n.]|\Z)")
-_PY_JOINS = re.compile(r"(?<=[(\[{,=Buot!L.*])\n *+|\n *+(?=[)\]},=Bo.])")
-
-
-def token_classes(content: str, language: str) -> str:
-    """The token classes of a text. In scripts a line break is kept, as n, only where it may end a statement."""
-    pattern, classes = _lexer(language)
-    if language == PYTHON:
-        return _PY_JOINS.sub("", "".join([classes[t] for t in pattern.findall("\n" + content.removeprefix("﻿") + "\n")]))
-    text = "".join([classes[t] for t in pattern.findall(content.removeprefix("﻿"))])
-    if language in (TS, TSX):
-        for _ in range(3):
-            text = _ARGUMENTS.sub("", text)
-    return re.sub("\n+", "n", _DROPS.sub("", text))
-
-
-_ROUND, _SQUARE, _BLOCK = re.compile(r"\([^()]*+\)"), re.compile(r"\[[^\[\]]*+\]"), re.compile(r"\{([^{}]*+)\}")
-_ANY = re.compile(r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}")
 
 
 def _until(pattern: re.Pattern[str], instead: str, text: str) -> str:
@@ -232,76 +223,106 @@ def _until(pattern: re.Pattern[str], instead: str, text: str) -> str:
         text = shorter
 
 
-def script_statements(classes: str) -> set[str]:
-    """Distinct statements, their parentheses reduced to P, brackets to Y and blocks to G, innermost first."""
-    found: set[str] = {"{:"} if re.match(r"n?\{[SN]:", classes) else set()
-    # what a parenthesis opens with tells annotations
-    found.update("(" + m for m in re.findall(r"\((I\??:)", classes))
-    text = classes
-    while True:
-        before = text
-        text = _SQUARE.sub("Y", _ROUND.sub("P", text))
-        for block in _BLOCK.findall(text):
-            found.update(re.split("[;n]", block))
-        text = _BLOCK.sub("G", text)
-        if text == before:
-            break
-    found.update(re.split("[;n{}()]", text))
-    return found
+def script_tokens(content: str, language: str) -> list[str]:
+    """The token classes of a script one after the other.
 
+    What stands in braces in a template or an attribute is lexed like other code, to any depth: the
+    brace that closes it is known by the number of those opened within.
+    """
+    pattern, classes = _lexer(language)
+    if "${" not in content and (language not in (JSX, TSX) or "={" not in content and "{..." not in content):
+        return [classes[token] for token in pattern.findall(content)]
+    found: list[str] = []
+    within: list[list] = []
+    at = 0
+    while at >= 0:
+        begin, at = at, -1
+        for m in pattern.finditer(content, begin):
+            token = m[0]
+            if token == "}" and within and not within[-1][0]:
+                rest = within[-1][1].match(content, m.end())
+                if rest is None:
+                    found.append("§")
+                    continue
+                if within[-1][1] is _TEMPLATE_REST:
+                    found.append(")T" if rest[1] == "`" else ")(")
+                    again = rest[1] != "`"
+                else:
+                    found.append(")(" if rest[1] else ")" + ("Q" if rest[2] else "J") + _elements(rest[3]) + ("A(" if rest[4] else ""))
+                    again = bool(rest[1] or rest[4])
+                if not again:
+                    within.pop()
+                at = rest.end()
+                break
+            found.append(classes[token])
+            if token[-1] == "{":
+                if len(token) > 1:
+                    within.append([0, _TEMPLATE_REST if token[-2] == "$" else _TAG_REST])
+                elif within:
+                    within[-1][0] += 1
+            elif token == "}" and within:
+                within[-1][0] -= 1
+    return found
 
-def python_statements(classes: str) -> set[str]:
-    """Distinct logical lines with brackets reduced, each with how the next line lies to it.
 
-    > deeper, = level, < less deep, ! at no level that is open; after a try also the word at its level.
-    """
-    lines = [(len(x) - len(x.lstrip(" ")), x.strip(" ")) for x in _until(_ANY, "I", classes).split("\n")]
-    lines = [x for x in lines if x[1]]
-    found: set[str] = set()
-    levels = [0]
-    opened: dict[int, str] = {}
-    for at, (depth, text) in enumerate(lines):
-        following = lines[at + 1][0] if at + 1 < len(lines) else -1
-        relation = "<"
-        while levels and levels[-1] > depth:
-            levels.pop()
-        if not levels or levels[-1] != depth:
-            levels.append(depth)
-        if following > depth:
-            relation = ">"
-        elif following == depth:
-            relation = "="
-        elif following >= 0 and following not in levels:
-            relation = "!"
-        for level in [x for x in opened if x >= depth]:
-            if opened.pop(level) == "q" and not (level == depth and text[0] in "ge"):
-                found.add("q?")
-        if text[0] == "q":
-            opened[depth] = "q"
-        found.add(text + relation)
-    if "q" in opened.values():
-        found.add("q?")
+def python_tokens(content: str) -> list[str]:
+    """The token classes of a Python text; a line that is indented more or less than the one before begins with « or »."""
+    pattern, classes = _lexer(PYTHON)
+    found: list[str] = []
+    levels, depth = [0], 0
+    for token in pattern.findall("\n" + content + "\n"):
+        code = classes[token]
+        if code[:1] != "\n":
+            if code in ("(", "[", "{"):
+                depth += 1
+            elif code in (")", "]", "}") and depth:
+                depth -= 1
+            found.append(code)
+            continue
+        # a word that is reserved only where a statement begins
+        soft = code[-1].strip()
+        if depth:
+            found.append("I" if soft else "")
+            continue
+        indent = len(code) - 1 - len(soft)
+        if not found:
+            found.append("§" if indent else "")
+        elif indent > levels[-1]:
+            levels.append(indent)
+            found.append("«")
+        else:
+            found.append("n")
+            while levels[-1] > indent:
+                levels.pop()
+                found.append("»")
+            if levels[-1] != indent:
+                found.append("§")
+        found.append(soft)
+    found.extend("»" * (len(levels) - 1))
     return found
 
 
+def token_classes(content: str, language: str) -> str:
+    """The token classes of a text. In scripts a line break is kept, as n, only where it may end a statement."""
+    content = content.removeprefix("\ufeff")
+    if language == PYTHON:
+        return "".join(python_tokens(content))
+    text = "".join(script_tokens(content, language))
+    if language in (TS, TSX):
+        text = _until(_ARGUMENTS, "", text)
+    return re.sub("\n+", "n", _DROPS.sub("", text))
+
+
 def lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(file_id, language, pairs, brackets, statements) of rows (file_id, language, content)."""
+    """(file_id, language, pairs, classes) of rows (file_id, language, content)."""
     for batch in batches:
-        pairs, brackets, statements = [], [], []
-        for content, language in zip(batch["content"], batch["language"]):
-            classes = token_classes(content.replace("\r\n", "\n").replace("\r", "\n"), language)
-            flat = "^" + (re.sub(r"\n *", "n", classes) if language == PYTHON else classes) + "$"
-            pairs.append([a + b for a, b in set(zip(flat, flat[1:]))])
-            left = re.sub(r"[^()\[\]{}]+" if language == PYTHON else r"[^()\[\]{}JL]+", "", classes)
-            brackets.append(_until(_CLOSED, "", left))
-            statements.append(list(python_statements(classes) if language == PYTHON else script_statements(classes)))
-        yield pd.DataFrame({"file_id": batch["file_id"], "language": batch["language"], "pairs": pairs, "brackets": brackets, "statements": statements})
-
+        every = [token_classes(content.replace("\r\n", "\n").replace("\r", "\n"), language) for content, language in zip(batch["content"], batch["language"])]
+        pairs = [[a + b for a, b in set(zip("^" + classes, classes + "$"))] for classes in every]
+        yield pd.DataFrame({"file_id": batch["file_id"], "language": batch["language"], "pairs": pairs, "classes": every})
 
-_CLOSED = re.compile(r"\(\)|\[\]|\{\}|JL")
 
 ENDS = "INSTR)]LQ"
-STARTS = "INSTR([{FKtu!paMJQ<"
+STARTS = "INSTR([{FKtu!paMJQA<"
 STATEMENTS = STARTS + "XCVihqezbrkDy@;"
 GOES_ON = "=wBup<>?:,;)]}o.([Tn$fEeglh"
 
@@ -321,10 +342,10 @@ def script_pairs(language: str) -> set[str]:
         {
             "^n;": STATEMENTS + "}$n);.",
             "{": STATEMENTS + "}dBa#,",
-            "}": STATEMENTS + GOES_ON + "JLQ",
+            "}": STATEMENTS + GOES_ON + "JLQA",
             ENDS: GOES_ON,
             "IS": "{",
-            ")": STATEMENTS,
+            ")": STATEMENTS + "JQ",
             "b": "I;n}$e",
             "(": STARTS + ")d,CV;ak@",
             "[": STARTS + "],da",
@@ -355,8 +376,9 @@ def script_pairs(language: str) -> set[str]:
             "@": "I(",
             "#": "I",
             "o": "C",
-            "JLQ": "JLQ{",
+            "JLQ": "JLQA{",
             "LQ": GOES_ON,
+            "A": "(",
         }
     )
     if typed:
@@ -365,30 +387,34 @@ def script_pairs(language: str) -> set[str]:
 
 
 def python_pairs() -> set[str]:
-    """The same for Python; n is the end of a logical line."""
-    starts = "INS([{Lu!trBa*"
-    goes_on = "=Bu:,;)]}o.([n$ie!S*"
+    """The same for Python; n is the end of a logical line, « and » begin one that is indented more or less."""
+    starts = "INS([{lu!trBa*"
+    statements = starts + "DKieqgrtMfb@$a"
+    goes_on = "=mBu:,;)]}o.([n$ie!*"
     return _pairs(
         {
-            "^n": starts + "DKieqgrtMfb@$n;a",
-            ":": starts + "DKieqgrtMfb]n)}=,;B",
-            "INS)]}": goes_on + "aM",
+            "^n»": statements + ";»",
+            "«": statements + ";",
+            ":": starts + "DKieqgrtMfb])}=,;B«",
+            "INS)]}": goes_on + "a",
+            "S": "S",
+            "IN": "M",
             "([{": starts + ")]}:,B*",
             ",": starts + ")]}nf:*B=",
-            "=Bu!oit": starts + "(",
+            "=mBu!oit": starts + "(",
             "*": starts + ",)",
             "B": ",):",
             ";": starts + "rtMfbn$",
             "i": starts,
             "eq": ":" + starts,
             "g": ":B" + starts,
-            "L": ":I*B,",
+            "l": ":I*B,",
             "r": starts + "nf;)",
             "t": starts,
             "b": "n;$",
             "D": "I",
             "K": "I",
-            "M": "I(B",
+            "M": "I(B*",
             "f": "I.M" + starts,
             "a": "Di",
             "@": "I(",
@@ -407,10 +433,11 @@ def permitted(spark: SparkSession) -> DataFrame:
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    """(file_id, language, pairs, brackets, statements) of the files with content; a redelivered file may repeat."""
+    """(file_id, language, pairs, classes) of the files with content; a redelivered file may repeat."""
     rows = files.where("file_id is not null and content is not null and content != ''").select("file_id", language_of().alias("language"), "content")
     rows = rows.where(F.col("language").isin(PYTHON, JS, JSX, TS, TSX))
-    return rows.mapInPandas(lex, "file_id long, language string, pairs array<string>, brackets string, statements array<string>")
+    ship(files.sparkSession)
+    return rows.mapInPandas(lex, "file_id long, language string, pairs array<string>, classes string")
 
 
 def language_of() -> Column:
@@ -425,61 +452,89 @@ def bad_pairs(tokens: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(permitted(tokens.sparkSession)), ["language", "pair"], "left_anti").select("file_id", "language")
 
 
-def bad_nesting(tokens: DataFrame) -> DataFrame:
-    """(file_id, language) whose brackets, and elements, don't close in the order in which they opened.
+OPENS, CLOSES = "([{J«", ")]}L»"
+_EACH = rf"[{re.escape(OPENS + CLOSES)}]?[^{re.escape(OPENS + CLOSES)}]*"
+#: What a pair of brackets is to the statement around it.
+SCRIPT_REDUCED = {")": "P", "]": "Y", "}": "G", "L": "Q"}
+PYTHON_REDUCED = {")": "P", "]": "Y", "}": "Y", "»": "G"}
 
-    Pairs that close at once were taken away; what is left are rows. A running sum gives each its
-    depth; within a depth, opening and closing ones must take turns and match in kind.
+
+def bracket_rows(tokens: DataFrame) -> DataFrame:
+    """(file_id, language, place, bracket, text, wrong, opener, kind) of each bracket with the tokens up to the next one.
+
+    A running sum gives each bracket its depth. Within a depth, opening and closing ones must take
+    turns and match in kind, else they are `wrong`. `opener` is the place of the bracket that the
+    tokens lie in, `kind` what that is: the last that was opened at their depth; null and empty
+    outside of all.
     """
-    left = tokens.where("brackets != ''").select("file_id", "language", "brackets").distinct()
-    rows = left.select("file_id", "language", F.posexplode(F.split("brackets", "")).alias("place", "bracket")).where("bracket != ''")
-    step = F.when(F.col("bracket").isin("(", "[", "{", "J"), 1).otherwise(-1)
+    # a redelivered file has one row again; its rows lie together from here on
+    once = tokens.groupBy("file_id").agg(F.min("language").alias("language"), F.min("classes").alias("classes"))
+    pieces = F.filter(F.regexp_extract_all("classes", F.lit(_EACH), F.lit(0)), lambda piece: piece != "")
+    rows = once.select("file_id", "language", F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("place", "piece"))
+    first = F.substring("piece", 1, 1)
+    step = F.when(F.instr(F.lit(OPENS), first) > 0, 1).when(F.instr(F.lit(CLOSES), first) > 0, -1).otherwise(0)
+    rows = rows.withColumn("step", F.when(F.col("piece") == "", 0).otherwise(step))
+    rows = rows.select("file_id", "language", "place", "step", F.when(F.col("step") != 0, first).otherwise("").alias("bracket"), F.when(F.col("step") != 0, F.expr("substring(piece, 2)")).otherwise(F.col("piece")).alias("text"))
     along = Window.partitionBy("file_id").orderBy("place")
-    depth = rows.withColumn("step", step).withColumn("level", F.sum("step").over(along) + F.when(F.col("step") < 0, 1).otherwise(0))
+    rows = rows.withColumn("depth", F.sum("step").over(along))
+    rows = rows.withColumn("level", F.when(F.col("step") < 0, F.col("depth") + 1).otherwise(F.col("depth")))
     partner = Window.partitionBy("file_id", "level").orderBy("place")
-    opens = F.translate("bracket", ")]}L", "([{J")
-    checked = depth.withColumn("before", F.lag("bracket").over(partner)).withColumn("after", F.lead("bracket").over(partner))
-    wrong = (F.col("level") < 1) | ((F.col("step") > 0) & F.col("after").isNull()) | ((F.col("step") < 0) & (F.coalesce("before", F.lit("")) != opens))
-    return checked.where(wrong).select("file_id", "language")
+    rows = rows.withColumns({"before": F.lag("bracket").over(partner), "after": F.lead("bracket").over(partner)})
+    opens = F.translate("bracket", CLOSES, OPENS)
+    wrong = ((F.col("step") > 0) & F.col("after").isNull()) | ((F.col("step") < 0) & ((F.col("level") < 1) | (F.coalesce("before", F.lit("")) != opens)))
+    inside = Window.partitionBy("file_id", "depth").orderBy("place")
+    around = F.last(F.when(F.col("step") > 0, F.struct("place", "bracket")), ignorenulls=True).over(inside)
+    rows = rows.withColumns({"wrong": wrong, "around": around})
+    return rows.select("file_id", "language", "place", "bracket", "text", "wrong", F.col("around.place").alias("opener"), F.coalesce("around.bracket", F.lit("")).alias("kind"))
 
 
 #: Statements that no production of a script language makes; the untyped and typed languages add their own.
 SCRIPT_WRONG = (
     r"qG(?![gl])|q(?![G{])|CI(?![=:o!])|FB?I?(?![PI(])|FB?I?P$|i(?!P|tP|\()|h(?!P|\()|g(?!P|[G{(])|l(?![G{])|K(?!I?(?:E[IPBNSY,.<>|]*+)*+[G{])|(?<![.IP])iP$|[CV][GY]$|^k[^:]*$|yI(?:E[^G]*)?$"
-    r"|^M(?!S|P|\(|\.|y?(?:I(?:,(?:G|BoI))?|G|BoI)fS|y?I=)|fI|^\{:$"
+    r"|^M(?!S|P|\(|\.|y?(?:I(?:,(?:G|BoI))?|G|BoI)fS|y?I=)|fI|^\{:$|^!$"
 )
 UNTYPED_WRONG = r"CI:|VI:|^\(I\??:|P:I(?:Y|<[^>]*>)*[G{]|FB?I?P(?![G{])|I\?:"
 TYPED_WRONG = r"FB?I?P(?![G{:B])"
-#: The same for logical lines of Python.
-PYTHON_WRONG = r"^q\?$|!$|:[=<!]$|[^:]>$|^a?[DKieqg](?!.*:)|^[DK](?!I)|[-=Bu,.otDKMf@][=<>!]$|^[ie]:?[=<>]$|[^:]i[^:ie=<>]*+[=<>]$"
+#: The same for clauses of Python that belong together, each with the end of its line or its block: a try without a handler, a handler or else of nothing
+#: or of a definition, a header without a colon, a condition without its else, something assigned to a call or a literal; an argument without name after a named one, and keys with and without values.
+PYTHON_WRONG = (
+    r"^!$|q:(?:G|[^nG]*n)(?![ge])|^[ge]|^[^:]*n[ge]|^a?[DK][^nG]*:(?:G|[^nG]*n)[ge]|(?:^|[nG])a?[DKiqeg](?![^nG]*:)|^(?![({])[^:]*[^:a;n]i[^:ien]*+n?$"
+    r"|^[^({][^:;nGl]*(?<=[IPY])P[=m]|(?:^|;)[NS][=m]|(?:^|;)Ym"
+    r"|^\((?!.*[*lBi])(?:.*,)?I=[^,]*,(?:.*,)?[^,=:]+(?:,|$)|^\{(?!.*[ilB*])(?:.*,)?(?:[^,:]+:[^,]*,[^,:]+|[^,:]+,[^,:]+:[^,]*)(?:,|$)"
+)
+
+
+def statements(rows: DataFrame) -> DataFrame:
+    """(file_id, language, statement) of `bracket_rows`, each pair of brackets within reduced to one token.
+
+    The tokens of a block are those that lie in it, in order. Statements end at ; and line breaks, in
+    Python clauses that go on stay together. A wrong bracket is the statement `!`, a parenthesis that
+    opens with an annotation `(I:`.
+    """
+    python = F.col("language") == PYTHON
+    symbol = lambda table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("bracket")), F.lit(""))
+    piece = F.concat(F.when(python, symbol(PYTHON_REDUCED)).otherwise(symbol(SCRIPT_REDUCED)), "text")
+    block = F.when(python, F.col("kind").isin("", "«", "(", "{")).otherwise(F.col("kind").isin("", "{"))
+    opened = (F.col("bracket") == "(") & ~python & F.col("text").rlike(r"^I\??:")
+    kept = rows.where(F.col("wrong") | block | opened)
+    marks = F.when(F.col("wrong"), "!").when(opened, F.concat(F.lit("("), F.regexp_extract("text", r"^(I\??:)", 1)))
+    grouped = kept.groupBy("file_id", "language", "opener").agg(F.max("kind").alias("kind"), F.collect_set(marks).alias("marks"), F.collect_list(F.when(block, F.struct("place", piece.alias("piece")))).alias("pieces"))
+    whole = F.array_join(F.transform(F.array_sort("pieces"), lambda x: x["piece"]), "")
+    parts = grouped.select("file_id", "language", "kind", "marks", whole.alias("whole"))
+    split = F.when(F.col("kind").isin("(", "{") & python, F.array(F.concat("kind", "whole"))).when(python, F.split("whole", r"(?<=[nG])(?![ge])")).otherwise(F.split("whole", "[;n]"))
+    return parts.select("file_id", "language", F.explode(F.array_distinct(F.concat("marks", split))).alias("statement"))
 
 
 def bad_statements(tokens: DataFrame) -> DataFrame:
-    """(file_id, language) with a statement that no production makes.
+    """(file_id, language) with brackets that don't nest or a statement that no production makes.
 
     Statements recur, so each distinct one is judged once; the files that hold a wrong one are
     found by a join on the statement.
     """
-    rows = tokens.select("file_id", "language", F.explode("statements").alias("statement"))
-    kinds = rows.select("language", "statement").distinct()
+    rows = statements(bracket_rows(tokens)).unionByName(tokens.where((F.col("language") != PYTHON) & F.col("classes").rlike(r"^n?\{[SN]:")).select("file_id", "language", F.lit("{:").alias("statement")))
     statement, typed = F.col("statement"), F.col("language").isin(TS, TSX)
     script = statement.rlike(SCRIPT_WRONG) | (typed & statement.rlike(TYPED_WRONG)) | (~typed & statement.rlike(UNTYPED_WRONG))
-    wrong = kinds.where(F.when(F.col("language") == PYTHON, statement.rlike(PYTHON_WRONG)).otherwise(script))
-    return rows.join(wrong, ["language", "statement"], "left_semi").select("file_id", "language")
-
-
-def _unparsable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keeps the rows whose content the interpreter's grammar rejects."""
-    warnings.simplefilter("ignore")
-    for batch in batches:
-        bad = []
-        for content in batch["content"]:
-            try:
-                ast.parse(content)
-                bad.append(False)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                bad.append(True)
-        yield batch.loc[bad, ["file_id"]]
+    return rows.where(F.when(F.col("language") == PYTHON, statement.rlike(PYTHON_WRONG)).otherwise(script)).select("file_id", "language")
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
@@ -488,13 +543,10 @@ def invalid_files(files: DataFrame) -> DataFrame:
     The language is the row's, or where that is null its path's extension; other languages, null or
     empty content and a null file_id are no case. A redelivered file counts once. Only syntax
     counts. Without rows there are none. A text of any length is lexed where it lies; of a long text
-    only its brackets form a group.
+    only its brackets, with the tokens between them, form a group.
     """
     tokens = cut(lexed(files))
-    suspects = cut(bad_pairs(tokens).unionByName(bad_nesting(tokens)).unionByName(bad_statements(tokens)).distinct())
-    python = files.select("file_id", "content").join(suspects.where(F.col("language") == PYTHON).select("file_id"), "file_id", "left_semi").where("content is not null")
-    exact = python.mapInPandas(_unparsable, "file_id long").distinct()
-    return suspects.where(F.col("language") != PYTHON).select("file_id").distinct().unionByName(exact)
+    return bad_pairs(tokens).unionByName(bad_statements(tokens)).select("file_id").distinct()
 
 
 def invalid_rates(files: DataFrame) -> DataFrame:
