@@ -47,20 +47,19 @@ def _alternatives(words: str) -> str:
     return "|".join(words.split())
 
 
-# a template or an element is lexed up to what is made of expressions; those are lexed like all others
-_TEMPLATE = r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+"
-_ATTRIBUTES = rf"(?:\s++[\w:-]++(?:=(?:{_STRING}))?+(?![\w:=-]))*+"
+# a template or an element is one token as long as no braces lie in those of its expressions; else it is lexed up to them, and they like all others
+_SIMPLE = r"\{[^{}`]*+\}"
+_TEMPLATE = rf"(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\${_SIMPLE})*+"
+_ATTRIBUTES = rf"(?:\s++(?:[\w:-]++(?:=(?:{_STRING}|{_SIMPLE}))?+(?![\w:=-])|{_SIMPLE}))*+"
 _NAME_OF_TAG = r"<(?:[A-Za-z][\w.:-]*+)?"
 _AFTER_OPEN, _AFTER_CLOSE = r"(?:[^<>{}]*+(?=[<{]))?", r"(?:[^<>{}()=;]*+(?=[<{]))?"
 _TAGS = rf"(?:{_NAME_OF_TAG}{_ATTRIBUTES}\s*+(?:/>{_AFTER_CLOSE}|(?<!=)>{_AFTER_OPEN})|</[\w.:-]*+\s*+>{_AFTER_CLOSE})"
 _TAG_HEAD = rf"{_NAME_OF_TAG}{_ATTRIBUTES}\s++(?:[\w:-]++=)?\{{"
-_TEMPLATE_REST = re.compile(rf"{_TEMPLATE}(`|\$\{{)")
-_TAG_REST = re.compile(rf"{_ATTRIBUTES}\s*+(?:((?:[\w:-]++=)?\{{)|(?:(/)>{_AFTER_CLOSE}|>{_AFTER_OPEN})({_TAGS}*+)({_TAG_HEAD})?+)")
-_ELEMENT = re.compile(rf"</[^>]*+>|{_NAME_OF_TAG}{_ATTRIBUTES}\s*+/?>")
-
-
-def _elements(text: str) -> str:
-    return "".join("L" if m[0][1] == "/" else "Q" if m[0][-2] == "/" else "J" for m in _ELEMENT.finditer(text))
+_TEMPLATE_REST = re.compile(rf"({_TEMPLATE})(`|\$\{{)")
+_TAG_REST = re.compile(rf"({_ATTRIBUTES})\s*+(?:((?:[\w:-]++=)?\{{)|(?:(/)>{_AFTER_CLOSE}|>{_AFTER_OPEN})({_TAGS}*+)({_TAG_HEAD})?+)")
+_ELEMENT = re.compile(rf"</[^>]*+>|{_NAME_OF_TAG}{_ATTRIBUTES}\s*+(?:/?>|(?=[\w:-]*+=?\{{))")
+_IN_BRACES = re.compile(rf"{_STRING}|\$?\{{([^{{}}`]*+)\}}")
+_IN_TEMPLATE = re.compile(rf"\\[\s\S]|\$\{{([^{{}}`]*+)\}}")
 
 
 def _script_pattern(language: str) -> re.Pattern[str]:
@@ -139,6 +138,24 @@ class Classes(dict):
             self[token] = code
         return code
 
+    def expressions(self, pattern: re.Pattern[str], text: str) -> str:
+        """What stands in the simple braces of a template or a tag, each in parentheses."""
+        lexer = _lexer(self.language)[0]
+        return "".join("(" + "".join([self[t] for t in lexer.findall("(" + m[1])[1:]]) + ")" for m in pattern.finditer(text) if m[1] is not None)
+
+    def elements(self, text: str) -> str:
+        """The tags of a text; one that goes on ends with A."""
+        found = []
+        for m in _ELEMENT.finditer(text):
+            tag = m[0]
+            if tag[1:2] == "/":
+                found.append("L")
+                continue
+            inner = self.expressions(_IN_BRACES, tag) if "{" in tag else ""
+            kind = "A" if tag[-1] != ">" else "Q" if tag[-2] == "/" else "J"
+            found.append(f"A{inner}{'' if kind == 'A' else kind}" if inner else kind)
+        return "".join(found)
+
     def python_class(self, token: str) -> str:
         bare = token.strip(" \t\f")
         if "\n" in bare and bare[0] in "\n#":
@@ -175,13 +192,14 @@ class Classes(dict):
             if first in "\"'" and bare[-1] == first:
                 return "S"
             if first == "`":
-                return "T(" if bare[-1] == "{" else "T"
+                inner = self.expressions(_IN_TEMPLATE, bare)
+                return f"T{inner}(" if bare[-1] == "{" else f"T{inner}T" if inner else "T"
             if first == "/" and bare != "/=":
                 return "R"
             if ">" in bare and (first == "<" or self.language in (JSX, TSX) and "</" in bare and first not in "\"'`/"):
-                return _elements(bare)
+                return self.elements(bare)
             if bare[-1] == "{" and self.language in (JSX, TSX):
-                return _elements(bare) + "A("
+                return self.elements(bare) + "("
         if first.isdigit() or first == "." and len(bare) > 1 and bare[1].isdigit():
             return "§" if re.match(r"0\d", bare) else "N"
         if first.isalpha() or first in "_$#" and len(bare) > 1 or first == "$":
@@ -230,8 +248,9 @@ def script_tokens(content: str, language: str) -> list[str]:
     brace that closes it is known by the number of those opened within.
     """
     pattern, classes = _lexer(language)
-    if "${" not in content and (language not in (JSX, TSX) or "={" not in content and "{..." not in content):
-        return [classes[token] for token in pattern.findall(content)]
+    plain = pattern.findall(content)
+    if not any(token[-1] == "{" and len(token) > 1 for token in plain):
+        return [classes[token] for token in plain]
     found: list[str] = []
     within: list[list] = []
     at = 0
@@ -245,11 +264,13 @@ def script_tokens(content: str, language: str) -> list[str]:
                     found.append("§")
                     continue
                 if within[-1][1] is _TEMPLATE_REST:
-                    found.append(")T" if rest[1] == "`" else ")(")
-                    again = rest[1] != "`"
+                    inner = classes.expressions(_IN_TEMPLATE, rest[1])
+                    again = rest[2] != "`"
+                    found.append(f"){inner}" + ("(" if again else "T"))
                 else:
-                    found.append(")(" if rest[1] else ")" + ("Q" if rest[2] else "J") + _elements(rest[3]) + ("A(" if rest[4] else ""))
-                    again = bool(rest[1] or rest[4])
+                    inner = classes.expressions(_IN_BRACES, rest[1])
+                    again = bool(rest[2] or rest[5])
+                    found.append(f"){inner}" + ("(" if rest[2] else ("Q" if rest[3] else "J") + classes.elements(rest[4]) + (classes.elements(rest[5]) + "(" if rest[5] else "")))
                 if not again:
                     within.pop()
                 at = rest.end()
@@ -455,37 +476,38 @@ def bad_pairs(tokens: DataFrame) -> DataFrame:
 OPENS, CLOSES = "([{J«", ")]}L»"
 _EACH = rf"[{re.escape(OPENS + CLOSES)}]?[^{re.escape(OPENS + CLOSES)}]*"
 #: What a pair of brackets is to the statement around it.
-SCRIPT_REDUCED = {")": "P", "]": "Y", "}": "G", "L": "Q"}
-PYTHON_REDUCED = {")": "P", "]": "Y", "}": "Y", "»": "G"}
+SCRIPT_REDUCED, PYTHON_REDUCED = {")": "P", "]": "Y", "}": "G", "L": "Q"}, {")": "P", "]": "Y", "}": "Y", "»": "G"}
+#: Languages whose statements are judged alike.
+FAMILY_PYTHON, FAMILY_UNTYPED, FAMILY_TYPED = 0, 1, 2
+
+
+def _family() -> Column:
+    return F.when(F.col("language") == PYTHON, FAMILY_PYTHON).when(F.col("language").isin(TS, TSX), FAMILY_TYPED).otherwise(FAMILY_UNTYPED).cast("tinyint")
 
 
 def bracket_rows(tokens: DataFrame) -> DataFrame:
-    """(file_id, language, place, bracket, text, wrong, opener, kind) of each bracket with the tokens up to the next one.
+    """(file_id, family, place, kind, text, wrong, opener) of each bracket with the tokens up to the next one.
 
-    A running sum gives each bracket its depth. Within a depth, opening and closing ones must take
-    turns and match in kind, else they are `wrong`. `opener` is the place of the bracket that the
-    tokens lie in, `kind` what that is: the last that was opened at their depth; null and empty
-    outside of all.
+    `kind` is the place of the bracket in `OPENS` from 1, negative for one that closes, 0 for the
+    beginning of the text. A running sum gives each bracket its depth. Within a depth, opening and
+    closing ones must take turns and match in kind, else they are `wrong`. `opener` says in which
+    bracket the tokens lie: the last that was opened at their depth, as 8 * place + kind; null outside of all.
     """
     # a redelivered file has one row again; its rows lie together from here on
-    once = tokens.groupBy("file_id").agg(F.min("language").alias("language"), F.min("classes").alias("classes"))
-    pieces = F.filter(F.regexp_extract_all("classes", F.lit(_EACH), F.lit(0)), lambda piece: piece != "")
-    rows = once.select("file_id", "language", F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("place", "piece"))
-    first = F.substring("piece", 1, 1)
-    step = F.when(F.instr(F.lit(OPENS), first) > 0, 1).when(F.instr(F.lit(CLOSES), first) > 0, -1).otherwise(0)
-    rows = rows.withColumn("step", F.when(F.col("piece") == "", 0).otherwise(step))
-    rows = rows.select("file_id", "language", "place", "step", F.when(F.col("step") != 0, first).otherwise("").alias("bracket"), F.when(F.col("step") != 0, F.expr("substring(piece, 2)")).otherwise(F.col("piece")).alias("text"))
-    along = Window.partitionBy("file_id").orderBy("place")
-    rows = rows.withColumn("depth", F.sum("step").over(along))
-    rows = rows.withColumn("level", F.when(F.col("step") < 0, F.col("depth") + 1).otherwise(F.col("depth")))
+    once = tokens.groupBy("file_id").agg(F.min(_family()).alias("family"), F.min("classes").alias("classes"))
+    pieces = F.concat(F.array(F.lit("")), F.filter(F.regexp_extract_all("classes", F.lit(_EACH), F.lit(0)), lambda piece: piece != ""))
+    first = lambda: F.substring("piece", 1, 1)
+    rows = once.select("file_id", "family", F.posexplode(pieces).alias("place", "piece"))
+    kind = F.when(F.col("piece") == "", 0).otherwise(F.instr(F.lit(OPENS), first()) - F.instr(F.lit(CLOSES), first())).cast("tinyint")
+    rows = rows.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == 0, F.col("piece")).otherwise(F.expr("substring(piece, 2)"))).drop("piece")
+    step = F.signum("kind").cast("int")
+    rows = rows.withColumn("depth", F.sum(step).over(Window.partitionBy("file_id").orderBy("place")).cast("int"))
+    rows = rows.withColumn("level", F.col("depth") + (F.col("kind") < 0).cast("int"))
     partner = Window.partitionBy("file_id", "level").orderBy("place")
-    rows = rows.withColumns({"before": F.lag("bracket").over(partner), "after": F.lead("bracket").over(partner)})
-    opens = F.translate("bracket", CLOSES, OPENS)
-    wrong = ((F.col("step") > 0) & F.col("after").isNull()) | ((F.col("step") < 0) & ((F.col("level") < 1) | (F.coalesce("before", F.lit("")) != opens)))
-    inside = Window.partitionBy("file_id", "depth").orderBy("place")
-    around = F.last(F.when(F.col("step") > 0, F.struct("place", "bracket")), ignorenulls=True).over(inside)
-    rows = rows.withColumns({"wrong": wrong, "around": around})
-    return rows.select("file_id", "language", "place", "bracket", "text", "wrong", F.col("around.place").alias("opener"), F.coalesce("around.bracket", F.lit("")).alias("kind"))
+    closed = F.when(F.col("kind") > 0, F.lead("kind").over(partner).isNull()).when(F.col("kind") < 0, (F.col("level") < 1) | (F.coalesce(F.lag("kind").over(partner), F.lit(0)) != -F.col("kind")))
+    rows = rows.withColumn("wrong", F.coalesce(closed, F.lit(False))).drop("level")
+    opener = F.last(F.when(F.col("kind") > 0, F.col("place").cast("long") * 8 + F.col("kind")), ignorenulls=True).over(Window.partitionBy("file_id", "depth").orderBy("place"))
+    return rows.withColumn("opener", opener).drop("depth")
 
 
 #: Statements that no production of a script language makes; the untyped and typed languages add their own.
@@ -505,36 +527,42 @@ PYTHON_WRONG = (
 
 
 def statements(rows: DataFrame) -> DataFrame:
-    """(file_id, language, statement) of `bracket_rows`, each pair of brackets within reduced to one token.
+    """(file_id, family, statement) of `bracket_rows`, each pair of brackets within reduced to one token.
 
     The tokens of a block are those that lie in it, in order. Statements end at ; and line breaks, in
     Python clauses that go on stay together. A wrong bracket is the statement `!`, a parenthesis that
     opens with an annotation `(I:`.
     """
-    python = F.col("language") == PYTHON
-    symbol = lambda table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("bracket")), F.lit(""))
-    piece = F.concat(F.when(python, symbol(PYTHON_REDUCED)).otherwise(symbol(SCRIPT_REDUCED)), "text")
-    block = F.when(python, F.col("kind").isin("", "«", "(", "{")).otherwise(F.col("kind").isin("", "{"))
-    opened = (F.col("bracket") == "(") & ~python & F.col("text").rlike(r"^I\??:")
+    python = F.col("family") == FAMILY_PYTHON
+    names = lambda table: F.array(*[F.lit(table.get(c, "")) for c in CLOSES])
+    symbol = F.when(F.col("kind") < 0, F.element_at(F.when(python, names(PYTHON_REDUCED)).otherwise(names(SCRIPT_REDUCED)), -F.col("kind").cast("int"))).otherwise("")
+    number = lambda *marks: [OPENS.index(mark) + 1 for mark in marks]
+    inside = F.coalesce(F.col("opener") % 8, F.lit(0))
+    block = F.when(python, inside.isin(0, *number("«", "(", "{"))).otherwise(inside.isin(0, *number("{")))
+    opened = (F.col("kind") == number("(")[0]) & ~python & F.col("text").rlike(r"^I\??:")
     kept = rows.where(F.col("wrong") | block | opened)
     marks = F.when(F.col("wrong"), "!").when(opened, F.concat(F.lit("("), F.regexp_extract("text", r"^(I\??:)", 1)))
-    grouped = kept.groupBy("file_id", "language", "opener").agg(F.max("kind").alias("kind"), F.collect_set(marks).alias("marks"), F.collect_list(F.when(block, F.struct("place", piece.alias("piece")))).alias("pieces"))
+    grouped = kept.groupBy("file_id", "family", "opener").agg(F.collect_set(marks).alias("marks"), F.collect_list(F.when(block, F.struct("place", F.concat(symbol, "text").alias("piece")))).alias("pieces"))
     whole = F.array_join(F.transform(F.array_sort("pieces"), lambda x: x["piece"]), "")
-    parts = grouped.select("file_id", "language", "kind", "marks", whole.alias("whole"))
-    split = F.when(F.col("kind").isin("(", "{") & python, F.array(F.concat("kind", "whole"))).when(python, F.split("whole", r"(?<=[nG])(?![ge])")).otherwise(F.split("whole", "[;n]"))
-    return parts.select("file_id", "language", F.explode(F.array_distinct(F.concat("marks", split))).alias("statement"))
+    parts = grouped.select("file_id", "family", inside.alias("inside"), "marks", whole.alias("whole"))
+    bracket = F.when(F.col("inside") == number("(")[0], "(").otherwise("{")
+    split = F.when(python & F.col("inside").isin(*number("(", "{")), F.array(F.concat(bracket, "whole"))).when(python, F.split("whole", r"(?<=[nG])(?![ge])")).otherwise(F.split("whole", "[;n]"))
+    return parts.select("file_id", "family", F.explode(F.array_distinct(F.concat("marks", split))).alias("statement"))
 
 
 def bad_statements(tokens: DataFrame) -> DataFrame:
-    """(file_id, language) with brackets that don't nest or a statement that no production makes.
+    """(file_id) with brackets that don't nest or a statement that no production makes.
 
     Statements recur, so each distinct one is judged once; the files that hold a wrong one are
     found by a join on the statement.
     """
-    rows = statements(bracket_rows(tokens)).unionByName(tokens.where((F.col("language") != PYTHON) & F.col("classes").rlike(r"^n?\{[SN]:")).select("file_id", "language", F.lit("{:").alias("statement")))
-    statement, typed = F.col("statement"), F.col("language").isin(TS, TSX)
-    script = statement.rlike(SCRIPT_WRONG) | (typed & statement.rlike(TYPED_WRONG)) | (~typed & statement.rlike(UNTYPED_WRONG))
-    return rows.where(F.when(F.col("language") == PYTHON, statement.rlike(PYTHON_WRONG)).otherwise(script)).select("file_id", "language")
+    literal = tokens.where((F.col("language") != PYTHON) & F.col("classes").rlike(r"^n?\{[SN]:")).select("file_id", _family().alias("family"), F.lit("{:").alias("statement"))
+    rows = cut(statements(bracket_rows(tokens)).unionByName(literal))
+    kinds = rows.select("family", "statement").distinct()
+    statement = F.col("statement")
+    typed = F.when(F.col("family") == FAMILY_TYPED, statement.rlike(TYPED_WRONG)).otherwise(statement.rlike(UNTYPED_WRONG))
+    wrong = kinds.where(F.when(F.col("family") == FAMILY_PYTHON, statement.rlike(PYTHON_WRONG)).otherwise(statement.rlike(SCRIPT_WRONG) | typed))
+    return rows.join(wrong, ["family", "statement"], "left_semi").select("file_id")
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
@@ -546,7 +574,7 @@ def invalid_files(files: DataFrame) -> DataFrame:
     only its brackets, with the tokens between them, form a group.
     """
     tokens = cut(lexed(files))
-    return bad_pairs(tokens).unionByName(bad_statements(tokens)).select("file_id").distinct()
+    return bad_pairs(tokens).select("file_id").unionByName(bad_statements(tokens)).distinct()
 
 
 def invalid_rates(files: DataFrame) -> DataFrame:
