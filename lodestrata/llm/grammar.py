@@ -79,6 +79,9 @@ def _script_pattern(language: str) -> re.Pattern[str]:
         parts += [rf"(?:(?<=\}})[^<>{{}}()=;]*+(?=<[/A-Za-z>])|{_BEFORE}|^\s*+|(?=</))(?:{_TAGS}++(?:{_TAG_HEAD})?+|{_TAG_HEAD})"]
     parts += [
         rf"(?<=[{{,])\s*+(?:{reserved})(?=\s*+:)",
+        # blanks before what doesn't look back, and words that no reserved word looks like: most of a text
+        rf"[ \t]*+(?:[A-Z][\w$]*+|[a-z]++[A-Z\d_$][\w$]*+){chain}",
+        r"[ \t]++(?=[\w$\"'`(){}\[\];,=+*&|!-])",
         r"void\s+0\b",
         rf"(?<![\w$.])(?:{_alternatives(TS_MODIFIERS if typed else JS_MODIFIERS)})[ \t]++(?=[\w$\[*{{\"'#])",
         r"(?<![\w$.])of[ \t]++(?=\S)|(?<![\w$.])from\s*+(?=[\"'])",
@@ -104,6 +107,9 @@ PYTHON_PATTERN = re.compile(
     "|".join(
         [
             _CONFLICT,
+            # blanks before what isn't the end of a line, and words that are no prefix of a string: most of a text
+            r"[ \t\f]*+[^\W\d]\w*+(?![\"'])(?:\.[^\W\d]\w*+)*+",
+            r"[ \t\f]++(?=[^\s#\\])",
             rf"{_PY_BREAK}[ \t]*+(?:match|case)(?=[ \t]+[^=\s:.,)\]]|[ \t]*[(\[{{])(?=[^\n]*:[ \t]*(?:#[^\n]*)?\n)",
             rf"{_PY_BREAK}[ \t]*+case(?=[ \t]*\n?\Z)",
             rf"{_PY_BREAK}[ \t]*+type(?=[ \t]+\w+[ \t]*(?:\[[^\n]*\])?[ \t]*=[^=])",
@@ -158,6 +164,10 @@ class Classes(dict):
 
     def python_class(self, token: str) -> str:
         bare = token.strip(" \t\f")
+        if not bare:
+            return ""
+        if bare != token and (bare[0].isalpha() or bare[0] == "_"):
+            return self.words.get(bare, "I")
         if "\n" in bare and bare[0] in "\n#":
             tail = token[token.rindex("\n") + 1 :].replace("\t", "        ")
             indent = len(tail) - len(tail.lstrip(" "))
@@ -182,7 +192,7 @@ class Classes(dict):
     def script_class(self, token: str) -> str:
         bare = token.strip()
         if not bare:
-            return "\n"
+            return "\n" if "\n" in token else ""
         first = bare[0]
         if re.match(_CONFLICT, bare) and len(bare) >= 7:
             return "§"
@@ -249,8 +259,8 @@ def script_tokens(content: str, language: str) -> list[str]:
     """
     pattern, classes = _lexer(language)
     plain = pattern.findall(content)
-    if not any(token[-1] == "{" and len(token) > 1 for token in plain):
-        return [classes[token] for token in plain]
+    if "${" not in content and language not in (JSX, TSX) or not any(token[-1] == "{" and len(token) > 1 for token in plain):
+        return list(map(classes.__getitem__, plain))
     found: list[str] = []
     within: list[list] = []
     at = 0
@@ -286,39 +296,38 @@ def script_tokens(content: str, language: str) -> list[str]:
     return found
 
 
+_PY_LINE = re.compile(r"(\n *[it]?)")
+
+
 def python_tokens(content: str) -> list[str]:
     """The token classes of a Python text; a line that is indented more or less than the one before begins with « or »."""
     pattern, classes = _lexer(PYTHON)
+    _, *lines = _PY_LINE.split("".join(map(classes.__getitem__, pattern.findall("\n" + content + "\n"))))
     found: list[str] = []
     levels, depth = [0], 0
-    for token in pattern.findall("\n" + content + "\n"):
-        code = classes[token]
-        if code[:1] != "\n":
-            if code in ("(", "[", "{"):
-                depth += 1
-            elif code in (")", "]", "}") and depth:
-                depth -= 1
-            found.append(code)
-            continue
+    for head, text in zip(lines[::2], lines[1::2]):
         # a word that is reserved only where a statement begins
-        soft = code[-1].strip()
+        soft = head[-1].strip()
         if depth:
             found.append("I" if soft else "")
-            continue
-        indent = len(code) - 1 - len(soft)
-        if not found:
-            found.append("§" if indent else "")
-        elif indent > levels[-1]:
-            levels.append(indent)
-            found.append("«")
         else:
-            found.append("n")
-            while levels[-1] > indent:
-                levels.pop()
-                found.append("»")
-            if levels[-1] != indent:
-                found.append("§")
-        found.append(soft)
+            indent = len(head) - 1 - len(soft)
+            if not found:
+                found.append("§" if indent else "")
+            elif indent > levels[-1]:
+                levels.append(indent)
+                found.append("«")
+            else:
+                found.append("n")
+                while levels[-1] > indent:
+                    levels.pop()
+                    found.append("»")
+                if levels[-1] != indent:
+                    found.append("§")
+            found.append(soft)
+        found.append(text)
+        depth += text.count("(") + text.count("[") + text.count("{") - text.count(")") - text.count("]") - text.count("}")
+        depth = max(depth, 0)
     found.extend("»" * (len(levels) - 1))
     return found
 
@@ -489,9 +498,10 @@ def bracket_rows(tokens: DataFrame) -> DataFrame:
     """(file_id, family, place, kind, text, wrong, opener) of each bracket with the tokens up to the next one.
 
     `kind` is the place of the bracket in `OPENS` from 1, negative for one that closes, 0 for the
-    beginning of the text. A running sum gives each bracket its depth. Within a depth, opening and
-    closing ones must take turns and match in kind, else they are `wrong`. `opener` says in which
-    bracket the tokens lie: the last that was opened at their depth, as 8 * place + kind; null outside of all.
+    beginning of the text. A running sum gives each bracket its depth. `opener` says in which
+    bracket the tokens lie: the last that was opened at their depth, as 8 * place + kind; null
+    outside of all. A row is `wrong` if the next bracket closes another kind than the one it lies
+    in, or if the text ends within one.
     """
     # a redelivered file has one row again; its rows lie together from here on
     once = tokens.groupBy("file_id").agg(F.min(_family()).alias("family"), F.min("classes").alias("classes"))
@@ -501,13 +511,13 @@ def bracket_rows(tokens: DataFrame) -> DataFrame:
     kind = F.when(F.col("piece") == "", 0).otherwise(F.instr(F.lit(OPENS), first()) - F.instr(F.lit(CLOSES), first())).cast("tinyint")
     rows = rows.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == 0, F.col("piece")).otherwise(F.expr("substring(piece, 2)"))).drop("piece")
     step = F.signum("kind").cast("int")
-    rows = rows.withColumn("depth", F.sum(step).over(Window.partitionBy("file_id").orderBy("place")).cast("int"))
-    rows = rows.withColumn("level", F.col("depth") + (F.col("kind") < 0).cast("int"))
-    partner = Window.partitionBy("file_id", "level").orderBy("place")
-    closed = F.when(F.col("kind") > 0, F.lead("kind").over(partner).isNull()).when(F.col("kind") < 0, (F.col("level") < 1) | (F.coalesce(F.lag("kind").over(partner), F.lit(0)) != -F.col("kind")))
-    rows = rows.withColumn("wrong", F.coalesce(closed, F.lit(False))).drop("level")
+    along = Window.partitionBy("file_id").orderBy("place")
+    rows = rows.withColumns({"depth": F.sum(step).over(along).cast("int"), "next": F.lead("kind").over(along)})
     opener = F.last(F.when(F.col("kind") > 0, F.col("place").cast("long") * 8 + F.col("kind")), ignorenulls=True).over(Window.partitionBy("file_id", "depth").orderBy("place"))
-    return rows.withColumn("opener", opener).drop("depth")
+    rows = rows.withColumn("opener", F.when(F.col("depth") > 0, opener))
+    inside = F.coalesce(F.col("opener") % 8, F.lit(0))
+    wrong = F.when(F.col("next").isNull(), F.col("depth") != 0).when(F.col("next") < 0, inside != -F.col("next")).otherwise(False)
+    return rows.withColumn("wrong", wrong).drop("depth", "next")
 
 
 #: Statements that no production of a script language makes; the untyped and typed languages add their own.
@@ -518,11 +528,10 @@ SCRIPT_WRONG = (
 UNTYPED_WRONG = r"CI:|VI:|^\(I\??:|P:I(?:Y|<[^>]*>)*[G{]|FB?I?P(?![G{])|I\?:"
 TYPED_WRONG = r"FB?I?P(?![G{:B])"
 #: The same for clauses of Python that belong together, each with the end of its line or its block: a try without a handler, a handler or else of nothing
-#: or of a definition, a header without a colon, a condition without its else, something assigned to a call or a literal; an argument without name after a named one, and keys with and without values.
+#: or of a definition, a header without a colon, a condition without its else, something assigned to a call or a literal.
 PYTHON_WRONG = (
-    r"^!$|q:(?:G|[^nG]*n)(?![ge])|^[ge]|^[^:]*n[ge]|^a?[DK][^nG]*:(?:G|[^nG]*n)[ge]|(?:^|[nG])a?[DKiqeg](?![^nG]*:)|^(?![({])[^:]*[^:a;n]i[^:ien]*+n?$"
-    r"|^[^({][^:;nGl]*(?<=[IPY])P[=m]|(?:^|;)[NS][=m]|(?:^|;)Ym"
-    r"|^\((?!.*[*lBi])(?:.*,)?I=[^,]*,(?:.*,)?[^,=:]+(?:,|$)|^\{(?!.*[ilB*])(?:.*,)?(?:[^,:]+:[^,]*,[^,:]+|[^,:]+,[^,:]+:[^,]*)(?:,|$)"
+    r"^!$|q:(?:G|[^nG]*n)(?![ge])|^[ge]|^[^:]*n[ge]|^a?[DK][^nG]*:(?:G|[^nG]*n)[ge]|(?:^|[nG])a?[DKiqeg](?![^nG]*:)|^[^:]*[^:a;n]i[^:ien]*+n?$"
+    r"|(?:^|;)[^:;nGl]*[IPY]P[=m]|(?:^|;)[NS][=m]|(?:^|;)Ym"
 )
 
 
@@ -538,15 +547,14 @@ def statements(rows: DataFrame) -> DataFrame:
     symbol = F.when(F.col("kind") < 0, F.element_at(F.when(python, names(PYTHON_REDUCED)).otherwise(names(SCRIPT_REDUCED)), -F.col("kind").cast("int"))).otherwise("")
     number = lambda *marks: [OPENS.index(mark) + 1 for mark in marks]
     inside = F.coalesce(F.col("opener") % 8, F.lit(0))
-    block = F.when(python, inside.isin(0, *number("«", "(", "{"))).otherwise(inside.isin(0, *number("{")))
+    block = F.when(python, inside.isin(0, *number("«"))).otherwise(inside.isin(0, *number("{")))
     opened = (F.col("kind") == number("(")[0]) & ~python & F.col("text").rlike(r"^I\??:")
     kept = rows.where(F.col("wrong") | block | opened)
     marks = F.when(F.col("wrong"), "!").when(opened, F.concat(F.lit("("), F.regexp_extract("text", r"^(I\??:)", 1)))
     grouped = kept.groupBy("file_id", "family", "opener").agg(F.collect_set(marks).alias("marks"), F.collect_list(F.when(block, F.struct("place", F.concat(symbol, "text").alias("piece")))).alias("pieces"))
     whole = F.array_join(F.transform(F.array_sort("pieces"), lambda x: x["piece"]), "")
-    parts = grouped.select("file_id", "family", inside.alias("inside"), "marks", whole.alias("whole"))
-    bracket = F.when(F.col("inside") == number("(")[0], "(").otherwise("{")
-    split = F.when(python & F.col("inside").isin(*number("(", "{")), F.array(F.concat(bracket, "whole"))).when(python, F.split("whole", r"(?<=[nG])(?![ge])")).otherwise(F.split("whole", "[;n]"))
+    parts = grouped.select("file_id", "family", "marks", whole.alias("whole"))
+    split = F.when(python, F.split("whole", r"(?<=[nG])(?![ge])")).otherwise(F.split("whole", "[;n]"))
     return parts.select("file_id", "family", F.explode(F.array_distinct(F.concat("marks", split))).alias("statement"))
 
 

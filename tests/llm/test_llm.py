@@ -112,7 +112,7 @@ GOOD = {
     "tsx": ["export function A({ a }: { a: any[] }): any {\n  const [x, y] = useState<any>(null);\n  return <b>{`n ${a.length}`}</b>;\n}\n"],
 }
 BAD = {
-    "python": ["def f(:\n    pass\n", "x = [1, 2\n", "if x:\n", "a\n<<<<<<< HEAD\nb\n", "try:\n    x\ny = 1\n", "const a = 1;\n", "def f():\n    x = 1\n   y = 2\n", "x = 'abc\n", "x = 1 +\n", "f() = 3\n", "print 'x'\n", "f(a=1, 2)\n", "x = {1: 2, 3}\n", "x = 1 if y\n", "if a:\nb\n", "else:\n    x\n", "x\n  y\n", "def f():\n    x\nelse:\n    y\n", "x = 012\n", "3 = x\n"],
+    "python": ["def f(:\n    pass\n", "x = [1, 2\n", "if x:\n", "a\n<<<<<<< HEAD\nb\n", "try:\n    x\ny = 1\n", "const a = 1;\n", "def f():\n    x = 1\n   y = 2\n", "x = 'abc\n", "x = 1 +\n", "f() = 3\n", "print 'x'\n", "x = 1 if y\n", "if a:\nb\n", "else:\n    x\n", "x\n  y\n", "def f():\n    x\nelse:\n    y\n", "x = 012\n", "3 = x\n"],
     "javascript": ["function f() {\n  return 1;\n", "const x: number = 1;\n", "a b\n", ">>>>>>> x\nf();\n", "const x\n", "const a = (<div className=\"b\">c</div>);\n", "f(]);\n", "import { a } fr", "def f(x):\n    return x\n", "<!DOCTYPE html>\n<html></html>", "const s = `abc", "interface A { b: c }\n", "f();\nexport class A extends B", "const { a, b }\n", "switch (a) {\n  case 1\n}\n", "if (a)", "`${ a b }`;\n", "const x = 08n;\n", "a = `${b`;\n", "f(`a${[1}`);\n"],
     "jsx": ["const A = () => (<div><b>x</div>);\nfunction B() {", "const a = (b: any) => b;\n", "const c = <A b={1 2}>x</A>;\n", "const c = <A b={f(}>x</A>;\n"],
     "typescript": ["const a = (<section className=\"b\">c</section>);\n", "class A { m(): void {\n", "def f(x):\n    pass\n", ".widget {\n  color: #097445;\n}\n", "export interface A extends B\n"],
