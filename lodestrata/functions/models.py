@@ -12,25 +12,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSION = 64
+#: Texts that a model is given at once.
+BATCH = 100
 _WORDS = re.compile(r"[a-z]+|[^\W\d_a-z]|\d+")
+_HUMPS = re.compile(r"([a-z0-9])([A-Z])")
+
+
+def hash_embeddings(texts: list[str | None], dimension: int = DIMENSION) -> np.ndarray:
+    """A unit vector of hashed words for each text, humps and underscores parted; zeros for a text without words."""
+    codes: dict[str, int] = {}
+    rows: list[int] = []
+    words: list[int] = []
+    for at, text in enumerate(texts):
+        found = _WORDS.findall(_HUMPS.sub(r"\1 \2", text).lower()) if text else []
+        rows.extend([at] * len(found))
+        for word in found:
+            code = codes.get(word)
+            if code is None:
+                code = codes[word] = zlib.crc32(word.encode())
+            words.append(code)
+    hashed = np.asarray(words, dtype=np.int64)
+    vectors = np.bincount(
+        np.asarray(rows, dtype=np.int64) * dimension + hashed % dimension, weights=np.where(hashed & 0x10000, 1.0, -1.0), minlength=len(texts) * dimension
+    ).reshape(len(texts), dimension)
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(lengths == 0, 1.0, lengths)
 
 
 def hash_embedding(text: str | None, dimension: int = DIMENSION) -> list[float]:
-    """A unit vector of hashed words, humps and underscores parted; zeros for a text without words."""
-    vector = np.zeros(dimension)
-    for word in _WORDS.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text or "").lower()):
-        code = zlib.crc32(word.encode())
-        vector[code % dimension] += 1.0 if code & 0x10000 else -1.0
-    length = np.linalg.norm(vector)
-    return (vector / length if length else vector).tolist()
+    """The vector of one text."""
+    return hash_embeddings([text], dimension)[0].tolist()
 
 
-def embed(text: Column, model: Callable[[str | None], list[float]] = hash_embedding) -> Column:
-    """The vectors of a text column, an Arrow batch at a time."""
+def embed(text: Column, model: Callable[[list[str | None]], np.ndarray] = hash_embeddings, batch: int = BATCH) -> Column:
+    """The vectors of a text column; the model is given `batch` texts at a time."""
 
     @F.pandas_udf("array<double>")
     def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: model(t))
+        parts = [np.asarray(model(list(texts.iloc[at : at + batch]))) for at in range(0, len(texts), batch)]
+        return pd.Series([row for part in parts for row in part])
 
     return vectors(text)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.substrings import containing
+from lodestrata.session import cut
 
 
 def nodes(entities: DataFrame) -> DataFrame:
@@ -100,15 +101,59 @@ def hierarchy_lines(extends: DataFrame, hops: int = 5) -> DataFrame:
     return up.unionByName(down)
 
 
-def related(edges: DataFrame, hops: int = 2) -> DataFrame:
-    """Entities within `hops` edges of any kind and direction, each with its least distance."""
-    both = edges.select("project", "src", "dst").unionByName(edges.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    here = both.where("src != dst").select("project", F.col("src").alias("origin"), F.col("dst").alias("reached"), F.lit(1).alias("distance"))
-    found = [here]
-    for distance in range(2, hops + 1):
-        here = here.join(both.select("project", F.col("src").alias("reached"), F.col("dst").alias("next")), ["project", "reached"]).where("origin != next")
-        here = here.select("project", "origin", F.col("next").alias("reached"), F.lit(distance).alias("distance")).distinct()
-        found.append(here)
+def shortest_paths(edges: DataFrame, hops: int = 10) -> DataFrame:
+    """(project, origin, reached, depth, route): the shortest way of each pair that at most `hops` edges (at most 10) join; of equal ones the least.
+
+    A round goes one edge on from the pairs that the last one found, and keeps one way of each pair
+    not met before; it ends when none is new.
+    """
+    if not 1 <= hops <= 10:
+        raise ValueError("a way has 1 to 10 edges")
+    keys = ["project", "origin", "reached"]
+    step = cut(edges.where("src != dst").select("project", F.col("src").alias("at"), F.col("dst").alias("next")).distinct(), "project", "at")
+    here = cut(step.select("project", F.col("at").alias("origin"), F.col("next").alias("reached"), F.concat_ws(">", "at", "next").alias("route")), *keys)
+    found = here.select(*keys, F.lit(1).alias("depth"), "route")
+    seen = here.select(*keys)
+    for depth in range(2, hops + 1):
+        grown = here.withColumnRenamed("reached", "at").join(step, ["project", "at"]).where("origin != next")
+        grown = grown.groupBy("project", "origin", F.col("next").alias("reached")).agg(F.min(F.concat_ws(">", "route", "next")).alias("route"))
+        here = cut(grown.join(seen, keys, "left_anti"), *keys)
+        if here.isEmpty():
+            break
+        found = found.unionByName(here.select(*keys, F.lit(depth).alias("depth"), "route"))
+        seen = seen.unionByName(here.select(*keys))
+    return found
+
+
+def reach(edges: DataFrame, origins: DataFrame, hops: int, forward: bool = True) -> DataFrame:
+    """(project, origin, reached, depth) of what lies within `hops` edges of `origins` (project, qn), with its least depth.
+
+    Only what the origins lead to is walked; of a pair met on several ways one row goes on.
+    """
+    here_column, next_column = ("src", "dst") if forward else ("dst", "src")
+    step = edges.select("project", F.col(here_column).alias("at"), F.col(next_column).alias("next")).distinct()
+    here = origins.select("project", F.col("qn").alias("origin"), F.col("qn").alias("at")).distinct()
+    found = []
+    for depth in range(1, hops + 1):
+        here = here.join(step, ["project", "at"]).where("origin != next").select("project", "origin", F.col("next").alias("at")).distinct()
+        found.append(here.select("project", "origin", F.col("at").alias("reached"), F.lit(depth).alias("depth")))
+    return reduce(DataFrame.unionByName, found).groupBy("project", "origin", "reached").agg(F.min("depth").alias("depth"))
+
+
+def related(edges: DataFrame, origins: DataFrame, hops: int = 2, salts: int = 16) -> DataFrame:
+    """(project, origin, reached, distance): nodes within `hops` edges of any kind and direction of `origins` (project, qn), with their least distance.
+
+    A node that everything touches, as a module that all files import, is a hot key of the step on
+    from it: its edges are dealt out over `salts` parts, and the few pairs that reach it go to each.
+    """
+    both = edges.select("project", "src", "dst").unionByName(edges.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().where("src != dst")
+    step = both.select("project", F.col("src").alias("at"), F.col("dst").alias("next"), F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int").alias("salt"))
+    here = origins.select("project", F.col("qn").alias("origin"), F.col("qn").alias("at")).distinct()
+    found = []
+    for distance in range(1, hops + 1):
+        spread = here.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+        here = spread.join(step, ["project", "at", "salt"]).where("origin != next").select("project", "origin", F.col("next").alias("at")).distinct()
+        found.append(here.select("project", "origin", F.col("at").alias("reached"), F.lit(distance).alias("distance")))
     return reduce(DataFrame.unionByName, found).groupBy("project", "origin", "reached").agg(F.min("distance").alias("distance"))
 
 

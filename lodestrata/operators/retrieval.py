@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ INTENT_WORDS = (
     ("find_hierarchy", ("extends", "inherits", "subclass", "hierarchy")), ("explain_implementation", ("how does", "how is.*implemented", "implementation of")),
     ("locate_entity", ("where is", "find the", "locate")), ("find_similar", ("similar to", "like")),
 )
+#: How names of code are written in a question: words run together, words joined by underscores, anything in backquotes.
+QUESTION_NAMES = (r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", r"\b([a-z]+(?:_[a-z]+)+)\b", r"`([^`]+)`")
+#: How much a step away costs a match and what is left at least, the worth of relations, the degree that counts in full, and the worth of what is known of an entity.
+STEP, LEAST_MATCH, FULL_DEGREE = 0.2, 0.3, 50.0
+RELATIONS = {"primary": 1.0, "caller": 0.8, "callee": 0.7}
+OTHER_RELATION = 0.5
+KNOWN = {"summary": 0.3, "docstring": 0.2, "signature": 0.2, "content": 0.3}
+#: Quality of a content by its length, the bounds exclusive.
+QUALITIES = ((100, 2000, 0.8), (50, 3000, 0.5))
+OTHER_QUALITY = 0.3
 HOP_WORDS = ("eventually", "indirectly", "chain", "path", "through", "via")
 
 
@@ -39,17 +51,23 @@ def vector_top(vectors: DataFrame, query: list[float], k: int = 10, where: Colum
     return rows.select("vec_id", "label", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def vector_top_of_queries(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, blocks: int = 16) -> DataFrame:
+#: Vectors that a block of a search holds, about.
+BLOCK_ROWS = 20_000
+
+
+def vector_top_of_queries(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, where: Column | None = None) -> DataFrame:
     """The k nearest vectors of each query (query_id, query) among all rows, the query itself excepted.
 
-    The queries go in blocks to every part of the vectors; each block keeps its k best before the
-    parts are merged, so what moves is k rows per query and block. `same` names a column that must
-    be equal on both sides.
+    The queries go to every block of the vectors, of which there are the more the more vectors there
+    are; each block keeps its k best before they are merged, so what moves is k rows per query and
+    block. `same` names a column that must be equal on both sides, `where` a condition on a pair.
     """
+    blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
     sides = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     keys = ["block"] + ([same] if same else [])
     pairs = sides.join(asked, keys).where("vec_id != query_id")
+    pairs = pairs if where is None else pairs.where(where)
     scored = pairs.select("query_id", "block", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "vec_id"))
     kept = scored.withColumn("place", best).where(F.col("place") <= k).drop("place", "block")
@@ -68,7 +86,7 @@ def question_plan(question: Column) -> dict[str, Column]:
         intent = F.when(hit, name).otherwise(intent)
     kind = F.when(intent.isin("explain_implementation", "search_functionality"), "hybrid").when(intent == "find_similar", "vector").otherwise("graph")
     find = lambda pattern: F.regexp_extract_all(question, F.lit(pattern), F.lit(1))
-    entities = F.concat(find(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), find(r"\b([a-z]+(?:_[a-z]+)+)\b"), find(r"`([^`]+)`"))
+    entities = F.concat(*[find(pattern) for pattern in QUESTION_NAMES])
     hops = F.lit(False)
     for word in HOP_WORDS:
         hops = hops | low.contains(word)
@@ -86,18 +104,23 @@ def weight(intent: Column, which: int) -> Column:
 def graph_score(intent: Column, bucket: Column, depth: Column, entity_match: Column, degree: Column, summary: Column, docstring: Column, signature: Column, content: Column) -> Column:
     """Score of a graph result: match by bucket and depth, entity match, relation, centrality and richness of context."""
     there = lambda c, w: F.when(F.coalesce(c, F.lit("")) != "", w).otherwise(0.0)
-    match = F.when(bucket.isin("caller", "callee"), F.greatest(F.lit(0.3), 1.0 - 0.2 * (depth - 1))).otherwise(1.0)
-    relation = F.when(bucket == "primary", 1.0).when(bucket == "caller", 0.8).when(bucket == "callee", 0.7).otherwise(0.5)
-    central = F.least(F.lit(1.0), F.coalesce(degree, F.lit(0)) / 50.0)
-    context = there(summary, 0.3) + there(docstring, 0.2) + there(signature, 0.2) + there(content, 0.3)
+    match = F.when(bucket.isin("caller", "callee"), F.greatest(F.lit(LEAST_MATCH), 1.0 - STEP * (depth - 1))).otherwise(1.0)
+    relation = F.lit(OTHER_RELATION)
+    for name, worth in RELATIONS.items():
+        relation = F.when(bucket == name, worth).otherwise(relation)
+    central = F.least(F.lit(1.0), F.coalesce(degree, F.lit(0)) / FULL_DEGREE)
+    context = there(summary, KNOWN["summary"]) + there(docstring, KNOWN["docstring"]) + there(signature, KNOWN["signature"]) + there(content, KNOWN["content"])
     return match * weight(intent, 0) + entity_match * ENTITY_BONUS + relation * RELATION_BONUS + central * CENTRALITY + context * CONTEXT
 
 
 def vector_score(intent: Column, similarity: Column, entity_match: Column, degree: Column, content_length: Column) -> Column:
     """Score of a vector result: similarity, entity match, centrality and quality by length, whose bounds are exclusive."""
     n = content_length
-    quality = F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).when((n > 100) & (n < 2000), 0.8).when((n > 50) & (n < 3000), 0.5).otherwise(0.3)
-    central = F.least(F.lit(1.0), F.coalesce(degree, F.lit(0)) / 50.0)
+    quality = F.lit(OTHER_QUALITY)
+    for low, high, worth in reversed(QUALITIES):
+        quality = F.when((n > low) & (n < high), worth).otherwise(quality)
+    quality = F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(quality)
+    central = F.least(F.lit(1.0), F.coalesce(degree, F.lit(0)) / FULL_DEGREE)
     return similarity * weight(intent, 1) + entity_match * ENTITY_BONUS + central * CENTRALITY + quality * QUALITY
 
 
@@ -109,17 +132,21 @@ def merge_scores(results: DataFrame, keys: list[str]) -> DataFrame:
     """
     rows = F.array_sort(F.collect_list(F.struct("ord", "score", "source")))
     grouped = results.groupBy(*keys).agg(rows.alias("r"))
-    score = F.aggregate(F.slice("r", 2, 1_000_000), F.element_at("r", 1)["score"], lambda s, x: (s + x["score"]) / 2 * 1.1)
+    score = F.aggregate(F.slice("r", F.lit(2), F.size("r")), F.element_at("r", 1)["score"], lambda s, x: (s + x["score"]) / 2 * 1.1)
     source = F.when(F.size("r") > 1, "hybrid").otherwise(F.element_at("r", 1)["source"])
     return grouped.select(*keys, score.alias("score"), source.alias("source"), F.element_at("r", 1)["ord"].alias("first_ord"))
 
 
+def cap_per_file(ranked: DataFrame, file: list[str], per_file: int = PER_FILE) -> DataFrame:
+    """At most `per_file` rows of a file, best first."""
+    in_file = F.row_number().over(Window.partitionBy(*file).orderBy(F.desc("score"), F.col("first_ord")))
+    return ranked.withColumn("in_file", in_file).where(F.col("in_file") <= per_file).drop("in_file")
+
+
 def cap_results(ranked: DataFrame, group: list[str], file: str, per_file: int = PER_FILE, total: int = TOTAL) -> DataFrame:
     """At most `per_file` rows of a file and `total` of a group, best first; adds `place`."""
-    order = [F.desc("score"), F.col("first_ord")]
-    in_file = F.row_number().over(Window.partitionBy(*group, file).orderBy(*order))
-    kept = ranked.withColumn("in_file", in_file).where(F.col("in_file") <= per_file).drop("in_file")
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    kept = cap_per_file(ranked, [*group, file], per_file)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), F.col("first_ord")))
     return kept.withColumn("place", place).where(F.col("place") <= total)
 
 

@@ -41,8 +41,13 @@ def all_paths_k3(spark: SparkSession, d: str) -> DataFrame:
     return graph.paths_between(graph.call_edges(_entities(spark, d)), 3)
 
 
+def all_paths_k5(spark: SparkSession, d: str) -> DataFrame:
+    return graph.paths_between(graph.call_edges(_entities(spark, d)), 5)
+
+
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.paths_between(graph.call_edges(_entities(spark, d)), 3, 1).select("project", "origin", "reached", "depth", "route")
+    """The shortest chain of at most ten calls between any two entities."""
+    return graph.shortest_paths(graph.call_edges(_entities(spark, d)), 10)
 
 
 def full_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -57,9 +62,9 @@ def class_hierarchy_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def related_entities_d2(spark: SparkSession, d: str) -> DataFrame:
-    entities = _entities(spark, d)
-    edges = graph.call_edges(entities).unionByName(graph.extends_edges(entities).drop("ord"))
-    return graph.related(edges, 2)
+    """What lies within two edges of any kind of each entity whose id is divisible by 50."""
+    asked = graph.nodes(_entities(spark, d)).where("entity_id % 50 = 0").select("project", "qn")
+    return graph.related(_edges(spark, d), asked, 2)
 
 
 def file_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +147,7 @@ def edge_type_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    "find_callers find_callees transitive_callers_k3 transitive_callees_k3 all_paths_k3 shortest_path full_hierarchy class_hierarchy_chain related_entities_d2 file_entities file_dependencies "
+    "find_callers find_callees transitive_callers_k3 transitive_callees_k3 all_paths_k3 all_paths_k5 shortest_path full_hierarchy class_hierarchy_chain related_entities_d2 file_entities file_dependencies "
     "file_context implementation_context class_with_methods usage_patterns module_dependencies_theta entity_exact entity_fuzzy_rank search_by_name entity_centrality graph_stats label_counts edge_type_counts"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
@@ -184,9 +189,7 @@ def _trails(edges: str, hops: int) -> str:
     )
 
 
-_BOTH = """, linked AS (
-  SELECT project, src, dst FROM calls UNION SELECT project, src, dst FROM extends UNION SELECT project, dst, src FROM calls UNION SELECT project, dst, src FROM extends
-)
+_BOTH = """, linked AS (SELECT project, src, dst FROM edges WHERE src <> dst UNION SELECT project, dst, src FROM edges WHERE src <> dst)
 """
 _WORDS = ", words AS (SELECT DISTINCT word FROM (SELECT name AS word FROM imports UNION SELECT unnest(string_split(field_name, '_')) FROM metadata_generation_log) WHERE word <> '')\n"
 ORACLE = {
@@ -196,7 +199,9 @@ ORACLE = {
     "transitive_callees_k3": _trails("calls", 3) + "SELECT DISTINCT project, origin AS source, reached AS callee, depth FROM trails WHERE origin <> reached",
     "all_paths_k3": _trails("calls", 3)
     + "SELECT * FROM (SELECT project, origin, reached, depth, array_to_string(path, '>') AS route, row_number() OVER (PARTITION BY project, origin, reached ORDER BY depth, array_to_string(path, '>')) AS place FROM trails WHERE origin <> reached) WHERE place <= 10",
-    "shortest_path": _trails("calls", 3)
+    "all_paths_k5": _trails("calls", 5)
+    + "SELECT * FROM (SELECT project, origin, reached, depth, array_to_string(path, '>') AS route, row_number() OVER (PARTITION BY project, origin, reached ORDER BY depth, array_to_string(path, '>')) AS place FROM trails WHERE origin <> reached) WHERE place <= 10",
+    "shortest_path": _trails("calls", 10)
     + "SELECT project, origin, reached, depth, route FROM (SELECT project, origin, reached, depth, array_to_string(path, '>') AS route, row_number() OVER (PARTITION BY project, origin, reached ORDER BY depth, array_to_string(path, '>')) AS place FROM trails WHERE origin <> reached) WHERE place = 1",
     "full_hierarchy": _trails("extends", 5)
     + ", pairs AS (SELECT project, origin, reached, min(depth) AS depth FROM trails WHERE origin <> reached GROUP BY 1, 2, 3) SELECT project, origin AS class, reached AS other, depth, 'ancestor' AS direction FROM pairs UNION ALL SELECT project, reached, origin, depth, 'descendant' FROM pairs",
@@ -204,7 +209,8 @@ ORACLE = {
     + "SELECT project, qn AS class, qn AS chain FROM nodes WHERE label IN ('Class', 'Interface') UNION ALL SELECT project, origin, array_to_string(path, '>') FROM trails",
     "related_entities_d2": GRAPH
     + _BOTH
-    + "SELECT project, origin, reached, min(distance) AS distance FROM (SELECT project, src AS origin, dst AS reached, 1 AS distance FROM linked WHERE src <> dst UNION ALL SELECT a.project, a.src, b.dst, 2 FROM linked a JOIN linked b ON b.project = a.project AND b.src = a.dst WHERE a.src <> a.dst AND a.src <> b.dst) GROUP BY 1, 2, 3",
+    + """, asked AS (SELECT project, qn FROM nodes WHERE entity_id % 50 = 0), near AS (SELECT a.project, a.qn AS origin, l.dst AS reached FROM asked a JOIN linked l ON l.project = a.project AND l.src = a.qn)
+SELECT project, origin, reached, min(distance)::INT AS distance FROM (SELECT *, 1 AS distance FROM near UNION ALL SELECT n.project, n.origin, l.dst, 2 FROM near n JOIN linked l ON l.project = n.project AND l.src = n.reached WHERE l.dst <> n.origin) GROUP BY 1, 2, 3""",
     "file_entities": GRAPH + "SELECT project, file_path, qn, name, label, start_line, end_line FROM nodes WHERE label <> 'Method'",
     "file_dependencies": "SELECT project_name, file_path, name, alias, source, is_external, line_number FROM (SELECT DISTINCT import_id, project_name, file_path, name, alias, source, is_external, line_number FROM imports)",
     "file_context": GRAPH

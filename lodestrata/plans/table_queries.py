@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import graph, resolve, tables
 from lodestrata.plans.graph_queries import GRAPH
 from lodestrata.session import table
+from lodestrata.sources import extract
 
 DAY = "2025-07-01"
 
@@ -120,10 +121,9 @@ def call_chain_explanations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Sources of the import statements in the text of each file of a script language."""
-    rows = table(spark, d, "files").where(F.col("language").isin("javascript", "typescript", "jsx", "tsx") & F.col("content").isNotNull()).dropDuplicates(["file_id"])
-    sources = F.regexp_extract_all("content", F.lit(r"(?m)^import [^'\"\n]* from [\"']([^\"'\n]+)[\"']"), F.lit(1))
-    return rows.select("file_id", F.explode(sources).alias("source")).select("file_id", "source", (~F.startswith("source", F.lit("."))).alias("is_external"))
+    """Sources that the script files import, in any form; a file's language is that of its path where the row has none."""
+    found = extract.extract_script_imports(table(spark, d, "files")).select("file_id", "source", "line_number", "is_external").distinct()
+    return found.select("file_id", "source", "is_external")
 
 
 def module_qn(spark: SparkSession, d: str) -> DataFrame:
@@ -305,7 +305,8 @@ LEFT JOIN (SELECT project, function, parameter, min(ROW(-score, class)) AS b FRO
     "call_chain_explanations": GRAPH
     + "SELECT a.project, a.src AS origin, c.dst AS reached, array_to_string(list_transform([a.src, a.dst, b.dst, c.dst], lambda x: string_split(x, '.')[-1]), ' → ') AS explanation FROM calls a JOIN calls b ON b.project = a.project AND b.src = a.dst JOIN calls c ON c.project = b.project AND c.src = b.dst WHERE (a.src, a.dst) <> (b.src, b.dst) AND (b.src, b.dst) <> (c.src, c.dst) AND (a.src, a.dst) <> (c.src, c.dst)",
     "import_extract": _F
-    + "SELECT file_id, source, NOT starts_with(source, '.') AS is_external FROM (SELECT file_id, unnest(regexp_extract_all(content, '(?m)^import [^''\"\\n]* from [\"'']([^\"''\\n]+)[\"'']', 1)) AS source FROM f WHERE language IN ('javascript', 'typescript', 'jsx', 'tsx'))",
+    + """SELECT file_id, source, NOT starts_with(source, '.') AS is_external FROM (SELECT file_id, unnest(regexp_extract_all(content, '(?m)^[ \\t]*import\\s+(?:[^;''"]*?\\sfrom\\s*)?["'']([^"''\\n]+)["'']', 1)) AS source FROM f
+  WHERE coalesce(lower(language), CASE regexp_extract(lower(path), '\\.([^.]+)$', 1) WHEN 'js' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'cjs' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'mts' THEN 'typescript' WHEN 'cts' THEN 'typescript' WHEN 'jsx' THEN 'jsx' WHEN 'tsx' THEN 'tsx' END) IN ('javascript', 'typescript', 'jsx', 'tsx'))""",
     "module_qn": _F + f"SELECT file_id, {_MODULE} AS module FROM f",
     "registry_simple_name": GRAPH + "SELECT project, string_split(qn, '.')[-1] AS simple_name, count(*) AS n, min(qn) AS first FROM nodes GROUP BY 1, 2",
     "registry_prefix": GRAPH + "SELECT project, array_to_string(parts[1:n], '.') AS prefix, count(*) AS n FROM (SELECT project, string_split(qn, '.') AS parts, unnest(range(1, len(string_split(qn, '.')) + 1)) AS n FROM nodes) GROUP BY 1, 2",

@@ -49,17 +49,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder `spark.checkpoint.dir` that all machines share; where that is unset, and only on one machine (tests), a new one of its own."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def cut(df: DataFrame, *keys: str) -> DataFrame:
     """`df` written to the reliable checkpoint folder and read from there, hashed by `keys` if given.
 
     Without keys the parts stay as they are; unions that are cut again and again need keys, else
     their parts add up.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests) a
-    folder of this machine is used.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return (df.repartition(*keys) if keys else df).checkpoint(eager=True)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+from lodestrata.sources.languages import SCRIPTS, language_of
+from lodestrata.sources.scripts import script_entities, script_imports
+
 ENTITY_SCHEMA = (
     "file_id long, type string, name string, local_name string, signature string, docstring string, start_line int, end_line int, is_async boolean, is_static boolean, "
     "is_classmethod boolean, decorators array<string>, parent_class string, base_classes array<string>, calls array<string>"
@@ -51,52 +55,77 @@ def python_entities(content: str) -> list[dict]:
     return found
 
 
-def extract_python(files: DataFrame) -> DataFrame:
-    """Entities of the Python files (file_id, language, content); null content has none."""
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _extracted(files: DataFrame, languages: tuple[str, ...], make: Callable[[str], list[dict]]) -> DataFrame:
+    """Rows of ENTITY_SCHEMA that `make` finds in the contents of files of some languages; a redelivered file's rows count once."""
+    ship(files.sparkSession)
+    names = _names(ENTITY_SCHEMA)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in ENTITY_SCHEMA.split(", ")]
         for batch in batches:
-            rows = [{"file_id": file_id, **entity} for file_id, content in zip(batch["file_id"], batch["content"]) for entity in python_entities(content)]
+            rows = [{"file_id": file_id, **entity} for file_id, content in zip(batch["file_id"], batch["content"]) for entity in make(content)]
             yield pd.DataFrame(rows, columns=names)
 
-    return files.where("language = 'python' and content is not null").select("file_id", "content").mapInPandas(extract, ENTITY_SCHEMA)
+    texts = files.where(language_of().isin(*languages) & F.col("content").isNotNull()).select("file_id", "content")
+    return texts.mapInPandas(extract, ENTITY_SCHEMA).dropDuplicates(["file_id", "local_name", "start_line", "type"])
+
+
+def extract_python(files: DataFrame) -> DataFrame:
+    """Entities of the Python files (file_id, language, path, content); null content has none."""
+    return _extracted(files, ("python",), python_entities)
 
 
 def extract_script(files: DataFrame) -> DataFrame:
-    """(file_id, type, name) of what the script files declare at their top: functions, arrow functions, classes, interfaces, type aliases."""
-    text = F.col("content")
-    kinds = (
-        ("function", r"(?m)^(?:export (?:default )?)?(?:async )?function\*? ([\w$]+)"),
-        ("function", r"(?m)^(?:export )?(?:const|let|var) ([\w$]+)(?:: [^=\n]+)? = (?:async )?(?:\([^\n]*|[\w$]+ )=>"),
-        ("class", r"(?m)^(?:export (?:default )?)?(?:abstract )?class ([\w$]+)"),
-        ("interface", r"(?m)^(?:export )?interface ([\w$]+)"),
-        ("type_alias", r"(?m)^(?:export )?type ([\w$]+)[^=\n]* ="),
-    )
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda n, k=k: F.struct(F.lit(k).alias("type"), n.alias("name"))) for k, p in kinds]))
-    rows = files.where(F.col("language").isin("javascript", "typescript", "jsx", "tsx") & text.isNotNull())
-    return rows.select("file_id", F.explode(found).alias("e")).select("file_id", "e.type", "e.name")
+    """Entities of the script files: functions, arrow functions, classes with methods, interfaces, type aliases."""
+    return _extracted(files, SCRIPTS, script_entities)
 
 
-def extract_python_imports(files: DataFrame) -> DataFrame:
-    """(file_id, name, alias, source, is_external) of each import statement of the Python files that parse."""
+def extract_entities(files: DataFrame) -> DataFrame:
+    """Entities of all files."""
+    return extract_python(files).unionByName(extract_script(files))
+
+
+IMPORT_SCHEMA = "file_id long, name string, alias string, source string, is_external boolean, line_number int"
+
+
+def _imports(files: DataFrame, languages: tuple[str, ...], make: Callable[[str], list[tuple]]) -> DataFrame:
+    ship(files.sparkSession)
+    names = _names(IMPORT_SCHEMA)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        warnings.simplefilter("ignore")
         for batch in batches:
-            rows = []
-            for file_id, content in zip(batch["file_id"], batch["content"]):
-                try:
-                    tree = ast.parse(content)
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-                for node in ast.walk(tree):
-                    if isinstance(node, ast.Import):
-                        rows += [(file_id, a.name, a.asname, None, True, node.lineno) for a in node.names]
-                    elif isinstance(node, ast.ImportFrom):
-                        source = "." * node.level + (node.module or "")
-                        rows += [(file_id, a.name, a.asname, source, node.level == 0, node.lineno) for a in node.names]
-            yield pd.DataFrame(rows, columns=["file_id", "name", "alias", "source", "is_external", "line_number"])
-
-    schema = "file_id long, name string, alias string, source string, is_external boolean, line_number int"
-    return files.where("language = 'python' and content is not null").select("file_id", "content").mapInPandas(extract, schema)
+            rows = [(file_id, *found) for file_id, content in zip(batch["file_id"], batch["content"]) for found in make(content)]
+            yield pd.DataFrame(rows, columns=names)
+
+    texts = files.where(language_of().isin(*languages) & F.col("content").isNotNull()).select("file_id", "content")
+    return texts.mapInPandas(extract, IMPORT_SCHEMA).distinct()
+
+
+def python_imports(content: str) -> list[tuple[str | None, str | None, str | None, bool, int]]:
+    """(name, alias, source, is_external, line) of each name that a Python text imports; a text that doesn't parse has none."""
+    warnings.simplefilter("ignore")
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    found = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            found += [(a.name, a.asname, None, True, node.lineno) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            source = "." * node.level + (node.module or "")
+            found += [(a.name, a.asname, source, node.level == 0, node.lineno) for a in node.names]
+    return found
+
+
+def extract_python_imports(files: DataFrame) -> DataFrame:
+    """Imports of the Python files that parse."""
+    return _imports(files, ("python",), python_imports)
+
+
+def extract_script_imports(files: DataFrame) -> DataFrame:
+    """Imports of the script files."""
+    return _imports(files, SCRIPTS, script_imports)

@@ -5,11 +5,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.engine import QueryEngine
 from lodestrata.functions.models import hash_embedding
-from lodestrata.operators import chunks, graph, hierarchy, references, resolve, retrieval, tables
+from lodestrata.operators import chunks, graph, hierarchy, index, references, resolve, retrieval, tables
 from lodestrata.operators.substrings import containing
-from lodestrata.session import cut
+from lodestrata.session import cut, table
 from lodestrata.sources import extract, tree
+from lodestrata.sources.scripts import script_entities, script_imports
 from lodestrata.streaming import changes
 
 ENTITY = (
@@ -241,12 +243,138 @@ def test_python_extraction():
     assert extract.python_entities("def (") == []
 
 
+def test_script_extraction():
+    text = (
+        "import a, { b as c, type d } from './x';\nimport * as n from \"y\";\nimport 'side';\nimport type { T } from 't';\nimport {\n  e,\n  f,\n} from '../z';\nconst { g, h: i } = require('lib');\n// import no from 'no'\n"
+        "/** Says. */\nexport async function go<T>(a: { x: (y: number) => void }, b = '}'): Promise<{ z: T }> {\n  const s = `}`;\n  return n.run(c(a)).then(x => this.stop(x));\n}\n"
+        "export abstract class K<T> extends Base<T> implements One, Two.Three {\n  static async m(a) {\n    super.m(a);\n    if (a) { new Map(); }\n  }\n\n  /** Stays. */\n  private at = (x: number): void => {\n    go(x);\n  };\n  get size() { return 1; }\n  constructor() { super(); }\n  field = 3;\n}\n"
+        "interface I extends J, K<L> { a(): void }\ntype U<T> = { v: T } | null;\nconst twice = (x) => x * f(2);\nlet plain = 5;\nif (a) { function hidden() {} }\n"
+    )
+    found = {e["local_name"]: e for e in script_entities(text)}
+    assert {n: (e["type"], e["start_line"], e["end_line"]) for n, e in found.items()} == {
+        "go": ("function", 12, 15), "K": ("class", 16, 29), "K.m": ("method", 17, 20), "K.at": ("method", 23, 25), "K.size": ("method", 26, 26), "K.constructor": ("method", 27, 27),
+        "I": ("interface", 30, 30), "U": ("type_alias", 31, 31), "twice": ("function", 32, 32),
+    }
+    assert found["go"]["docstring"].strip() == "Says." and found["go"]["is_async"] and found["K.m"]["is_static"] and found["K.m"]["is_async"] and found["K.at"]["docstring"].strip() == "Stays."
+    assert found["K"]["base_classes"] == ["Base", "One", "Two.Three"] and found["I"]["base_classes"] == ["J", "K"]
+    assert found["go"]["calls"] == ["c", "n.run", "this.stop"] and found["K.m"]["calls"] == ["Map", "super.m"] and found["twice"]["calls"] == ["f"]
+    assert found["go"]["signature"].startswith("async function go<T>(a: { x") or found["go"]["signature"].startswith("export async function go")
+    assert script_imports(text) == [
+        ("a", None, "./x", False, 1), ("b", "c", "./x", False, 1), ("d", None, "./x", False, 1), ("*", "n", "y", True, 2), (None, None, "side", True, 3), ("T", None, "t", True, 4),
+        ("e", None, "../z", False, 5), ("f", None, "../z", False, 5), ("g", None, "lib", True, 9), ("h", "i", "lib", True, 9),
+    ]
+    assert script_entities("function f( {") is not None and script_entities("") == [] and script_imports("") == []
+
+
+def test_extraction_equals_the_tables(spark, data):
+    """What is found in the texts are the entities and imports that the tables have for them, line by line."""
+    files = table(spark, data, "files")
+    paths = files.select("file_id", F.col("path").alias("file_path")).distinct()
+    found = extract.extract_script(files).join(paths, "file_id").select("file_path", "type", "local_name", "start_line", "end_line")
+    script = F.col("file_path").rlike(r"\.[jt]sx?$")
+    held = files.where("content is not null").select(F.col("path").alias("file_path")).distinct()
+    local = F.when(F.col("type") == "method", F.substring_index("qualified_name", ".", -2)).otherwise(F.substring_index("qualified_name", ".", -1))
+    wanted = table(spark, data, "code_entities").where(script).join(held, "file_path", "left_semi").select("file_path", "type", local.alias("local_name"), "start_line", "end_line")
+    assert wanted.count() > 100 and wanted.join(found, ["file_path", "type", "local_name", "start_line", "end_line"], "left_anti").count() == 0
+    imports = extract.extract_script_imports(files).join(paths, "file_id").select("file_path", "name", "source", "line_number")
+    wanted = table(spark, data, "imports").where(script).join(held, "file_path", "left_semi").select("file_path", "name", "source", "line_number").distinct()
+    assert wanted.count() > 50 and wanted.subtract(imports).count() == 0
+
+
+def test_a_language_that_only_the_path_tells(spark):
+    rows = [(1, None, "/a/b.py", "def f(): pass\n"), (1, None, "/a/b.py", "def f(): pass\n"), (2, None, "/a/b.TS", "class K {}\n"), (3, "python", "/a/c", "class P: pass\n"), (4, None, "/a/d.md", "def no(): pass\n"), (5, None, None, "x")]
+    df = spark.createDataFrame(rows, "file_id long, language string, path string, content string")
+    assert sorted((r.file_id, r.name) for r in extract.extract_entities(df).collect()) == [(1, "f"), (2, "K"), (3, "P")]
+
+
 def test_chunks_cover_all_lines():
     lines = [f"word{i} and {i}" for i in range(50)] + ["x " * 40] + ["end"]
     windows = chunks.pack_lines(lines, 20, 6)
     assert windows[0][0] == 0 and windows[-1][1] == len(lines)
     assert all(b[0] <= a[1] and b[1] > a[1] for a, b in zip(windows, windows[1:]))
-    assert chunks.pack_lines([], 20, 6) == []
+    assert chunks.pack_lines([], 20, 6) == [] and chunks.count_tokens("<|endoftext|>") > 1
+    with pytest.raises(ValueError):
+        chunks.pack_lines(["a"], 5, 5)
+
+
+FILE = "file_id long, project_name string, path string, relative_path string, language string, content_hash string, content string, ingested_at timestamp"
+
+
+def file_row(file_id, name, content, day=1, digest=None):
+    import datetime as dt
+
+    return (file_id, "p", f"/srv/repos/p/{name}", name, None, digest or f"h{content}", content, dt.datetime(2025, 1, day))
+
+
+def test_chunks_and_their_index(spark):
+    files = spark.createDataFrame([file_row(1, "m.py", "x"), file_row(1, "m.py", "x", 2), file_row(2, "bare.ts", "let a = 1;\nlet b = 2;\n"), file_row(3, "none.py", None), file_row(4, "blank.py", " \n")], FILE)
+    entities = spark.createDataFrame([entity(1, "f"), entity(1, "f"), (*entity(2, "g")[:8], "\n".join(f"line {i} of g" for i in range(60)), *entity(2, "g")[9:])], ENTITY)
+    made = chunks.chunk_files(files, entities, 60, 10).cache()
+    got = {(r.entity_name, r.entity_type, r.language): (r.start_line, r.end_line) for r in made.collect()}
+    assert got["p.m.f", "function", "python"] == (1, 2) and got["bare.ts", "file", "typescript"] == (1, 3)
+    assert len([n for n, _, _ in got if n.startswith("p.m.g_part")]) > 4 and len(got) == made.count()
+    built = index.build_index(made).cache()
+    best = index.code_search(built, "line 59 of g", 1, language="python", project="p").first()
+    assert best.entity_name.startswith("p.m.g_part") and index.code_search(built, "x", 5, entity_type="class").count() == 0
+    stale = files.unionByName(spark.createDataFrame([file_row(5, "new.py", "y")], FILE))
+    # files without a chunk, for want of content, are asked about again
+    assert sorted(r.path.rpartition("/")[2] for r in index.stale_files(stale, made).collect()) == ["blank.py", "new.py", "none.py"]
+    near = index.similar_excluding_file(built, built.where("entity_name = 'p.m.f'"), 3).join(built.select(F.col("chunk_id").alias("vec_id"), "file_path"), "vec_id").collect()
+    assert {r.file_path for r in near} == {"/srv/repos/p/bare.ts"}
+    fresh = built.where("entity_type = 'file'").withColumn("content", F.lit("changed"))
+    swapped = index.replace_files(built, fresh, fresh.select("project_name", F.col("file_path").alias("path")))
+    assert swapped.count() == built.count() and swapped.where("content = 'changed'").count() == 1
+    wanted = spark.createDataFrame([("p", "/srv/repos/p/bare.ts", 2, 9), ("p", "/srv/repos/p/none.py", 1, 1)], "project_name string, path string, start_line int, end_line int")
+    assert [r.snippet for r in index.snippet(files, wanted).collect()] == ["let b = 2;\n"]
+
+
+def test_search_of_queries_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(120, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    before, retrieval.BLOCK_ROWS = retrieval.BLOCK_ROWS, 25
+    got = {(r.query_id, r.place): r.vec_id for r in retrieval.vector_top_of_queries(df, asked, 4).collect()}
+    retrieval.BLOCK_ROWS = before
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in (0, 50, 100):
+        order = sorted((i for i in range(120) if i != q), key=lambda i: (-round(float(unit[i] @ unit[q]), 6), i))
+        assert [got[q, place] for place in range(1, 5)] == order[:4]
+
+
+def test_shortest_paths_and_reach(spark):
+    names = [f"n{i}" for i in range(9)]
+    pairs = list(zip(names, names[1:])) + [("n0", "x"), ("x", "n2"), ("n8", "n0"), ("n3", "n3")]
+    edges = spark.createDataFrame([("p", a, b, "CALLS") for a, b in pairs], "project string, src string, dst string, kind string")
+    got = {(r.origin, r.reached): (r.depth, r.route) for r in graph.shortest_paths(edges, 10).collect()}
+    assert got["n0", "n8"] == (8, ">".join(names)) and got["n0", "n2"] == (2, "n0>n1>n2") and got["n1", "n0"] == (8, ">".join(names[1:]) + ">n0") and ("n3", "n3") not in got
+    assert {k for k, (d, _) in got.items() if d > 3} and len(graph.shortest_paths(edges, 3).where("depth > 3").collect()) == 0
+    origins = spark.createDataFrame([("p", "n4")], "project string, qn string")
+    assert {(r.reached, r.depth) for r in graph.reach(edges, origins, 3).collect()} == {("n5", 1), ("n6", 2), ("n7", 3)}
+    assert {(r.reached, r.depth) for r in graph.reach(edges, origins, 3, forward=False).collect()} == {("n3", 1), ("n2", 2), ("n1", 3), ("x", 3)}
+    assert {(r.reached, r.distance) for r in graph.related(edges, origins, 2).collect()} == {("n5", 1), ("n3", 1), ("n6", 2), ("n2", 2)}
+    with pytest.raises(ValueError):
+        graph.shortest_paths(edges, 11)
+
+
+def test_questions_are_answered_by_intent(spark, data):
+    engine = QueryEngine(spark, data)
+    method = graph.class_with_methods(engine.entities).orderBy(F.desc("methods"), "qn").first()
+    plan = engine.plan(f"what is the hierarchy of `{method.qn}`")
+    assert plan.intent == "find_hierarchy" and engine.primary(plan).first().qn == method.qn
+    kinds = {r.bucket for r in engine.gather(engine.plan(f"how does `{method.qn}` work"), engine.primary(plan)).collect()}
+    assert {"primary", "method"} <= kinds
+    part = method.qn.rpartition(".")[2][:-2]
+    fuzzy = engine.primary(engine.plan(f"where is `{part}`"))
+    assert fuzzy.where(F.col("qn") == method.qn).count() == 1
+    edge = graph.call_edges(engine.entities).orderBy("src", "dst").first()
+    assert {r.qn for r in engine.chain(edge.src, edge.dst).collect()} >= {edge.src, edge.dst}
+    found = engine.search(f"who calls `{edge.dst}`").collect()
+    assert edge.dst in {r.qn for r in found} and edge.src in {r.qn for r in found} and len(found) <= 15
+    with pytest.raises(ValueError):
+        engine.plan("  ")
 
 
 def test_embedding_is_a_unit_vector():
@@ -255,6 +383,41 @@ def test_embedding_is_a_unit_vector():
     assert set(hash_embedding(None)) == {0.0}
 
 
+def test_a_stream_that_starts_again_goes_on(spark, tmp_path):
+    schema = "key long, ts string, action string, payload string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: sorted(tuple(r) for r in changes.run_changes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "state")).collect())
+    put([(1, "2024-01-01", "changed", "a"), (2, "2024-01-01", "changed", "b")])
+    assert run() == [(1, "2024-01-01", "a"), (2, "2024-01-01", "b")]
+    put([(3, "2024-01-02", "changed", "c"), (2, "2024-01-03", "deleted", "d")])
+    assert run() == [(1, "2024-01-01", "a"), (3, "2024-01-02", "c")]
+    assert run() == [(1, "2024-01-01", "a"), (3, "2024-01-02", "c")]
+    put([(2, "2024-01-02", "changed", "late")])
+    assert run() == [(1, "2024-01-01", "a"), (3, "2024-01-02", "c")]
+
+
+def test_the_file_index_follows_changes(spark, tmp_path):
+    schema = spark.createDataFrame([], FILE).schema
+    put = lambda *rows: spark.createDataFrame(list(rows), FILE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    made = []
+
+    def lines(df):
+        made.extend(r.path for r in df.select("path").collect())
+        return df.select("path", F.explode(F.split("content", "\n")).alias("line"))
+
+    def run():
+        made.clear()
+        rows = changes.run_index(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "state"), lines)["rows"]
+        return sorted((r.path.rpartition("/")[2], r.line) for r in rows.collect())
+
+    put(file_row(1, "a.py", "x\ny"), file_row(2, "b.ts", "z"), file_row(3, "node_modules/c.js", "no"), file_row(4, "d.md", "no"))
+    assert run() == [("a.py", "x"), ("a.py", "y"), ("b.ts", "z")]
+    put(file_row(1, "a.py", "w", 2), file_row(2, "b.ts", "z", 2))
+    assert run() == [("a.py", "w"), ("b.ts", "z")] and set(made) == {"/srv/repos/p/a.py"}
+    put(file_row(2, "b.ts", None, 3, "gone"))
+    assert run() == [("a.py", "w")]
+
+
 def test_change_stream_equals_batch(spark, tmp_path):
     rows = [(1, "2024-01-01", "changed", "a"), (1, "2024-01-03", "deleted", "b"), (2, "2024-01-01", "changed", "c"), (2, "2024-01-02", "changed", "d"), (3, "2024-01-01", "deleted", "e"), (1, "2024-01-02", "changed", "late")]
     schema = "key long, ts string, action string, payload string"
