@@ -84,14 +84,17 @@ def resolve_hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
     empty_path = F.array().cast("array<long>")
     live = links.where("parent is not null").select("id", "parent", F.lit(1).cast("long").alias("hops"), *([empty_path.alias("via")] if with_path else []))
     zero = F.lit(0).cast("long")
-    done = links.where("parent is null").select("id", F.col("id").alias("root"), zero.alias("depth"), *([F.array("id").alias("path")] if with_path else []))
+    roots = links.where("parent is null").select("id", F.col("id").alias("root"), zero.alias("depth"), *([F.array("id").alias("path")] if with_path else []))
     if live.isEmpty():
-        return done
+        return roots
     rounds, loops = _contract(live, with_path)
     lost = F.lit(-1).cast("long")
     looped = reduce(DataFrame.union, loops)
-    done = cut(done.unionByName(looped.select("id", lost.alias("root"), lost.alias("depth"), *([F.lit(None).cast("array<long>").alias("path")] if with_path else []))), "id")
-    for records in reversed(rounds):
+    # roots without a child are asked about by no record
+    asked = links.where("parent is not null").select(F.col("parent").alias("id")).distinct()
+    apart = roots.join(asked, "id", "left_anti")
+    done = cut(roots.join(asked, "id", "left_semi").unionByName(looped.select("id", lost.alias("root"), lost.alias("depth"), *([F.lit(None).cast("array<long>").alias("path")] if with_path else []))), "id")
+    for nth, records in reversed(list(enumerate(rounds))):
         above = done.select(F.col("id").alias("parent"), "root", F.col("depth").alias("above"), *([F.col("path").alias("above_path")] if with_path else []))
         found = records.join(above, "parent").select(
             "id",
@@ -99,8 +102,9 @@ def resolve_hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
             F.when(F.col("above") < 0, lost).otherwise(F.col("above") + F.col("hops")).alias("depth"),
             *([F.concat("above_path", "via", F.array("id")).alias("path")] if with_path else []),
         )
-        done = cut(done.unionByName(found), "id")
-    return done
+        # the first round took most nodes; what it took is asked about by no other
+        done = done.unionByName(found) if nth == 0 else cut(done.unionByName(found), "id")
+    return done.unionByName(apart)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

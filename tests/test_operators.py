@@ -230,8 +230,13 @@ def test_tree_keeps_init_files(spark, tmp_path):
     (tmp_path / "node_modules" / "a.js").write_text("1")
     (tmp_path / "top.tsx").write_text("a\nb")
     (tmp_path / "note.md").write_text("no")
+    deep = tmp_path / "a" / "b" / "node_modules"
+    deep.mkdir(parents=True)
+    (deep / "no.py").write_text("1")
+    (deep.parent / "yes.py").write_text("1\n2\n")
+    (tmp_path / "empty").mkdir()
     got = {r.relative_path: (r.language, r.line_count) for r in tree.scan_tree(spark, str(tmp_path)).collect()}
-    assert got == {os.path.join("pkg", "__init__.py"): ("python", 2), "top.tsx": ("tsx", 2)}
+    assert got == {os.path.join("pkg", "__init__.py"): ("python", 2), "top.tsx": ("tsx", 2), os.path.join("a", "b", "yes.py"): ("python", 3)}
     with pytest.raises(ValueError):
         tree.scan_tree(spark, str(tmp_path / "none"))
 
