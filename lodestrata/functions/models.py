@@ -8,9 +8,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+
 DIMENSION = 64
 #: Texts that a model is given at once.
 BATCH = 100
@@ -46,6 +48,9 @@ def hash_embedding(text: str | None, dimension: int = DIMENSION) -> list[float]:
 
 def embed(text: Column, model: Callable[[list[str | None]], np.ndarray] = hash_embeddings, batch: int = BATCH) -> Column:
     """The vectors of a text column; the model is given `batch` texts at a time."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship(session)
 
     @F.pandas_udf("array<double>")
     def vectors(texts: pd.Series) -> pd.Series:

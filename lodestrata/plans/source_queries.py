@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.engine import QueryEngine
 from lodestrata.functions.models import embed, summarize
 from lodestrata.operators import chunks, graph, index
+from lodestrata.operators.resolve import SCRIPT_FILES
 from lodestrata.session import cut, shared_folder, table
 from lodestrata.sources import extract
 from lodestrata.streaming.changes import run_changes, run_index
@@ -24,6 +25,25 @@ def extract_script_entities(spark: SparkSession, d: str) -> DataFrame:
     return found.select("file_id", "type", "name", "local_name", "start_line", "end_line", "signature", F.array_join("base_classes", ",").alias("bases"), F.array_join("calls", ",").alias("calls"))
 
 
+def _indexed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Paths of the script files that a table has rows of."""
+    return table(spark, d, name).where(F.col("file_path").rlike(SCRIPT_FILES)).select(F.col("file_path").alias("path")).distinct()
+
+
+def script_entities_of_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """What is extracted from the script files that entities are known of: the table says the same."""
+    files = table(spark, d, "files").join(_indexed(spark, d, "code_entities"), "path", "left_semi")
+    found = extract.extract_script(files).join(files.select("file_id", F.col("path").alias("file_path")).distinct(), "file_id")
+    return found.select("file_path", "type", "local_name", "start_line", "end_line", "is_async", "is_static").distinct()
+
+
+def script_imports_of_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same of imports."""
+    files = table(spark, d, "files").join(_indexed(spark, d, "imports"), "path", "left_semi")
+    found = extract.extract_script_imports(files).join(files.select("file_id", F.col("path").alias("file_path")).distinct(), "file_id")
+    return found.select("file_path", "name", "alias", "source", "is_external", "line_number").distinct()
+
+
 def extract_imports(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "files")
     return extract.extract_python_imports(files).unionByName(extract.extract_script_imports(files))
@@ -121,7 +141,7 @@ def search_implementation(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    "extract_entities extract_script_entities extract_imports chunk_lines chunk_windows similar_excluding_file code_search summary_search stale_files snippets embed_hash entity_summaries stream_final_state stream_file_index "
+    "extract_entities extract_script_entities script_entities_of_indexed script_imports_of_indexed extract_imports chunk_lines chunk_windows similar_excluding_file code_search summary_search stale_files snippets embed_hash entity_summaries stream_final_state stream_file_index "
     "hybrid_search search_implementation"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
@@ -136,4 +156,7 @@ JOIN (SELECT project_name, path, arg_max(content, ingested_at) AS content FROM f
 held AS (SELECT h.* FROM hashes h JOIN e ON e.project_name = h.project_name AND e.file_path = h.path WHERE coalesce(e.signature, '') <> '' OR coalesce(e.docstring, '') <> '' OR coalesce(e.code, '') <> ''
   UNION SELECT f.project_name, f.path, f.content_hash FROM early f WHERE regexp_matches(f.content, '\\S') AND NOT EXISTS (SELECT 1 FROM e WHERE e.project_name = f.project_name AND e.file_path = f.path))
 SELECT DISTINCT project_name, path, content_hash FROM files f WHERE content_hash IS NOT NULL AND NOT EXISTS (SELECT 1 FROM held h WHERE h.project_name = f.project_name AND h.path = f.path AND h.content_hash = f.content_hash)""",
+    "script_entities_of_indexed": f"""SELECT DISTINCT file_path, type, CASE WHEN type = 'method' THEN array_to_string(string_split(qualified_name, '.')[-2:], '.') ELSE string_split(qualified_name, '.')[-1] END AS local_name, start_line, end_line, coalesce(is_async, false) AS is_async, coalesce(is_static, false) AS is_static
+FROM code_entities e WHERE regexp_matches(file_path, '{SCRIPT_FILES}') AND EXISTS (SELECT 1 FROM files f WHERE f.path = e.file_path AND coalesce(f.content, '') <> '')""",
+    "script_imports_of_indexed": f"SELECT DISTINCT file_path, name, alias, source, is_external, line_number FROM imports i WHERE regexp_matches(file_path, '{SCRIPT_FILES}') AND EXISTS (SELECT 1 FROM files f WHERE f.path = i.file_path AND coalesce(f.content, '') <> '')",
 }
