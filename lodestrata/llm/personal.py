@@ -227,7 +227,7 @@ class Graph:
             at(form, -3), at(form, -2), at(form, -1), at(form, 1), at(form, 2), at(form, 3),
             pair(at(form, -1), form), pair(form, at(form, 1)), pair(at(form, -2), at(form, -1)), pair(at(form, 1), at(form, 2)),
             pair(at(street, -1), shape), pair(at(street, 1), shape), pair(at(street, 2), shape), pair(at(street, -2), shape), pair(shapes, shape), pair(pair(at(form, -1), shape), at(form, 1)),
-            pair(pair(at(shape, -2), at(shape, -1)), shape), pair(pair(at(shape, 1), at(shape, 2)), shape),
+            pair(pair(at(shape, -2), at(shape, -1)), shape), pair(pair(at(shape, 1), at(shape, 2)), shape), pair(at(word, -1), shape), pair(word, at(form, 1)),
         ]
         buckets = np.empty((len(shape), len(found)), dtype=np.int32)
         for place, values in enumerate(found):
