@@ -18,18 +18,19 @@ from lodestrata.session import cut
 MAX_ROUNDS = 200
 
 
-def _coin(column: str) -> Column:
-    """A bit of each node that changes from round to round; the round is a column, so that all rounds run the same code."""
-    return F.xxhash64(F.col(column), F.col("turn")).bitwiseAND(F.lit(1).cast("long"))
+def _draw(column: str) -> Column:
+    """A number of each node that changes from round to round; the round is a column, so that all rounds run the same code."""
+    return F.xxhash64(F.col(column), F.col("turn"))
 
 
 def _contract(live: DataFrame, with_path: bool) -> tuple[list[DataFrame], list[DataFrame]]:
     """The records of each round, oldest first, and the nodes that stand for a loop.
 
     A round finds each node's number of children. Nodes without any are raked. Of the nodes with
-    one child an independent set (own coin 1, parent's coin 0) is spliced out: the child takes
-    over the parent and the length of the link, also if it is raked in the same round, so that
-    a record's parent is always a node that lives on.
+    one child an independent set (those that draw more than parent and child, a third of a chain and
+    one of any two that are each other's parents) is spliced out: the child takes over the parent
+    and the length of the link, also if it is raked in the same round, so that a record's parent is
+    always a node that lives on.
     """
     rounds: list[DataFrame] = []
     loops: list[DataFrame] = []
@@ -39,7 +40,7 @@ def _contract(live: DataFrame, with_path: bool) -> tuple[list[DataFrame], list[D
         kind = (
             F.when(F.col("parent") == F.col("id"), "loop")
             .when(F.col("n").isNull(), "leaf")
-            .when((F.col("n") == 1) & (_coin("id") == 1) & (_coin("parent") == 0), "chain")
+            .when((F.col("n") == 1) & (_draw("id") > _draw("parent")) & (_draw("id") > _draw("child")), "chain")
             .otherwise("stays")
         )
         step = cut(live.join(children, "id", "left").withColumn("kind", kind).drop("n"), "id")
