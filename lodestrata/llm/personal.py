@@ -32,7 +32,7 @@ FIT_DOCUMENTS = 1500
 LEXICON_BITS = 20
 #: Weights are known by the bucket of their feature's hash.
 WEIGHT_BITS = 17
-ROUNDS, EPOCHS, FIT_BATCH = 6, 8, 50
+ROUNDS, EPOCHS, FIT_BATCH = 4, 8, 50
 #: Part of the words that a pass withholds, and the part of the documents in which a word must occur not to be withheld.
 WITHHELD, COMMON = 0.5, 0.004
 DOCUMENTS_A_GRAPH = 128
@@ -57,12 +57,15 @@ STREET_ENDS = ("straße", "strasse", "weg", "gasse", "platz", "allee", "ufer", "
 ID_CUES = frozenset("ssn social security passport pass tax taxid id national insurance number personalausweis dni nif licence license driver's employee customer fixture field form doc_no doc_id steuer steuernummer ausweis identity citizen nino record".split())
 PHONE_CUES = frozenset("tel phone call telefon teléfono téléphone au 电话 fax mobile contact ask whether back tel:".split())
 
+#: The first form is that of most tokens: a word that goes on with nothing and can't begin an identity number.
 TOKEN = re.compile(
-    rf"(?P<email>{EMAIL})|(?=[A-Z\d])(?<![\w.@+/-])(?P<id>{'|'.join(IDS.values())})(?![\w-]|\.\d)|(?=[+(\d])(?<![\w.@+-])(?P<phone>{PHONE})(?!\w|[.:]\d)"
+    rf"(?P<plain>(?![A-Z]{{1,5}} ?\d){_LETTER}+(?=[\s,;:()\[\]\"，。、]))|(?P<email>{EMAIL})|(?=[A-Z\d])(?<![\w.@+/-])(?P<id>{'|'.join(IDS.values())})(?![\w-]|\.\d)|(?=[+(\d])(?<![\w.@+-])(?P<phone>{PHONE})(?!\w|[.:]\d)"
     rf"|(?P<initial>{_LETTER}\.(?=\s?{_LETTER}))|(?P<word>{_LETTER}+(?:['’\-]{_LETTER}+)*+)|(?P<number>\d+[A-Za-z]?(?!\w))|(?P<mixed>[぀-ヿ一-鿿]+|[^\W぀-ヿ一-鿿]+)|(?P<mark>[^\s\w])"
 )
 KINDS = ("email", "id", "phone", "initial", "word", "number", "mixed", "mark")
 EMAIL_KIND, ID_KIND, PHONE_KIND, INITIAL_KIND, WORD_KIND, NUMBER_KIND, MIXED_KIND, MARK_KIND = range(8)
+#: Kinds of the pattern's groups, from 1.
+KIND_OF = (None, WORD_KIND, *range(8))
 
 
 def fold(word: str) -> str:
@@ -156,7 +159,7 @@ _SHAPES = {name: _code(name) for name in ("Aa", "AA", "aa")}
 
 def spans_of(matches: Iterable[re.Match]) -> list[tuple[int, int, int]]:
     """(begin, end, kind) of tokens."""
-    return [(m.start(), m.end(), m.lastindex - 1) for m in matches]
+    return [(m.start(), m.end(), KIND_OF[m.lastindex]) for m in matches]
 
 
 def tokenize(text: str) -> list[tuple[int, int, int]]:
@@ -169,7 +172,7 @@ class Graph:
 
     def __init__(self, texts: list[str | None], table: Table):
         table.forget()
-        by_kind = [None, *table.rows]
+        by_kind = [None, *[table.rows[kind] for kind in KIND_OF[1:]]]
         pad = table.rows[MARK_KIND][""]
         rows, self.matches, self.begins = [pad] * PAD, [], []
         for text in texts:
