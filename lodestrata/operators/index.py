@@ -54,8 +54,8 @@ def code_search(index: DataFrame, question: str, k: int = 10, language: str | No
 def similar_excluding_file(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, vec_id, score, place): the k chunks nearest to each chunk of `queries` (chunk_id, vector, file_path), none of its own file."""
     vectors = index.select(F.col("chunk_id").alias("vec_id"), F.col("vector").alias("embedding"), "file_path")
-    asked = queries.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query"), F.col("file_path").alias("own"))
-    return vector_top_of_queries(vectors, asked, k, where=F.col("file_path") != F.col("own"))
+    asked = queries.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query"), "file_path")
+    return vector_top_of_queries(vectors, asked, k, differ="file_path")
 
 
 def summary_index(summaries: DataFrame, model: Model = hash_embeddings) -> DataFrame:

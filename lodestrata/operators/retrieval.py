@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+
 #: Weights of graph and vector evidence by intent, and the base weights of the other intents.
 INTENT_WEIGHTS = {
     "find_callers": (0.8, 0.2), "find_callees": (0.8, 0.2), "find_call_chain": (0.9, 0.1), "find_hierarchy": (0.85, 0.15), "find_usages": (0.7, 0.3), "find_dependencies": (0.75, 0.25),
@@ -51,26 +56,51 @@ def vector_top(vectors: DataFrame, query: list[float], k: int = 10, where: Colum
     return rows.select("vec_id", "label", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-#: Vectors that a block of a search holds, about.
-BLOCK_ROWS = 20_000
+#: Vectors and queries that a block of a search holds, about.
+BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
+
+
+def _best_of_block(k: int, same: str | None, differ: str | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best rows of a block of vectors for each query of a block of queries."""
+
+    def best(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(vectors) and len(asked):
+            sides = [np.asarray(list(rows), dtype=np.float64) for rows in (vectors["embedding"], asked["query"])]
+            lengths = [np.linalg.norm(x, axis=1) for x in sides]
+            ids = vectors["vec_id"].to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = (sides[1] @ sides[0].T) / np.outer(lengths[1], lengths[0])
+            scores = np.sign(scores) * np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6
+            barred = asked["query_id"].to_numpy()[:, None] == ids[None]
+            for column, equal in ((same, False), (differ, True)):
+                if column:
+                    barred |= (asked[f"asked_{column}"].to_numpy()[:, None] == vectors[column].to_numpy()[None]) == equal
+            for at, query in enumerate(asked["query_id"]):
+                open_to = np.flatnonzero(~barred[at])
+                row = scores[at, open_to]
+                order = np.lexsort((ids[open_to], -np.nan_to_num(row, nan=-np.inf)))[:k]
+                parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[open_to][order], "score": row[order]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+
+    return best
 
 
-def vector_top_of_queries(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, where: Column | None = None) -> DataFrame:
-    """The k nearest vectors of each query (query_id, query) among all rows, the query itself excepted.
+def vector_top_of_queries(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, differ: str | None = None) -> DataFrame:
+    """(query_id, vec_id, score, place): the k nearest vectors of each query (query_id, query) among all rows, the query itself excepted.
 
-    The queries go to every block of the vectors, of which there are the more the more vectors there
-    are; each block keeps its k best before they are merged, so what moves is k rows per query and
-    block. `same` names a column that must be equal on both sides, `where` a condition on a pair.
+    Each block of queries meets each block of vectors, and there are the more of both the more rows
+    there are; a meeting keeps its k best before they are merged, so what moves on is k rows per query and
+    block. `same` names a column that must be equal on both sides, `differ` one that must not. A zero
+    vector is nearest to none and has no score.
     """
-    blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
-    sides = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    keys = ["block"] + ([same] if same else [])
-    pairs = sides.join(asked, keys).where("vec_id != query_id")
-    pairs = pairs if where is None else pairs.where(where)
-    scored = pairs.select("query_id", "block", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-    best = F.row_number().over(Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "vec_id"))
-    kept = scored.withColumn("place", best).where(F.col("place") <= k).drop("place", "block")
+    columns = [c for c in (same, differ) if c]
+    blocks, rounds = (max(1, math.ceil(df.count() / size)) for df, size in ((vectors, BLOCK_ROWS), (queries, BLOCK_QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    sides = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", *columns, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).withColumn("turn", every(rounds))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query", *[F.col(c).alias(f"asked_{c}") for c in columns], F.pmod(F.xxhash64("query_id"), F.lit(rounds)).alias("turn")).withColumn("block", every(blocks))
+    ship(vectors.sparkSession)
+    kept = sides.groupBy("block", "turn").cogroup(asked.groupBy("block", "turn")).applyInPandas(_best_of_block(k, same, differ), "query_id long, vec_id long, score double")
     merged = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return kept.withColumn("place", merged).where(F.col("place") <= k)
 

@@ -340,9 +340,9 @@ def test_search_of_queries_against_brute_force(spark):
     vectors = rng.normal(size=(120, 5))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     asked = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    before, retrieval.BLOCK_ROWS = retrieval.BLOCK_ROWS, 25
+    before, retrieval.BLOCK_ROWS, retrieval.BLOCK_QUERIES = (retrieval.BLOCK_ROWS, retrieval.BLOCK_QUERIES), 25, 2
     got = {(r.query_id, r.place): r.vec_id for r in retrieval.vector_top_of_queries(df, asked, 4).collect()}
-    retrieval.BLOCK_ROWS = before
+    retrieval.BLOCK_ROWS, retrieval.BLOCK_QUERIES = before
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     for q in (0, 50, 100):
         order = sorted((i for i in range(120) if i != q), key=lambda i: (-round(float(unit[i] @ unit[q]), 6), i))
