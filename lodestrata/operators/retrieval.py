@@ -154,17 +154,23 @@ def vector_score(intent: Column, similarity: Column, entity_match: Column, degre
     return similarity * weight(intent, 1) + entity_match * ENTITY_BONUS + central * CENTRALITY + quality * QUALITY
 
 
+#: Fixed value: what the merged score of two keeps of each, half of it and a tenth more.
+MERGED = 0.5 * 1.1
+
+
 def merge_scores(results: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: results in order of `ord` are folded, each later score s giving (score + s) / 2 * 1.1.
 
-    The fold isn't associative, so a key's scores are sorted first. `source` is hybrid for several,
-    `first_ord` the place of the first.
+    The fold isn't associative, but each score's share of it is known from its place among the
+    key's: so places are numbered and shares added up, and no key's rows are held together.
+    `source` is hybrid for several, `first_ord` the place of the first.
     """
-    rows = F.array_sort(F.collect_list(F.struct("ord", "score", "source")))
-    grouped = results.groupBy(*keys).agg(rows.alias("r"))
-    score = F.aggregate(F.slice("r", F.lit(2), F.size("r")), F.element_at("r", 1)["score"], lambda s, x: (s + x["score"]) / 2 * 1.1)
-    source = F.when(F.size("r") > 1, "hybrid").otherwise(F.element_at("r", 1)["source"])
-    return grouped.select(*keys, score.alias("score"), source.alias("source"), F.element_at("r", 1)["ord"].alias("first_ord"))
+    whole = Window.partitionBy(*keys)
+    placed = results.withColumns({"_place": F.row_number().over(whole.orderBy("ord", "score", "source")), "_n": F.count("*").over(whole)})
+    share = F.pow(F.lit(MERGED), F.col("_n") - F.col("_place") + (F.col("_place") > 1).cast("int"))
+    first = lambda c: F.max(F.when(F.col("_place") == 1, F.col(c)))
+    grouped = placed.groupBy(*keys).agg(F.sum(F.col("score") * share).alias("score"), F.when(F.max("_n") > 1, "hybrid").otherwise(first("source")).alias("source"), first("ord").alias("first_ord"))
+    return grouped.select(*keys, "score", "source", "first_ord")
 
 
 def cap_per_file(ranked: DataFrame, file: list[str], per_file: int = PER_FILE) -> DataFrame:
