@@ -349,6 +349,33 @@ def test_search_of_queries_against_brute_force(spark):
         assert [got[q, place] for place in range(1, 5)] == order[:4]
 
 
+def test_block_of_search_is_whole_and_quick():
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    whole = np.round(rng.normal(size=(20_000, 8)))
+    whole[rng.random(len(whole)) < 0.01] = 0
+    vectors = pd.DataFrame({"vec_id": rng.permutation(len(whole)), "embedding": list(whole), "file_path": [f"/srv/repos/p/{i}.py" for i in rng.integers(0, 40, len(whole))], "label": rng.integers(0, 3, len(whole))})
+    queries = vectors[:2000].rename(columns={"vec_id": "query_id", "embedding": "query", "file_path": "asked_file_path", "label": "asked_label"})
+    began = time.process_time()
+    found = retrieval._best_of_block(5, "label", "file_path")(vectors, queries)
+    # ten CPU seconds when names of files were compared pair by pair and all rows of a query were sorted
+    assert (took := time.process_time() - began) < 5, took
+    assert set(found.groupby("query_id").size()) == {5} and found["query_id"].nunique() == len(queries)
+    lengths = np.linalg.norm(whole, axis=1)
+    for at in (*range(0, 2000, 100), *np.flatnonzero(lengths[:2000] == 0)[:3]):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.floor(np.abs(d := whole @ whole[at] / (lengths * lengths[at])) * 1e6 + 0.5) / 1e6 * np.sign(d)
+        own = vectors.iloc[at]
+        rows = pd.DataFrame({"vec_id": vectors["vec_id"], "score": score})[(vectors["label"] == own["label"]) & (vectors["file_path"] != own["file_path"])]
+        best = rows.sort_values(["score", "vec_id"], ascending=[False, True], na_position="last")[:5]
+        mine = found[found["query_id"] == own["vec_id"]].sort_values(["score", "vec_id"], ascending=[False, True], na_position="last")
+        assert list(mine["vec_id"]) == list(best["vec_id"]) and np.allclose(mine["score"], best["score"], equal_nan=True)
+
+
 def test_shortest_paths_and_reach(spark):
     names = [f"n{i}" for i in range(9)]
     pairs = list(zip(names, names[1:])) + [("n0", "x"), ("x", "n2"), ("n8", "n0"), ("n3", "n3")]
