@@ -1,8 +1,8 @@
 """Functions paired with their documentation.
 
-Where a record has no docstring its source gives it: recursive patterns capture comment, signature
-and balanced body of the function together, with strings, comments and regular expressions
-protected; what they don't match as a whole gives nothing. Documentation that says nothing beyond the signature is filtered out.
+Recursive patterns capture comment, signature and balanced body of each function together, with
+strings, comments and regular expressions protected: from its file, or where that doesn't hold the
+record's docstring, from docstring and code of the record. Documentation that says nothing beyond the signature is filtered out.
 """
 
 from __future__ import annotations
@@ -19,23 +19,23 @@ from lodestrata.session import ship
 SCRIPT_FUNCTION = regex.compile(
     r"""
     (?(DEFINE)
-      (?P<string>"(?:[^"\\\n]|\\.)*+" | '(?:[^'\\\n]|\\.)*+' | `(?:[^`\\$]|\\.|\$(?!\{)|\$(?&braces))*+`)
-      (?P<remark>//[^\n]*+ | /\*(?:[^*]|\*(?!/))*+\*/)
+      (?P<string>"(?:[^"\\\n]++|\\.)*+" | '(?:[^'\\\n]++|\\.)*+' | `(?:[^`\\$]++|\\.|\$(?!\{)|\$(?&braces))*+`)
+      (?P<remark>//[^\n]*+ | /\*(?:[^*]++|\*(?!/))*+\*/)
       (?P<pattern>(?<=[=(,:;!&|?\[{}]\s*+)/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/\w*+)
       (?P<attributes>(?:\s++[\w:-]++(?:=(?:"[^"]*+"|'[^']*+'|(?&braces)))?+|\s*+(?&braces))*+\s*+)
-      (?P<element><(?:[A-Za-z][\w.:-]*+)?(?&attributes)(?:/>|>(?:[^<{]|(?&braces)|(?&element))*+</[\w.:-]*+\s*+>))
-      (?P<inner>(?&string)|(?&remark)|(?&pattern)|(?<=(?:[=(,:;!&|?\[{}>]|\breturn)\s*)(?&element)|(?&braces)|(?&round)|(?&square)|[^][(){}"'`/]|/)
+      (?P<element><(?:[A-Za-z][\w.:-]*+)?(?&attributes)(?:/>|>(?:[^<{]++|(?&braces)|(?&element))*+</[\w.:-]*+\s*+>))
+      (?P<inner>[^][(){}"'`/<]++|(?&braces)|(?&round)|(?&square)|(?&string)|(?=/)(?:(?&remark)|(?&pattern)|/)|(?=<)(?:(?<=(?:[=(,:;!&|?\[{}>]|\breturn)\s*)(?&element)|<))
       (?P<braces>\{(?&inner)*+\})
       (?P<round>\((?&inner)*+\))
       (?P<square>\[(?&inner)*+\])
       (?P<angle><(?:[^<>(){}\[\]]|=>|(?&round)|(?&square)|(?&braces)|(?&angle))*+>)
       (?P<type>(?:[^\n{}()\[\]<>;="'`]|(?&string)|(?&round)(?:\s*+=>)?+|(?&square)|(?&angle)|(?&braces)(?=\s*+(?:\{|=>|[|&\[])))++)
     )
-    (?P<comment>/\*\*(?:[^*]|\*(?!/))*+\*/)[ \t]*\r?\n[ \t]*
+    (?P<comment>/\*\*(?:[^*]++|\*(?!/))*+\*/)[ \t]*\r?\n[ \t]*
     (?P<code>
       (?P<signature>(?:(?:export|default|declare|public|private|protected|static|override|abstract|readonly|async|get|set|function|const|let|var)\b\*?\s*|\*\s*|@[\w.]+(?&round)?\s*)*+
         [\w$\#]++ (?:[^\n({=;]|(?&square)|(?&angle))*? (?: =\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*)?\s* )? (?:(?&angle)\s*)? (?:(?&round)|[\w$]+(?=\s*=>)) (?:\s*+:\s*+(?&type))?)
-      (?:\s*+(?:=>\s*+)?(?P<body>(?&braces)) | \s*+=>\s*+(?P<expression>(?:(?&string)|(?&round)|(?&square)|(?&braces)|[^\n;(){}\[\]"'`])++) | (?=\s*+(?:;|\n|\Z)))
+      (?:\s*+(?:=>\s*+)?(?P<body>(?&braces)) | \s*+=>\s*+(?P<expression>(?:(?&string)|(?&round)|(?&square)|(?&braces)|[^\n;(){}\[\]"'`])++) | (?=\s*+(?:;|\n|\Z)))(?:[ \t]*+;)?+
     )
     """,
     regex.X | regex.S,
@@ -43,11 +43,11 @@ SCRIPT_FUNCTION = regex.compile(
 PYTHON_FUNCTION = regex.compile(
     r"""
     (?(DEFINE)
-      (?P<long>\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3} | '{3}(?:[^'\\]|\\.|'(?!''))*+'{3})
-      (?P<string>(?&long) | "(?:[^"\\\n]|\\.)*+" | '(?:[^'\\\n]|\\.)*+')
-      (?P<inner>(?&string)|\#[^\n]*+|(?&brackets)|[^][(){}"'\#])
+      (?P<long>\"{3}(?:[^"\\]++|\\.|"(?!""))*+\"{3} | '{3}(?:[^'\\]++|\\.|'(?!''))*+'{3})
+      (?P<string>(?&long) | "(?:[^"\\\n]++|\\.)*+" | '(?:[^'\\\n]++|\\.)*+')
+      (?P<inner>[^][(){}"'\#]++|(?&string)|\#[^\n]*+|(?&brackets))
       (?P<brackets>\((?&inner)*+\)|\[(?&inner)*+\]|\{(?&inner)*+\})
-      (?P<rest>(?:(?&string)|(?&brackets)|\#[^\n]*+|\\\r?\n|[^\n])*+)
+      (?P<rest>(?:[^][(){}"'\#\\\n]++|(?&string)|(?&brackets)|\#[^\n]*+|\\\r?\n|[^\n])*+)
     )
     (?P<indent>[ \t]*+)
     (?P<code>
@@ -106,6 +106,11 @@ def _from_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"entity_id": pd.Series(ids, dtype="int64"), "comment": pd.Series([c for c, _ in found], dtype="object"), "captured": pd.Series([c for _, c in found], dtype="object")})
 
 
+def _is_python(path: str) -> Column:
+    """Whether a path is a python file's."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin("py", "pyi")
+
+
 def functions_from_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(entity_id, comment, captured) for rows (entity_id, project_name, file_path, start_line) whose file gives comment, signature and body.
 
@@ -114,7 +119,7 @@ def functions_from_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     ship(files.sparkSession)
     lists = wanted.groupBy("project_name", "file_path").agg(F.collect_set(F.struct("entity_id", "start_line")).alias("wanted"))
     texts = files.where("content is not null and content != ''").select(
-        "project_name", F.col("path").alias("file_path"), "content", (F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("py", "pyi")).alias("python")
+        "project_name", F.col("path").alias("file_path"), "content", _is_python("path").alias("python")
     )
     rows = texts.join(lists, ["project_name", "file_path"]).select("content", "python", "wanted")
     return rows.mapInPandas(_from_files, "entity_id long, comment string, captured string").dropDuplicates(["entity_id"])
@@ -135,16 +140,47 @@ def says_something(doc: Column, name: Column, owner: Column, signature: Column)
     return F.coalesce(F.size(F.array_except(_stems(doc), known)) > 0, F.lit(False))
 
 
+def _same_text(a: Column, b: Column) -> Column:
+    """Whether two texts differ in nothing but white space; null is the same as none."""
+    plain = lambda c: F.regexp_replace(c, r"\s+", "")
+    return F.coalesce(plain(a) == plain(b), F.lit(False))
+
+
+def record_function(docstring: str, code: str, python: bool) -> str | None:
+    """The code of a record, from signature to body, by the match of a text made of its docstring and code; None without a match.
+
+    A script's docstring becomes the comment above the code. Python's code holds its own.
+    """
+    if python:
+        found = function_at(code, 0, True)
+    else:
+        comment = f"/** {docstring.replace('*/', '* /')} */\n"
+        found = function_at(comment + code, len(comment), False)
+    return found[1] if found else None
+
+
+def _captured_of_records(docstring: Column, code: Column, python: Column) -> Column:
+    """`record_function` of columns; null where the code is null."""
+
+    @F.pandas_udf("string")
+    def captured(docstrings: pd.Series, codes: pd.Series, pythons: pd.Series) -> pd.Series:
+        return pd.Series([record_function(d, c, bool(p)) if d is not None and c is not None else None for d, c, p in zip(docstrings, codes, pythons)], dtype="object")
+
+    return captured(docstring, code, python)
+
+
 def function_pairs(entities: DataFrame, files: DataFrame) -> DataFrame:
     """(entity_id, code, documentation) of the functions and methods with documentation of substance.
 
-    * The documentation is `docstring`; where that is null or blank, the string that opens the body
-      (python) or the /** */ comment that ends on the line above (others) in the file's content. A
-      file that is missing, null or empty gives none.
+    * Every function is captured from its file in one match: the string that opens the body (python)
+      or the /** */ comment that ends on the line above (others), signature and body. The
+      documentation is `docstring`; where that is null or blank, the match's comment, and without a match there is no pair.
+    * `code` is the match's. Where its comment isn't the docstring, as the file is missing, empty or
+      another version, docstring and code of the record are matched, and what no pattern matches
+      keeps the record's code.
     * Blank text, punctuation, marks for later, fillers and words of the name, class, parameters and
       their types are nothing of substance; one other word is enough.
-    * `code` is the record's, or where that is null what the file's match holds from signature to
-      body. Repeated rows count once, deleted ones count, without rows there are none.
+    * Repeated rows count once, deleted ones count, without rows there are none.
     """
     functions = entities.where(F.col("type").isin("function", "method") & F.col("entity_id").isNotNull())
     head = F.regexp_extract("code", r"^(?:\s*@[^\n]*\n)*([^\n]*)", 1)
@@ -155,11 +191,11 @@ def function_pairs(entities: DataFrame, files: DataFrame) -> DataFrame:
         F.concat_ws(" ", "signature", head).alias("heading"),
         (F.coalesce(own, F.lit("")) == "").alias("bare"),
     )
-    spoken = rows.where(~F.col("bare") & says_something(F.col("docstring"), F.col("name"), F.col("owner"), F.col("heading")))
-    bare = rows.where("bare")
-    captures = functions_from_files(bare.select("entity_id", "project_name", "file_path", "start_line"), files)
-    found = bare.drop("docstring").join(captures, "entity_id").where(says_something(F.col("comment"), F.col("name"), F.col("owner"), F.col("heading")))
-    pairs = spoken.select("entity_id", "code", F.col("docstring").alias("documentation")).unionByName(
-        found.select("entity_id", F.coalesce("code", "captured").alias("code"), F.col("comment").alias("documentation"))
-    )
+    says = lambda doc: says_something(F.col(doc), F.col("name"), F.col("owner"), F.col("heading"))
+    captures = functions_from_files(rows.select("entity_id", "project_name", "file_path", "start_line"), files)
+    told = rows.where(F.col("bare") | says("docstring")).join(captures, "entity_id", "left").where(~F.col("bare") | says("comment"))
+    held = told.withColumn("held", F.col("bare") | _same_text(F.col("docstring"), F.col("comment")))
+    rest = _captured_of_records(F.col("docstring"), F.when(~F.col("held"), F.col("code")), _is_python("file_path"))
+    code = F.when(F.col("held"), F.col("captured")).otherwise(F.coalesce(rest, "code"))
+    pairs = held.select("entity_id", code.alias("code"), F.when(F.col("bare"), F.col("comment")).otherwise(F.col("docstring")).alias("documentation"))
     return pairs.dropDuplicates(["entity_id"])

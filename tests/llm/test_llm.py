@@ -301,6 +301,27 @@ def test_documentation_cases(spark):
     assert docpairs.function_pairs(entities.limit(0), files).count() == 0
 
 
+def test_pairs_come_from_one_match(spark):
+    script = "/**\n * Never blocks.\n */\nexport async function wait(a) {\n  return `}`;\n}\nlet rest = 1;\n"
+    code = "def f(a):\n    \"\"\"Never raises.\"\"\"\n    return ')'\n\nx = 1\n"
+    files = spark.createDataFrame([file_row(1, script, "javascript", path="a.js"), file_row(2, code, path="a.py"), file_row(3, "/** Was other. */\nfunction old(a) {}\n", path="b.js")], FILE)
+    schema = "entity_id long, project_name string, file_path string, type string, name string, qualified_name string, signature string, docstring string, code string, start_line int, parent_class string"
+    at = lambda i, f, line, doc, code: (i, "p", f"/srv/repos/p/{f}", "function", "g", "p.m.g", None, doc, code, line, None)
+    rows = [
+        # what the file holds goes before the record's code, also without a docstring
+        at(1, "a.js", 4, "Never blocks.", "cut off"), at(2, "a.js", 4, None, "cut off"), at(3, "a.py", 1, "Never raises.", None), at(4, "a.py", 1, " ", "cut off"),
+        # another version, files that are missing, and code that no pattern matches
+        at(5, "b.js", 2, "Keeps */ order.", "function old(a) { return '}' }\nlet x"), at(6, "none.js", 1, "Keeps order.", "m(a) { return 1 }"), at(7, "none.py", 1, "Keeps order.", "def f():\n    'Keeps order.'\n    return 1\n\nx = 1"),
+        at(8, "none.py", 1, "Keeps order.", "lambda: 1"), at(9, "none.py", None, "Keeps order.", None), at(10, "none.py", 1, None, "def f():\n    'Keeps order.'"),
+    ]
+    got = {r.entity_id: (r.code, r.documentation.strip()) for r in docpairs.function_pairs(spark.createDataFrame(rows, schema), files).collect()}
+    whole, python = "export async function wait(a) {\n  return `}`;\n}", code[: code.index("\n\nx")]
+    assert got == {
+        1: (whole, "Never blocks."), 2: (whole, "Never blocks."), 3: (python, "Never raises."), 4: (python, "Never raises."), 5: ("function old(a) { return '}' }", "Keeps */ order."), 6: ("m(a) { return 1 }", "Keeps order."),
+        7: ("def f():\n    'Keeps order.'\n    return 1", "Keeps order."), 8: ("lambda: 1", "Keeps order."), 9: (None, "Keeps order."),
+    }
+
+
 # ---- p9
 
 
